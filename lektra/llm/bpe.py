@@ -1,9 +1,9 @@
 """Operator 1: BPE encoding and decoding over a pair occurrence index.
 
-The distinct pieces that a partition has not met before are laid out in one array of symbols. An index maps
-the rank of each mergeable pair to all positions where it stands; active ranks are applied in ascending
-order, and each merge adds the pairs that it makes to the lists of their ranks. Texts are then gathered from
-the encoded pieces, so the cost of merging follows the vocabulary of a partition and not its length.
+What a partition has not met before is laid out in one array of symbols. An index maps the pairs, by their
+ranks, to all positions where they stand; active ranks are applied in ascending order, and each merge enters the
+pairs that it makes in the lists of their ranks. Texts are then gathered from the encoded chunks, so the cost of
+merging follows the vocabulary of a partition and not its length.
 
 The tokenizer is any ``tokenizers`` JSON file of the byte-level BPE kind with an end-of-word suffix, white
 space dropped, and NFC and lower case as its only other normalisation; others are refused.
@@ -15,11 +15,9 @@ row; an empty table gives an empty table; extra columns stay behind. Texts are n
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from array import array
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lektra.llm.common import slices
+from lektra.llm.common import text_slices
 
 #: Distinct chunks, and their characters, that a Python worker remembers before it starts afresh.
-MEMORY_CHUNKS, MEMORY_CHARS = 300_000, 32_000_000
+MEMORY_CHUNKS, MEMORY_CHARS = 600_000, 16_000_000
 
 #: str.split() also cuts at these, which Unicode doesn't count as white space.
 _NOT_BLANK = regex.compile(r"[\x1c-\x1f]")
@@ -42,120 +40,183 @@ class PieceTable:
     """Encodes texts by their white-space chunks, each of which is encoded once and then looked up.
 
     Pieces never reach over white space and no normalisation joins characters over it, so a chunk alone has the
-    ids that it has in its text. The library normalises and cuts the distinct chunks; merging is done here.
-    ``encode_pieces`` may put another encoder of byte-level pieces in its place.
+    ids that it has in its text. The library normalises and cuts the new chunks; merging is done here.
     """
 
-    def __init__(self, spec: bytes, encode_pieces: Callable[[list[str]], list[list[int]]] | None = None):
+    def __init__(self, spec: bytes):
         config = json.loads(spec)
         model, steps = config["model"], config["normalizer"]["normalizers"]
         splits = config["pre_tokenizer"]["pretokenizers"]
         if model["type"] != "BPE" or [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in splits] != ["Split", "ByteLevel"] or not model["end_of_word_suffix"]:
             raise ValueError("not a byte-level BPE with lower case and an end-of-word suffix")
-        self.suffix = model["end_of_word_suffix"]
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
+        suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
-        self.tokens = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
-        for token, i in [*self.vocab.items(), *self.special.items()]:
+        self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_str(spec.decode())
         self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        #: The ids of single byte-level characters, within a piece and at its end.
+        self.inner = np.array([vocab.get(chr(c), -1) for c in range(0x200)], np.int64)
+        self.final = np.array([vocab.get(chr(c) + suffix, -1) for c in range(0x200)], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
-        self.ranks = {a << 20 | b: r for r, (a, b, _) in enumerate(self.merges)}
-        self.encode_pieces = encode_pieces or self.merge_pieces
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        codes = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        self.never = len(pairs)
+        self._hash_pairs(codes)
+        edges = [0, 16]
+        while edges[-1] < self.never:
+            edges.append(min(int(edges[-1] * 1.25) + 1, self.never))
+        self.bands = np.array(edges, np.int64)
         self.forget()
 
+    def _hash_pairs(self, codes: np.ndarray) -> None:
+        """Rank by pair, in a table with open addresses that numpy can search for many pairs at once."""
+        bits = max(int(np.ceil(np.log2(4 * len(codes) + 4))), 4)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.slot_ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.never, np.int64)
+        self.probes = 1
+        for rank, (code, at) in enumerate(zip(codes.tolist(), self._home(codes).tolist())):
+            step = 1
+            while self.slots[at] >= 0:
+                at, step = (at + 1) & self.mask, step + 1
+            self.slots[at], self.slot_ranks[at] = code, rank
+            self.probes = max(self.probes, step)
+
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def rank_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        codes = first << 20 | second
+        at = self._home(codes)
+        found = np.where(self.slots[at] == codes, self.slot_ranks[at], self.never)
+        left = np.flatnonzero((self.slots[at] != codes) & (self.slots[at] >= 0))
+        for step in range(1, self.probes):
+            if not len(left):
+                break
+            here = (at[left] + step) & self.mask
+            held = self.slots[here]
+            hit = held == codes[left]
+            found[left[hit]] = self.slot_ranks[here[hit]]
+            left = left[~hit & (held >= 0)]
+        return found
+
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.flat, self.starts, self.counts, self.chars = array("I"), array("q"), array("q"), 0
 
-    def merge_pieces(self, pieces: list[str]) -> list[list[int]]:
-        symbol, left, right, begins = [], [], [], []
-        for piece in pieces:
-            begin = len(symbol)
-            begins.append(begin)
-            marks = [*piece[:-1], piece[-1] + self.suffix]
-            symbol.extend(map(self.vocab.__getitem__, marks))
-            left.extend(range(begin - 1, len(symbol) - 1))
-            left[begin] = -1
-            right.extend(range(begin + 1, len(symbol) + 1))
-            right[-1] = -1
-        found, rank_of = defaultdict(list), self.ranks.get
-        for i, j in enumerate(right):
-            if j >= 0 and (rank := rank_of(symbol[i] << 20 | symbol[j])) is not None:
-                found[rank].append(i)
-        active = list(found)
-        heapq.heapify(active)
-        while active:
-            rank = heapq.heappop(active)
-            first, second, made = self.merges[rank]
-            for i in sorted(found.pop(rank)):
-                j = right[i]
-                if symbol[i] != first or j < 0 or symbol[j] != second:
-                    continue  # an earlier merge took one of the two
-                symbol[i], symbol[j] = made, -1
-                right[i] = after = right[j]
-                before = left[i]
-                if after >= 0:
-                    left[after] = i
-                for at, pair in ((i, after >= 0 and (made << 20 | symbol[after])), (before, before >= 0 and (symbol[before] << 20 | made))):
-                    if pair is not False and (new := rank_of(pair)) is not None:
-                        if new not in found:
-                            heapq.heappush(active, new)
-                        found[new].append(at)
-        out = []
-        for begin, end in zip(begins, [*begins[1:], len(symbol)]):
-            out.append([s for s in symbol[begin:end] if s >= 0])
-        return out
-
-    def _chunks(self, text: str) -> list[str]:
-        return [c for c in _BLANK.split(text) if c] if _NOT_BLANK.search(text) else text.split()
-
-    def _learn(self, chunks: set[str]) -> None:
-        cut = {c: [p for p, _ in self.cut(self.normalize(c))] for c in chunks}
-        pieces = list(dict.fromkeys(p for ps in cut.values() for p in ps))
-        ids = dict(zip(pieces, self.encode_pieces(pieces))) if pieces else {}
-        for chunk, ps in cut.items():
-            self._keep(chunk, [i for p in ps for i in ids[p]])
-
-    def _keep(self, key: str, ids: list[int]) -> None:
-        self.rows[key] = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.counts.append(len(ids))
-        self.flat.extend(ids)
-        self.chars += len(key)
+    def merge(self, symbol: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Merge the symbols of all pieces (``piece`` has the number of each symbol's); a symbol that is used up becomes -1.
+
+        The index lists the positions of all pairs by band of ranks, and bands are applied in ascending order.
+        Within a band each piece takes its lowest rank at all its places, leftmost first, until none is left.
+        A merge makes pairs of higher rank only, so what it adds belongs to this band or a later one.
+        """
+        n, never = len(symbol), self.never
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.flatnonzero(np.append(piece[1:] != piece[:-1], True))
+        after[ends] = -1
+        before[np.append(0, ends[:-1] + 1)] = -1
+        rank = np.full(n, never, np.int64)
+        pairs = np.flatnonzero(after >= 0)
+        rank[pairs] = self.rank_of(symbol[pairs], symbol[pairs + 1])
+        index: list[list[np.ndarray]] = [[] for _ in self.bands]
+
+        def enter(at: np.ndarray) -> None:
+            band = np.searchsorted(self.bands, rank[at], side="right") - 1
+            order = np.argsort(band, kind="stable")
+            at, band = at[order], band[order]
+            cuts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+                index[band[a]].append(at[a:b])
+
+        pairs = pairs[rank[pairs] < never]
+        if len(pairs):
+            enter(pairs)
+        for band, top in enumerate(self.bands[1:].tolist()):
+            if not index[band]:
+                continue
+            at = distinct(np.concatenate(index[band]))
+            index[band] = []
+            while len(at := at[rank[at] < top]):
+                here, of = rank[at], piece[at]
+                cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                lowest = np.minimum.reduceat(here, cuts)
+                chosen = here == np.repeat(lowest, np.diff(np.append(cuts, len(at))))
+                i, low = at[chosen], here[chosen]
+                touching = np.append(False, after[i[:-1]] == i[1:])
+                if touching.any():  # runs of one symbol: every other pair
+                    place = np.arange(len(i))
+                    odd = (place - np.maximum.accumulate(np.where(touching, 0, place))) % 2 == 1
+                    i, low = i[~odd], low[~odd]
+                j = after[i]
+                k = after[j]
+                symbol[i], symbol[j], rank[j], after[i] = self.made[low], -1, never, k
+                follows = k >= 0
+                before[k[follows]] = i[follows]
+                h = before[i]
+                changed = distinct(np.concatenate((i, h[h >= 0])))
+                rank[changed] = never
+                whole = changed[after[changed] >= 0]
+                rank[whole] = self.rank_of(symbol[whole], symbol[after[whole]])
+                at = distinct(np.concatenate((at, whole[rank[whole] < top])))
+                later = whole[(rank[whole] >= top) & (rank[whole] < never)]
+                if len(later):
+                    enter(later)
+        return symbol
+
+    def _learn(self, chunks: list[str]) -> None:
+        text = self.normalize(" ".join(chunks))
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+        if len(blanks) != len(chunks) - 1:
+            raise ValueError("a chunk changed its white space")
+        cut = self.cut(text)
+        owner = np.searchsorted(blanks, np.array([a for _, (a, _) in cut], np.int64))
+        sizes = np.array([len(p) for p, _ in cut], np.int64)
+        marks = np.frombuffer("".join([p for p, _ in cut]).encode("utf-16-le"), np.uint16)
+        symbol = self.inner[marks]
+        ends = np.cumsum(sizes) - 1
+        symbol[ends] = self.final[marks[ends]]
+        symbol = self.merge(symbol, np.repeat(np.arange(len(sizes)), sizes)) if len(symbol) else symbol
+        left = symbol >= 0
+        self._keep(chunks, symbol[left], np.bincount(np.repeat(owner, sizes)[left], minlength=len(chunks)))
+
+    def _keep(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first, begin = len(self.starts), len(self.flat)
+        self.rows.update(zip(keys, range(first, first + len(keys))))
+        self.starts.frombytes((begin + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+        self.counts.frombytes(counts.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.chars += sum(map(len, keys))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of unsigned 32-bit integers."""
         if len(self.rows) > MEMORY_CHUNKS or self.chars > MEMORY_CHARS:
             self.forget()
         chunks: list[str] = []
-        ends = []
+        ends = [0]
         for text in texts:
             if self.special_cut is not None and "<" in text and self.special_cut.search(text):
                 for part in self.special_cut.split(text):
                     if part in self.special:
                         if (key := f" {part}") not in self.rows:  # no chunk holds a blank
-                            self._keep(key, [self.special[part]])
+                            self._keep([key], np.array([self.special[part]]), np.array([1]))
                         chunks.append(key)
                     else:
-                        chunks.extend(self._chunks(part))
+                        chunks.extend(cut_at_blanks(part))
             else:
-                chunks.extend(self._chunks(text))
+                chunks.extend(cut_at_blanks(text))
             ends.append(len(chunks))
-        if new := set(chunks).difference(self.rows):
+        if new := [*set(chunks).difference(self.rows)]:
             self._learn(new)
         rows = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
-        counts = np.frombuffer(self.counts, np.int64)[rows] if len(rows) else rows
-        last = np.concatenate(([0], np.cumsum(counts)))
-        if len(rows):
-            shift = np.frombuffer(self.starts, np.int64)[rows] - last[:-1]
-            ids = np.frombuffer(self.flat, np.uint32)[np.repeat(shift, counts) + np.arange(last[-1])] if last[-1] else np.empty(0, np.uint32)
-        else:
-            ids = np.empty(0, np.uint32)
-        cuts = last[np.array([0, *ends])]
+        counts = np.array(self.counts, np.int64)[rows]
+        last = np.append(0, np.cumsum(counts))
+        shift = np.array(self.starts, np.int64)[rows] - last[:-1]
+        ids = np.array(self.flat, np.uint32)[np.repeat(shift, counts) + np.arange(last[-1])]
+        cuts = last[np.array(ends)]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -163,6 +224,15 @@ class PieceTable:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def cut_at_blanks(text: str) -> list[str]:
+    return [c for c in _BLANK.split(text) if c] if _NOT_BLANK.search(text) else text.split()
+
+
 _TABLES: dict[tuple[int, str], PieceTable] = {}
 
 
@@ -186,7 +256,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(spec.value)
-        for part in slices(batches):
+        for part in text_slices(batches, 1):
             found = pieces.encode(["" if x is None else x for x in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())], names=[id_col, "n_tokens", "ids"])
 
@@ -200,7 +270,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(spec.value)
-        for part in slices(batches):
+        for part in text_slices(batches, 1):
             texts = [pieces.decode(np.frombuffer(x or b"", "<u4")) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_col, ids_col, "decoded"])
 

@@ -6,13 +6,18 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python operator holds as objects at once.
 SLICE_ROWS = 256
 
+#: Bytes of texts that are worked on together where more at once is faster.
+SLICE_BYTES = 4_000_000
+
 #: White space of all word contracts here: the blank and U+0009 to U+000D.
 BLANKS = r"\x20\x09-\x0D"
 
@@ -49,6 +54,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts in a column have about ``most`` bytes together; a longer text stands alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(sizes, dtype=np.int64) // most
+        starts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()] if batch.num_rows else []
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def per_text(docs: DataFrame, function: Callable[[list[str]], list[pa.Array]], schema: str, names: list[str], *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``function`` to lists of whole texts (null: empty); it returns one array for each of ``names``.
 
