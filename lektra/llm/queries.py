@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lektra.llm import bpe
+from lektra.llm import bpe, licenses, quality, secrets
 from lektra.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -17,8 +17,21 @@ def op1_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "quality")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scanned(table(spark, sf_dir, "documents")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scanned(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_pair_index,)}
+    return {f.__name__: f for f in (op1_bpe_pair_index, op2_quality_rules, op9_secret_scan, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
