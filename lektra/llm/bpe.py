@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from lektra.llm.common import text_slices
 
 #: Distinct chunks, and their characters, that a Python worker remembers before it starts afresh.
-MEMORY_CHUNKS, MEMORY_CHARS = 600_000, 16_000_000
+MEMORY_CHUNKS, MEMORY_CHARS = 250_000, 8_000_000
 
 #: str.split() also cuts at these, which Unicode doesn't count as white space.
 _NOT_BLANK = regex.compile(r"[\x1c-\x1f]")

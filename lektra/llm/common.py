@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 
 #: Bytes of texts that are worked on together where more at once is faster.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 #: White space of all word contracts here: the blank and U+0009 to U+000D.
 BLANKS = r"\x20\x09-\x0D"
