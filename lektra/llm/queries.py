@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lektra.llm import bpe, licenses, quality, secrets
-from lektra.llm.common import table
+from lektra.llm import bpe, licenses, quality, secrets, sharding, tokenfiles, urls
+from lektra.llm.common import fresh_path, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -22,6 +22,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "quality")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), 40)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), path, end_id=2)
+    return tokenfiles.read(spark, path)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scanned(table(spark, sf_dir, "documents")))
 
@@ -31,7 +45,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_pair_index, op2_quality_rules, op9_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_bpe_pair_index, op2_quality_rules, op3_url_filter, op4_sharding, op5_token_files, op9_secret_scan, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
