@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lektra.llm import bpe, licenses, quality, secrets, sharding, simhash, substrings, tokenfiles, urls
+from lektra.llm import bpe, decontamination, licenses, quality, secrets, sharding, simhash, substrings, tokenfiles, urls
 from lektra.llm.common import fresh_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -40,6 +40,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "words", "edits", "item_words")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicated(table(spark, sf_dir, "documents"), keep_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -54,7 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_pair_index, op2_quality_rules, op3_url_filter, op4_sharding, op5_token_files, op6_simhash, op8_substring_dedup, op9_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in (op1_bpe_pair_index, op2_quality_rules, op3_url_filter, op4_sharding, op5_token_files, op6_simhash, op7_decontamination, op8_substring_dedup, op9_secret_scan, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
