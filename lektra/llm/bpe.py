@@ -29,12 +29,15 @@ from tokenizers import Tokenizer
 from lektra.llm.common import text_slices
 
 #: Distinct chunks, and their characters, that a Python worker remembers before it starts afresh.
-MEMORY_CHUNKS, MEMORY_CHARS = 250_000, 8_000_000
+MEMORY_CHUNKS, MEMORY_CHARS = 400_000, 14_000_000
 
 #: str.split() also cuts at these, which Unicode doesn't count as white space.
 _NOT_BLANK = regex.compile(r"[\x1c-\x1f]")
 _BLANK = regex.compile(r"[\t\n\x0b\f\r \x85\xa0  -     　]+")
 
+#: Chunks of ASCII and Latin letters, which the tests compare with the library one character at a time.
+_SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*").fullmatch
+
 
 class PieceTable:
     """Encodes texts by their white-space chunks, each of which is encoded once and then looked up.
@@ -58,6 +61,10 @@ class PieceTable:
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         library = Tokenizer.from_str(spec.decode())
         self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.piece = regex.compile(splits[0]["pattern"]["Regex"] + "| ")
+        self.byte_marks = np.array([ord(self.cut(chr(b))[0][0]) if 33 <= b < 127 else 0 for b in range(256)], np.uint16)
+        for c in map(chr, range(0xA1, 0x180)):  # all leading and following bytes of two
+            self.byte_marks[list(c.encode())] = [ord(x) for p, _ in self.cut(c) for x in p]
         #: The ids of single byte-level characters, within a piece and at its end.
         self.inner = np.array([vocab.get(chr(c), -1) for c in range(0x200)], np.int64)
         self.final = np.array([vocab.get(chr(c) + suffix, -1) for c in range(0x200)], np.int64)
@@ -168,14 +175,37 @@ class PieceTable:
         return symbol
 
     def _learn(self, chunks: list[str]) -> None:
+        simple = [c for c in chunks if _SIMPLE(c)]
+        if simple:
+            self._learn_cut(simple, *self._cut_simple(simple))
+        if len(simple) < len(chunks):
+            known = set(simple)
+            others = [c for c in chunks if c not in known]
+            self._learn_cut(others, *self._cut_by_library(others))
+
+    def _cut_simple(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Without combining marks NFC changes nothing, and what is a letter or a number is beyond doubt."""
+        pieces = self.piece.findall(" ".join(chunks).lower())  # with the blanks between chunks
+        raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+        letters = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        ends = letters[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
+        sizes = np.diff(ends, prepend=0)
+        blank = raw[ends - sizes] == 32
+        owner = np.cumsum(blank)[~blank]
+        return self.byte_marks[raw[np.repeat(~blank, sizes)]], sizes[~blank], owner
+
+    def _cut_by_library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text = self.normalize(" ".join(chunks))
         blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
         if len(blanks) != len(chunks) - 1:
             raise ValueError("a chunk changed its white space")
         cut = self.cut(text)
         owner = np.searchsorted(blanks, np.array([a for _, (a, _) in cut], np.int64))
-        sizes = np.array([len(p) for p, _ in cut], np.int64)
         marks = np.frombuffer("".join([p for p, _ in cut]).encode("utf-16-le"), np.uint16)
+        return marks, np.array([len(p) for p, _ in cut], np.int64), owner
+
+    def _learn_cut(self, chunks: list[str], marks: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> None:
+        """``marks``: byte-level characters of all pieces; ``sizes`` and ``owner``: of each piece."""
         symbol = self.inner[marks]
         ends = np.cumsum(sizes) - 1
         symbol[ends] = self.final[marks[ends]]
