@@ -64,7 +64,7 @@ class _WordCodes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        plain = _LETTERS.sub("", word.lower())
+        plain = word.lower() if word.isalnum() else _LETTERS.sub("", word.lower())
         value = self[word] = (xxhash.xxh3_64_intdigest(plain) | 1) if plain else 0
         return value
 
