@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from lektra.plans import capture, catalog, geometry, knowledge, relational, search, texts
+from lektra.sources.corpus import Corpus
+
+FAMILIES = (relational, texts, search, knowledge, capture, geometry)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return search.a12_hybrid_retrieve(Corpus(spark, sf_dir))
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.ORACLES)
