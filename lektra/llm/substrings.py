@@ -127,7 +127,7 @@ def deduplicated(docs: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id"
     """(doc_id, n_words, n_removed, kept, kept_sha256) of each row; ``kept`` is null unless ``keep_text``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices, buckets = 4 * parts, max(256, 2 * parts)
+    slices, buckets = 2 * parts, max(256, parts)
     shift = np.uint64(64 - int(np.ceil(np.log2(buckets))))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
 
