@@ -1,8 +1,9 @@
 """Operator 10: license scans by fuzzy search for short notices.
 
 A notice that may have k errors is cut into k + 1 pieces; k errors leave one piece whole, so the exact places of
-pieces (found for all notices in one pass of an Aho-Corasick automaton) lead to every candidate window. The
-regex library's bounded-error matching verifies a window and tells the span and its errors. Base phrases, whole
+pieces (found for all notices in one pass of an Aho-Corasick automaton) lead to every candidate window. A window
+that lacks too many of the notice's pairs of neighbouring characters can't match; for the others the regex library's
+bounded-error matching decides and tells the span and its errors. Base phrases, whole
 words that stand consecutively, are counted beside it.
 
 Texts are compared as their words, A-Z lower-cased, with one blank between words. Defined results: a null
@@ -13,6 +14,7 @@ table gives an empty table; extra columns stay behind. Texts are never cut.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import ahocorasick
@@ -58,7 +60,7 @@ def words_of(text: str) -> list[str]:
 
 class NoticeSearch:
     def __init__(self, notices: tuple[tuple[str, str], ...] = NOTICES, tolerance: float = 0.1):
-        self.notices = []
+        self.notices, self.pairs = [], []
         self.automaton = ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (notice, label) in enumerate(notices):
@@ -66,11 +68,17 @@ class NoticeSearch:
             cuts = [len(notice) * i // (errors + 1) for i in range(errors + 2)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 pieces.setdefault(notice[a:b], []).append((n, a))
+            self.pairs.append(Counter(map(str.__add__, notice, notice[1:])))
             self.notices.append((notice, label, errors, regex.compile(f"(?e)(?:{regex.escape(notice, literal_spaces=True)}){{e<={errors}}}")))
         for piece, uses in pieces.items():
             self.automaton.add_word(piece, (len(piece), uses))
         self.automaton.make_automaton()
 
+    def likely(self, n: int, errors: int, window: str) -> bool:
+        """Each error spoils two pairs of neighbouring characters of the notice at most; the others must be in the window."""
+        left = self.pairs[n] - Counter(map(str.__add__, window, window[1:]))
+        return left.total() <= 2 * errors
+
     def search(self, words: list[str], joined: str) -> list[Found]:
         windows: dict[int, list[list[int]]] = {}
         for last, (size, uses) in self.automaton.iter(joined):
@@ -87,8 +95,10 @@ class NoticeSearch:
                     spans.append([begin, end])
         found = []
         for n, spans in windows.items():
-            notice, label, _, pattern = self.notices[n]
+            notice, label, errors, pattern = self.notices[n]
             for begin, end in spans:
+                if not self.likely(n, errors, joined[begin:end]):
+                    continue
                 for m in pattern.finditer(joined[begin:end]):
                     a, b = begin + m.start(), begin + m.end()
                     first = joined.count(" ", 0, a + 1 if joined[a : a + 1] == " " else a)
