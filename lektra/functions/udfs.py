@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: Characters of a chunk, which ends after a line break in its second half if there is one.
 CHUNK = 28_000
@@ -93,3 +95,44 @@ def sanitize(text: str) -> str:
 @F.pandas_udf(StringType())
 def sanitized_html(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else sanitize(t))
+
+
+@F.pandas_udf(BinaryType())
+def packed_vectors(vectors: pd.Series) -> pd.Series:
+    """Little-endian 32-bit floats."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def decoded_vectors(blobs: pd.Series) -> pd.Series:
+    """Null for a blob whose length is no multiple of four."""
+    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").astype(float))
+
+
+@F.pandas_udf(StringType())
+def fnv1a64(texts: pd.Series) -> pd.Series:
+    """Sixteen hexadecimal digits."""
+
+    def digest(text: str) -> str:
+        value = 0xCBF29CE484222325
+        for byte in text.encode():
+            value = (value ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        return f"{value:016x}"
+
+    return texts.map(lambda t: None if t is None else digest(t))
+
+
+def mend(text: str) -> str:
+    """JSON from what a model said: fences and talk around it, bare keys, and commas too many or too few."""
+    text = re.sub(r"```[a-z]*", "", text)
+    begin, end = min((i for i in (text.find("["), text.find("{")) if i >= 0), default=0), max(text.rfind("]"), text.rfind("}"))
+    text = text[begin : end + 1] if end >= begin else text
+    text = text.translate(str.maketrans("“”‘’", "\"\"''"))
+    text = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', text)
+    text = re.sub(r",(\s*[\]}])", r"\1", text)
+    return re.sub(r"\}(\s*)\{", r"},\1{", text)
+
+
+@F.pandas_udf(StringType())
+def jsonish(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else mend(t))
