@@ -2,8 +2,8 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits and mapped to the vector of their bit counts, held in unary in
 one long, so that the Manhattan distance of two vectors is one bit count. It never exceeds the Hamming distance.
-The segments are dealt into radius + 3 groups; vectors within the radius have three groups in common at least, so the cells of
-a grid (three groups of segments with their counts) bring together all pairs that are in range. In a cell the
+The segments are dealt into groups, so many more than the radius that vectors in range have some groups in common; the cells of
+a grid, which fix that many groups with their counts, thus bring together all pairs that are in range. In a cell the
 Manhattan distance sifts and the Hamming distance decides.
 
 A cell yields a spanning forest of its links instead of all pairs. Fingerprints are made distinct before, so exact
@@ -30,10 +30,9 @@ from lektra.llm.common import settled, text_slices
 from lektra.llm.components import components
 
 SEGMENTS = 32
-INTACT = 3
 MOST_IN_CELL = 8192
 #: Comparisons that a task holds at once.
-_CELLS = 2_000_000
+_CELLS = 250_000
 
 #: For each byte, its bits as eight counters of a byte each.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -97,10 +96,17 @@ def embedded(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
+def unary(fps: np.ndarray) -> np.ndarray:
+    """The same as ``embedded``, within a task."""
+    low, high = fps & np.uint64(0x5555555555555555), fps >> np.uint64(1) & np.uint64(0x5555555555555555)
+    return low | high | (low & high) << np.uint64(1)
+
+
 def cells(radius: int) -> list[int]:
     """Masks, as signed longs: the groups of segments that a cell of the grid fixes."""
-    groups = [sum(3 << 2 * s for s in range(g, SEGMENTS, radius + INTACT)) for g in range(radius + INTACT)]
-    masks = [sum(c) for c in combinations(groups, INTACT)]
+    intact = 4 if radius <= 4 else 3  # more make cells rarer but more of them
+    groups = [sum(3 << 2 * s for s in range(g, SEGMENTS, radius + intact)) for g in range(radius + intact)]
+    masks = [sum(c) for c in combinations(groups, intact)]
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 
@@ -132,12 +138,12 @@ def linked(fps: DataFrame, radius: int) -> DataFrame:
     """(a, b): a spanning forest, cell by cell, of the links between distinct fingerprints (fp long)."""
     vectors = fps.select("fp", embedded(F.col("fp")).alias("vector"))
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("vector").bitwiseAND(F.lit(m))) for i, m in enumerate(cells(radius))))
-    keyed = vectors.select("fp", "vector", F.explode(keys).alias("cell"))
+    keyed = vectors.select("fp", F.explode(keys).alias("cell"))
     shared = keyed.withColumn("rows", F.count("*").over(Window.partitionBy("cell"))).filter("rows > 1")
     blocks = F.ceil(F.col("rows") / MOST_IN_CELL).cast("int")
     own, other = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = shared.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("fp", "vector", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    dealt = dealt.select("fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -161,7 +167,8 @@ def linked(fps: DataFrame, radius: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 0, 1)], 1).view(np.uint64)
+            cell, fp = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (1, 0))
+            rows = np.stack([cell, fp, unary(fp)], 1)
             last = np.flatnonzero(rows[:, 0] != rows[-1, 0])
             whole = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
             if whole or (held and held[-1][-1, 0] != rows[0, 0]):

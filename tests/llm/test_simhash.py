@@ -76,6 +76,7 @@ def test_manhattan_is_a_lower_bound(spark):
     fps = rng.integers(-(2**63), 2**63, 500)
     rows = spark.createDataFrame([(int(f),) for f in fps], "fp long").select("fp", simhash.embedded(simhash.F.col("fp")).alias("v")).collect()
     count = lambda f, s: (f >> 2 * s & 3).bit_count()
+    assert (simhash.unary(np.array([r.fp for r in rows]).view(np.uint64)) == np.array([r.v for r in rows]).view(np.uint64)).all()
     for a, b in zip(rows[:-1], rows[1:]):
         manhattan = sum(abs(count(a.fp & (2**64 - 1), s) - count(b.fp & (2**64 - 1), s)) for s in range(32))
         assert ((a.v ^ b.v) & (2**64 - 1)).bit_count() == manhattan <= ((a.fp ^ b.fp) & (2**64 - 1)).bit_count()
