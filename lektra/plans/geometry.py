@@ -12,13 +12,13 @@ from lektra.sources.corpus import Corpus
 
 def _boxes(c: Corpus) -> DataFrame:
     """Blocks and regions on a page for each order."""
-    rows = c.table("lineitem").filter("l_orderkey % 3 = 0")
+    rows = c.table("lineitem")
     near = G.box(F.col("l_linenumber") * 10, F.col("l_quantity"), F.col("l_quantity"), F.lit(20))
     shifted = G.box(F.col("l_linenumber") * 10 + 3, F.col("l_quantity") + 2, F.col("l_quantity"), F.lit(18))
     return rows.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), near.alias("a"), shifted.alias("b"))
 
 
-_BOXES = "SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS part, l_linenumber * 10.0::DOUBLE AS x, l_quantity AS y, l_quantity AS w, 20.0::DOUBLE AS h, l_linenumber * 10.0::DOUBLE + 3 AS rx, l_quantity + 2 AS ry, l_quantity AS rw, 18.0::DOUBLE AS rh FROM lineitem WHERE l_orderkey % 3 = 0"
+_BOXES = "SELECT l_orderkey AS page, l_linenumber AS n, l_partkey AS part, l_linenumber * 10.0::DOUBLE AS x, l_quantity AS y, l_quantity AS w, 20.0::DOUBLE AS h, l_linenumber * 10.0::DOUBLE + 3 AS rx, l_quantity + 2 AS ry, l_quantity AS rw, 18.0::DOUBLE AS rh FROM lineitem"
 _CROSSED = f"SELECT *, greatest(least(x + w, rx + rw) - greatest(x, rx), 0) * greatest(least(y + h, ry + rh) - greatest(y, ry), 0) AS i FROM ({_BOXES})"
 
 

@@ -38,19 +38,19 @@ def s13_log_reader(c: Corpus) -> DataFrame:
     return rows.select("e.*").orderBy(F.desc("event_id")).limit(200)
 
 
-@query("SELECT l_orderkey AS page, l_linenumber AS place, 'part ' || l_partkey AS content FROM lineitem WHERE l_orderkey % 4 = 0")
+@query("SELECT l_orderkey AS page, l_linenumber AS place, 'part ' || l_partkey AS content FROM lineitem")
 def s17_layout_response(c: Corpus) -> DataFrame:
     """A nested answer for each page, parsed back into blocks in their order."""
     block = F.struct(F.col("l_linenumber").alias("order"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("content"))
-    said = c.table("lineitem").filter("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("page")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(block)).alias("blocks"))).alias("said"))
+    said = c.table("lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(block)).alias("blocks"))).alias("said"))
     parsed = said.select("page", F.posexplode(F.from_json("said", "blocks array<struct<order:int,content:string>>")["blocks"]).alias("place", "b"))
     return parsed.select("page", F.col("b.order").alias("place"), "b.content")
 
 
-@query("SELECT a.doc_id, a.doc_id % 5 + 1 AS turn FROM documents a WHERE doc_id < 50")
+@query("SELECT a.doc_id, a.doc_id % 5 + 1 AS turn FROM documents a")
 def w6_cumulative_segments(c: Corpus) -> DataFrame:
     """The segment that holds a character offset: five segments of ten characters, the offset in the middle of one."""
-    rows = c.documents.filter("doc_id < 50").select("doc_id", (F.col("doc_id") % 5 * 10 + 5).alias("offset"), F.posexplode(F.array(*[F.lit(10)] * 5)).alias("turn", "length"))
+    rows = c.documents.select("doc_id", (F.col("doc_id") % 5 * 10 + 5).alias("offset"), F.posexplode(F.array(*[F.lit(10)] * 5)).alias("turn", "length"))
     total = F.sum("length").over(Window.partitionBy("doc_id").orderBy("turn"))
     return rows.withColumn("end", total).filter((F.col("offset") < F.col("end")) & (F.col("offset") >= F.col("end") - F.col("length"))).select("doc_id", (F.col("turn") + 1).cast("long").alias("turn"))
 
@@ -70,9 +70,9 @@ def g1_items_by_topic(c: Corpus) -> DataFrame:
     return rows.groupBy(T.topic_name("name").alias("topic")).agg(F.count("*").alias("items"))
 
 
-@query("SELECT lang AS kind, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs, CASE lang WHEN 'en' THEN 0 WHEN 'es' THEN 1 ELSE 2 END AS place FROM documents WHERE doc_id < 60 GROUP BY 1")
+@query("SELECT lang AS kind, count(*) AS docs, CASE lang WHEN 'en' THEN 0 WHEN 'es' THEN 1 ELSE 2 END AS place FROM documents GROUP BY 1")
 def g17_group_by_type_order(c: Corpus) -> DataFrame:
-    grouped = c.documents.filter("doc_id < 60").groupBy(F.col("lang").alias("kind")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: d.cast("string")), ",").alias("docs"))
+    grouped = c.documents.groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("docs"))
     return grouped.withColumn("place", F.when(F.col("kind") == "en", 0).when(F.col("kind") == "es", 1).otherwise(2)).orderBy("place", "kind")
 
 
@@ -104,10 +104,10 @@ def a19_word_cloud(c: Corpus) -> DataFrame:
     return c.spark.createDataFrame(placed_words([(r["word"], r["count"]) for r in rows]), "word string, size double, x double, y double")
 
 
-@query("SELECT event_id, CASE WHEN event_id < 10 THEN 1 WHEN event_id < 20 THEN 2 WHEN event_id < 50 THEN 5 ELSE 10 END AS step FROM events WHERE event_id < 100 AND event_id > 0")
+@query("SELECT event_id, CASE WHEN event_id % 100 < 10 THEN 1 WHEN event_id % 100 < 20 THEN 2 WHEN event_id % 100 < 50 THEN 5 ELSE 10 END AS step FROM events")
 def a20_chart_step(c: Corpus) -> DataFrame:
-    at = F.col("event_id") / 10
-    return c.table("events").filter("event_id < 100 and event_id > 0").select("event_id", F.when(at < 1, 1).when(at < 2, 2).when(at < 5, 5).otherwise(10).alias("step"))
+    at = F.col("event_id") % 100 / 10
+    return c.table("events").select("event_id", F.when(at < 1, 1).when(at < 2, 2).when(at < 5, 5).otherwise(10).alias("step"))
 
 
 @query("SELECT doc_id, strpos(lower(text), 'thing') - 1 AS anchor FROM documents WHERE strpos(lower(text), 'thing') > 0")
@@ -252,7 +252,7 @@ def l5_block_views(c: Corpus) -> DataFrame:
 @query()
 def l7_reading_order(c: Corpus) -> DataFrame:
     """Lines of a page, columns from left to right, each from top to bottom, after wide lines at the top."""
-    lines = c.table("lineitem").filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 2 * 500.0).alias("x"), (F.col("l_linenumber") * 30.0).alias("y"), F.lit(400.0).alias("width"), F.lit(20.0).alias("height"))
+    lines = c.table("lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 2 * 500.0).alias("x"), (F.col("l_linenumber") * 30.0).alias("y"), F.lit(400.0).alias("width"), F.lit(20.0).alias("height"))
     return reading_order(lines)
 
 

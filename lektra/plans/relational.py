@@ -326,10 +326,10 @@ def w2_latest_per_job_type(c: Corpus) -> DataFrame:
     return R.first_by(c.table("events"), ["user_id", "event_type"], F.desc("event_id")).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents")
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def w3_rank_in_leg(c: Corpus) -> DataFrame:
-    order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return c.documents.select("source", "doc_id", F.row_number().over(order).cast("long").alias("place"))
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return c.table("orders").select("o_custkey", "o_orderkey", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("SELECT conversation_id, sort_index, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS role, content FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sort_index DESC) AS n FROM messages WHERE trim(content) <> '') WHERE n <= 3", "messages")
@@ -339,10 +339,10 @@ def w4_last_turns(c: Corpus) -> DataFrame:
     return rows.select("conversation_id", "sort_index", F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), "content")
 
 
-@query("SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM items WINDOW w AS (PARTITION BY collection_id ORDER BY translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), id)", "items")
+@query("SELECT o_orderkey AS id, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY translate(o_orderpriority, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), o_orderkey)")
 def w7_siblings(c: Corpus) -> DataFrame:
-    shown = Window.partitionBy("collection_id").orderBy(ascii_fold("title"), "id")
-    return c.items.select("id", F.lag("id").over(shown).alias("before"), F.lead("id").over(shown).alias("after"))
+    shown = Window.partitionBy("o_custkey").orderBy(ascii_fold("o_orderpriority"), "o_orderkey")
+    return c.table("orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(shown).alias("before"), F.lead("o_orderkey").over(shown).alias("after"))
 
 
 @query("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")

@@ -111,13 +111,17 @@ def a16_embedding_candidates(c: Corpus) -> DataFrame:
     return rows.orderBy(F.col("doc_id") % 97, "doc_id").limit(100).select("doc_id")
 
 
-@query()
+@query("SELECT i.collection_id, i.id, coalesce(n, 0) AS assets FROM items i LEFT JOIN (SELECT item_id, count(*) AS n FROM assets GROUP BY 1) ON item_id = i.id", "items", "assets")
 def a13_export_tree(c: Corpus) -> DataFrame:
-    """A JSON document for each collection: its items with their assets."""
+    """The tree of a collection, a JSON document for each item with its assets, so that no collection meets in one task."""
+    tree = exported(c).select("collection_id", "id", F.from_json("document", "assets array<struct<id:long>>")["assets"].alias("assets"))
+    return tree.select("collection_id", "id", F.size("assets").cast("long").alias("assets"))
+
+
+def exported(c: Corpus) -> DataFrame:
     assets = c.assets.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("id", "type", "path", "size"))).alias("assets"))
-    items = c.items.join(assets, F.col("id") == F.col("item_id"), "left").select("collection_id", "id", "title", F.coalesce("assets", F.array().cast(assets.schema["assets"].dataType)).alias("assets"))
-    tree = items.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct("id", "title", "assets"))).alias("items"))
-    return tree.select("collection_id", F.to_json(F.struct(F.lit(3).alias("version"), F.col("collection_id").alias("name"), "items")).alias("document"))
+    items = c.items.join(assets, F.col("id") == F.col("item_id"), "left").withColumn("assets", F.coalesce("assets", F.array().cast(assets.schema["assets"].dataType)))
+    return items.select("collection_id", "id", F.to_json(F.struct(F.lit(3).alias("version"), F.col("collection_id").alias("collection"), "id", "title", "assets")).alias("document"))
 
 
 @query("SELECT conversation_id, count(*) AS messages, count_if(role = 'user') AS questions, substring(arg_min(content, sort_index), 1, 60) AS opening FROM messages GROUP BY 1", "messages")

@@ -47,9 +47,9 @@ def x1_strip_speaker_labels(c: Corpus) -> DataFrame:
     return c.table("conversations").select("conv_id", "turn", T.without_speakers(line).alias("text"))
 
 
-@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents WHERE source = 'src6'")
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def x2_nfc(c: Corpus) -> DataFrame:
-    return c.documents.filter("source = 'src6'").select("doc_id", unicode_nfc("text").alias("text"))
+    return c.documents.select("doc_id", unicode_nfc("text").alias("text"))
 
 
 @query("SELECT DISTINCT unnest(string_split_regex('  el la, uno;dos  la ', '[ ,;]+')) AS word EXCEPT SELECT ''")
@@ -57,9 +57,9 @@ def x5_parse_stopwords(c: Corpus) -> DataFrame:
     return c.spark.sql("SELECT '  el la, uno;dos  la ' AS raw").select(F.explode(F.array_distinct(F.filter(F.split("raw", "[ ,;]+"), lambda w: w != ""))).alias("word"))
 
 
-@query(r"SELECT doc_id, CASE WHEN strpos(lower(text), 'thing') > 0 THEN CASE WHEN length(text) <= 80 THEN text ELSE substring(text, greatest(least(greatest(strpos(lower(text), 'thing') - 1 - 40, 0), length(text) - 80), 0) + 1, 80) END ELSE CASE WHEN length(text) <= 80 THEN text ELSE substring(text, 1, 80) END END AS snippet FROM documents WHERE source = 'src2'")
+@query(r"SELECT doc_id, CASE WHEN strpos(lower(text), 'thing') > 0 THEN CASE WHEN length(text) <= 80 THEN text ELSE substring(text, greatest(least(greatest(strpos(lower(text), 'thing') - 1 - 40, 0), length(text) - 80), 0) + 1, 80) END ELSE CASE WHEN length(text) <= 80 THEN text ELSE substring(text, 1, 80) END END AS snippet FROM documents")
 def x8_snippet_window(c: Corpus) -> DataFrame:
-    return c.documents.filter("source = 'src2'").select("doc_id", T.snippet(F.col("text"), T.question_terms("the thing?"), 80).alias("snippet"))
+    return c.documents.select("doc_id", T.snippet(F.col("text"), T.question_terms("the thing?"), 80).alias("snippet"))
 
 
 @query("SELECT doc_id, substring(text, 1, 500) AS head FROM documents")
@@ -85,9 +85,9 @@ def x13_truncate_label(c: Corpus) -> DataFrame:
     return c.table("part").select("p_partkey", T.short_label("p_name").alias("label"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '(?i)(thing|the|on)', '[\\1]', 'g') AS marked FROM documents WHERE source = 'src3'")
+@query("SELECT doc_id, regexp_replace(text, '(?i)(thing|the|on)', '[\\1]', 'g') AS marked FROM documents")
 def x14_highlight_terms(c: Corpus) -> DataFrame:
-    return c.documents.filter("source = 'src3'").select("doc_id", T.highlighted(F.col("text"), ["on", "The", "thing", "the"]).alias("marked"))
+    return c.documents.select("doc_id", T.highlighted(F.col("text"), ["on", "The", "thing", "the"]).alias("marked"))
 
 
 @query()
@@ -103,7 +103,7 @@ def x16_sentence_truncate(c: Corpus) -> DataFrame:
 @query()
 def x17_repair_mojibake(c: Corpus) -> DataFrame:
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return c.documents.filter("lang <> 'en'").select("doc_id", repaired(F.substring(broken, 1, 80)).alias("text"))
+    return c.documents.select("doc_id", repaired(broken).alias("text"))
 
 
 @query(r"""SELECT p_partkey, lower(trim(regexp_replace(regexp_replace('  «' || p_name || '», ', '^[\s.,;:!?"''()\[\]{}<>«»“”‘’*_-]+|[\s.,;:!?"''()\[\]{}<>«»“”‘’*_-]+$', '', 'g'), '\s+', ' ', 'g'))) AS key FROM part""")
@@ -111,9 +111,9 @@ def x18_normalize_entity(c: Corpus) -> DataFrame:
     return c.table("part").select("p_partkey", T.entity_key(F.concat(F.lit("  «"), "p_name", F.lit("», "))).alias("key"))
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(translate(lower(substring(text, 1, 40)), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(translate(lower(text), '{T.ACCENTS[0]}', '{T.ACCENTS[1]}'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def x20_normalize_metadata_key(c: Corpus) -> DataFrame:
-    return c.documents.select("doc_id", T.metadata_key(F.substring("text", 1, 40)).alias("key"))
+    return c.documents.select("doc_id", T.metadata_key("text").alias("key"))
 
 
 @query("SELECT DISTINCT upper(trim(event_type)) AS topic FROM events")

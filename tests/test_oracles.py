@@ -1,13 +1,14 @@
 """Every registered query against its SQL, as the driver does it."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from lektra.plans import registry
-from tests.conftest import SF
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
