@@ -95,7 +95,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int, id_co
         from pyspark import TaskContext
 
         pieces, part = piece_table(spec.value), TaskContext.get().partitionId()
-        segment, before, held, docs_held, counts = 0, 0, [], [], []
+        segment, before, size, held, docs_held, counts = 0, 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate(held)
@@ -111,9 +111,10 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int, id_co
                 held.append(np.append(ids, np.uint32(end_id)))
                 docs_held.append(doc)
                 counts.append(len(ids) + 1)
-                if sum(counts) >= SEGMENT_IDS:
+                size += len(ids) + 1
+                if size >= SEGMENT_IDS:
                     yield close()
-                    segment, before, held, docs_held, counts = segment + 1, before + sum(counts), [], [], []
+                    segment, before, size, held, docs_held, counts = segment + 1, before + size, 0, [], [], []
         if held:
             yield close()
 
