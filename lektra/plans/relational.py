@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lektra.functions.text import ascii_fold, base_name, extension, file_kind, one_line, sensitive, topic_name
+from lektra.functions.text import ascii_fold, base_name, file_kind, sensitive, topic_name
 from lektra.operators import relational as R
 from lektra.plans.catalog import query
 from lektra.sources.corpus import Corpus
