@@ -31,6 +31,7 @@ from lektra.llm.components import components
 
 SEGMENTS = 32
 MOST_IN_CELL = 8192
+SMALL_CELL = 64
 #: Comparisons that a task holds at once.
 _CELLS = 250_000
 
@@ -134,6 +135,24 @@ def forest(fps: np.ndarray, vectors: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.concatenate(children or [none]), np.concatenate(parents or [none])
 
 
+def runs_with_links(rows: np.ndarray, cuts: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
+    """Which cells of sorted rows (cell, fingerprint, vector) hold a link; those of more than SMALL_CELL rows are taken unseen.
+
+    Rows are compared with the next, the one after it and so on, for all cells at once.
+    """
+    run = np.repeat(np.arange(len(cuts)), ends - cuts)
+    found = ends - cuts > SMALL_CELL
+    first = np.flatnonzero(~found[run])
+    for step in range(1, SMALL_CELL):
+        first = first[first + step < len(rows)]
+        first = first[run[first + step] == run[first]]
+        if not len(first):
+            break
+        near = first[np.bitwise_count(rows[first, 2] ^ rows[first + step, 2]) <= radius]
+        found[run[near[np.bitwise_count(rows[near, 1] ^ rows[near + step, 1]) <= radius]]] = True
+    return np.flatnonzero(found)
+
+
 def linked(fps: DataFrame, radius: int) -> DataFrame:
     """(a, b): a spanning forest, cell by cell, of the links between distinct fingerprints (fp long)."""
     vectors = fps.select("fp", embedded(F.col("fp")).alias("vector"))
@@ -152,15 +171,10 @@ def linked(fps: DataFrame, radius: int) -> DataFrame:
             a, b = [rows[:0, 0]], [rows[:0, 0]]
             cuts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
             ends = np.append(cuts[1:], len(rows))
-            for i, j in zip(cuts.tolist(), ends.tolist()):
-                if j == i + 2:
-                    if int(np.bitwise_count(rows[i, 2] ^ rows[i + 1, 2])) <= radius and int(np.bitwise_count(rows[i, 1] ^ rows[i + 1, 1])) <= radius:
-                        a.append(rows[i : i + 1, 1])
-                        b.append(rows[i + 1 : i + 2, 1])
-                elif j > i + 2:
-                    child, parent = forest(rows[i:j, 1], rows[i:j, 2], radius)
-                    a.append(child)
-                    b.append(parent)
+            for run in runs_with_links(rows, cuts, ends, radius).tolist():
+                child, parent = forest(rows[cuts[run] : ends[run], 1], rows[cuts[run] : ends[run], 2], radius)
+                a.append(child)
+                b.append(parent)
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1).view(np.int64), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
