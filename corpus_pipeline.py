@@ -1,7 +1,7 @@
 """A corpus pipeline: each stage works on all that the stage before it kept and is written as Parquet.
 
 1. quality rules: documents that weak supervision rejects go;
-2. SimHash near-dedup: of each group of near copies the first stays;
+2. near-dedup: of each group of near copies, texts that share 0.8 of their five-word shingles, the first stays;
 3. benchmark decontamination: documents that hold a benchmark item, within its edit distance, go;
 4. secret scan: secrets are masked in the text, and n_chars follows;
 5. BPE: the texts' token ids.
@@ -12,7 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lektra.llm import bpe, decontamination, quality, secrets, simhash
+from lektra.llm import bpe, decontamination, nearcopies, quality, secrets
 from lektra.llm.common import fresh_path, table
 
 
@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return nearcopies.deduplicated(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
