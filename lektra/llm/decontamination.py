@@ -4,8 +4,9 @@ Texts and items are compared as words (letters and digits of any script, lower-c
 reads a window: at each step it emits the word under it, and the word and the step together decide whether it moves
 on; two windows at a small edit distance thus emit sequences at a small Hamming distance. Each of many tables samples
 a few steps of a walk; a window of the size of an item that agrees with it in one table is a candidate, and the edit
-distance between the item and the text from there is then computed exactly. The number of tables follows from
-the target recall, by the rate at which windows at the distance limit agree in one table.
+distance between the item and the text from there is then computed exactly. Sampled steps, walks and tables follow
+from the target recall for each window size, by the rate at which windows at the distance limit of the items of that
+size agree, edits of the first words included; a target that no plan reaches is an error.
 
 A window within the limit of d edits has all but d of its words from the benchmark's vocabulary, starts with one of
 them at its best place, and holds one of d + 1 pieces of the item unchanged. This screen is exact; it leaves few
@@ -20,7 +21,7 @@ columns stay behind. Texts are never cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,12 @@ from lektra.llm.substrings import mixed
 
 _LETTERS = regex.compile(r"[^\p{L}\p{N}]+")
 #: Window sizes in words; an item is embedded by its first words, as many as the largest size that it fills.
-SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 16, 20, 26, 32, 40, 50, 64, 80, 100, 128)
+SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 16, 20, 26, 32, 40, 50, 64, 80, 100, 128, 160, 200, 256, 320, 400, 512, 640, 800, 1024)
+#: What a window size may need more than the settings: (steps sampled less, times as many walks), the cheaper first.
+PLANS = ((0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4), (3, 4))
+MOST_TABLES = 64
+#: By so much the recall measured for a plan has to be above the target, as it is an estimate.
+MARGIN = 0.02
 WORD_BITS, PIECE_BITS, KEY_BITS = 20, 22, 22
 #: Items that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ITEMS = 20_000
@@ -42,7 +48,10 @@ BROADCAST_ITEMS = 20_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``tolerance``: edits for each word of an item. ``sampled``: steps that a table samples. ``walks`` share tables."""
+    """``tolerance``: edits for each word of an item. ``sampled``: steps that a table samples. ``walks`` share tables.
+
+    Sizes that miss the recall with these sample fewer steps of more walks.
+    """
 
     tolerance: float = 0.2
     recall: float = 0.95
@@ -118,28 +127,39 @@ class Walks:
         return out
 
 
-def tables_for(settings: Settings, size: int = 20, trials: int = 400) -> int:
-    """As many tables as reach the recall for random windows at the distance limit."""
-    rng = np.random.default_rng(settings.seed)
+def plan_for(settings: Settings, words: int, trials: int = 600) -> tuple[Settings, int]:
+    """The settings and tables that reach the recall for random items of ``words`` words at the distance limit."""
+    size = size_of(words)
+    rng = np.random.default_rng([settings.seed, words])
     items, copies = [], []
     for _ in range(trials):
-        item = rng.integers(1, 2**64, size, dtype=np.uint64)
+        item = rng.integers(1, 2**63, words, dtype=np.uint64)
         copy = item.tolist()
-        for _ in range(settings.edits(size)):
-            kind, at = rng.integers(3), int(rng.integers(1, max(len(copy), 2)))
+        for _ in range(settings.edits(words)):
+            kind, at = rng.integers(3), int(rng.integers(0, max(len(copy), 1)))
             if kind < 2 and at < len(copy):
                 del copy[at]
             if kind > 0:
-                copy.insert(at, int(rng.integers(1, 2**63)))
-        items.append(item)
-        copies.append(np.array([*copy, *rng.integers(1, 2**63, size).tolist()], np.uint64)[:size])  # the text goes on
+                copy.insert(at, int(rng.integers(2**63, 2**64, dtype=np.uint64)))
+        while copy and copy[0] >= 2**63:  # a window starts with a word of the item
+            del copy[0]
+        items.append(item[:size])
+        copies.append(np.array([*copy, *rng.integers(2**63, 2**64, size, dtype=np.uint64).tolist()], np.uint64)[:size])  # the text goes on
     starts = np.arange(trials) * size
-    walks = Walks(size, settings, 64)
-    same = walks.keys(np.concatenate(items), starts) == walks.keys(np.concatenate(copies), starts)
-    for tables in range(4, 64):
-        if same[:, :tables].any(1).mean() >= settings.recall:
-            return tables
-    return 64
+    goal = min(settings.recall + MARGIN, (1 + settings.recall) / 2)
+    for fewer, times in PLANS:
+        plan = replace(settings, sampled=max(1, settings.sampled - fewer), walks=settings.walks * times)
+        walks = Walks(size, plan, MOST_TABLES)
+        same = walks.keys(np.concatenate(items), starts) == walks.keys(np.concatenate(copies), starts)
+        reached = np.flatnonzero(np.logical_or.accumulate(same, 1).mean(0) >= goal)
+        if len(reached):
+            return plan, max(4, int(reached[0]) + 1)
+    raise ValueError(f"no plan reaches a recall of {settings.recall} for items of {words} words and {settings.edits(words)} edits")
+
+
+def plans_for(settings: Settings, by_size: dict[int, list[int]]) -> dict[int, tuple[Settings, int]]:
+    """For each window size, the plan for the length with most edits in a window."""
+    return {size: plan_for(settings, max(lengths, key=lambda n: (settings.edits(n) * size / n, n))) for size, lengths in by_size.items()}
 
 
 def edit_distances(items: list[np.ndarray], texts: list[np.ndarray], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,10 +231,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     spark = docs.sparkSession
     items = item_codes(benchmark).persist()
     n_items = items.count()
-    tables = tables_for(settings)
     lengths = sorted(r.n for r in items.select(F.size("codes").alias("n")).distinct().collect())  # as many as lengths of items
     longest = max(lengths, default=1)
     reach = longest + settings.edits(longest)
+    by_size: dict[int, list[int]] = {}
+    for n in lengths:
+        by_size.setdefault(size_of(n), []).append(n)
+    plans = plans_for(settings, by_size)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks: dict[int, Walks] = {}
@@ -223,7 +246,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
             for x in batch.column(1).to_pylist():
                 codes = np.array(x, np.int64).view(np.uint64)
                 size = size_of(len(codes))
-                walks[size] = walks.get(size) or Walks(size, settings, tables)
+                walks[size] = walks.get(size) or Walks(size, *plans[size])
                 keys.append(np.unique(walks[size].keys(codes, np.zeros(1, np.int64))[0].view(np.int64)))
                 width = settings.piece(len(codes))
                 pieces.append(pieces_of(codes, width)[: (settings.edits(len(codes)) + 1) * width : width].view(np.int64))
@@ -233,13 +256,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     signed = items.mapInArrow(sign, f"item_id {kind}, codes array<long>, keys array<long>, pieces array<long>")
     maps = [bitmap(signed.select(F.explode(c).alias("x")), n) for c, n in (("codes", WORD_BITS), ("pieces", PIECE_BITS), ("keys", KEY_BITS))]
     shared = spark.sparkContext.broadcast(maps)  # of fixed sizes
-    by_size: dict[int, list[int]] = {}
-    for n in lengths:
-        by_size.setdefault(size_of(n), []).append(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known_pieces, known = shared.value
-        walks = {size: Walks(size, settings, tables) for size in by_size}
+        walks = {size: Walks(size, *plans[size]) for size in by_size}
         for part in text_slices(batches, 3):
             found = [codes_of(x) for x in part.column(3).to_pylist()]
             gap = np.zeros(reach, np.uint64)

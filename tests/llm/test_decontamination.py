@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from lektra.llm import decontamination as D
 from tests.conftest import SF
@@ -101,3 +102,21 @@ def test_nulls_ties_and_clashing_columns(spark):
     assert D.matches(spark.createDataFrame([], docs.schema), items).count() == 0
     none = spark.createDataFrame([], items.schema)
     assert D.matches(docs, none).count() == 0 and D.clean(docs, none).count() == 7
+
+
+@pytest.mark.parametrize("size", [5, 15, 20, 40, 64, 100, 128, 200, 300])
+def test_recall_at_the_limit_by_length(spark, size):
+    rng = random.Random(size)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items = [(i, text(size)) for i in range(150)]
+    limit = D.Settings().edits(size)
+    docs = [(i, text(30) + edited(rng, item, limit) + text(30)) for i, item in items]
+    rows = lambda xs: spark.createDataFrame([(i, " ".join(w)) for i, w in xs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.matches(rows(docs), rows(items).withColumnRenamed("doc_id", "item_id")).collect()}
+    assert len(got) >= 0.95 * len(items) and all(d == i for d, i in got)
+
+
+def test_a_target_that_is_missed_is_an_error(monkeypatch):
+    monkeypatch.setattr(D, "PLANS", ((0, 1),))
+    with pytest.raises(ValueError):
+        D.plan_for(D.Settings(), 128)
