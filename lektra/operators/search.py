@@ -54,6 +54,12 @@ def neighbours(vectors: DataFrame, query: DataFrame, limit: int, least: float =
     return kept.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def without_vector(texts: DataFrame, vectors: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id): all texts (id, text) that aren't blank and have no row in ``vectors`` (id); the first ``limit`` by id where one is given."""
+    rows = texts.filter(F.length(F.trim("text")) > 0).join(vectors.select("id"), "id", "left_anti").select("id")
+    return rows if limit is None else rows.orderBy("id").limit(limit)
+
+
 def fused(*legs: DataFrame, k: int = 60, limit: int = 6) -> DataFrame:
     """(id, score): reciprocal rank fusion of legs (id, place from 1)."""
     rows = legs[0].select("id", "place")

@@ -111,6 +111,12 @@ def a16_embedding_candidates(c: Corpus) -> DataFrame:
     return rows.orderBy(F.col("doc_id") % 97, "doc_id").limit(100).select("doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE length(trim(text)) > 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def a16_embedding_candidates_all(c: Corpus) -> DataFrame:
+    """All of them; a16_embedding_candidates gives the first hundred, as its SQL does."""
+    return S.without_vector(_texts(c), c.vectors.select(F.col("asset_id").alias("id"))).select(F.col("id").alias("doc_id"))
+
+
 @query("SELECT i.collection_id, i.id, coalesce(n, 0) AS assets FROM items i LEFT JOIN (SELECT item_id, count(*) AS n FROM assets GROUP BY 1) ON item_id = i.id", "items", "assets")
 def a13_export_tree(c: Corpus) -> DataFrame:
     """The tree of a collection, a JSON document for each item with its assets, so that no collection meets in one task."""
