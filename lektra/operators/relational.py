@@ -75,3 +75,27 @@ def with_shown_order(assets: DataFrame, parent: str = "item_id") -> DataFrame:
     sorted_ = (F.count("*").over(of) > 1) & F.max((F.col("sort_index") != 0).cast("int")).over(of).cast("boolean")
     rows = assets.withColumn("__key", F.when(sorted_, F.col("sort_index")).otherwise(0))
     return rows.withColumn("position", F.row_number().over(of.orderBy("__key", ascii_fold("path"), "id"))).drop("__key")
+
+
+def placed_in_groups(rows: DataFrame, group: str, row_id: str, *order: str) -> DataFrame:
+    """(group, id, place from 1, before, after): each row's place and neighbours in its group, by ascending columns and then the id.
+
+    No group meets in one task: rows are dealt by ranges of group and order, numbered within a range, and take what
+    the ranges before hold as an offset; the first and last row of a range get their neighbours from the next one.
+    """
+    keys = [f"__{i}" for i in range(len(order))]
+    named = rows.select(F.col(group).alias("__group"), *(F.col(c).alias(k) for c, k in zip(order, keys)), F.col(row_id).alias("__id"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # kept, as another run of the sampling could draw other ranges
+    dealt = named.repartitionByRange(parts, "__group", *keys, "__id").withColumn("__part", F.spark_partition_id()).persist()
+    at = F.struct(*keys, "__id")
+    ranges = dealt.groupBy("__group", "__part").agg(F.count("*").alias("n"), F.min(at)["__id"].alias("first"), F.max(at)["__id"].alias("last"))
+    by_part = Window.partitionBy("__group").orderBy("__part")  # as many rows as ranges at most
+    ranges = ranges.select(
+        F.col("__group").alias("g"), F.col("__part").alias("p"),
+        (F.sum("n").over(by_part) - F.col("n")).alias("offset"), F.lag("last").over(by_part).alias("previous"), F.lead("first").over(by_part).alias("next"),
+    )
+    inside = Window.partitionBy("__group", "__part").orderBy(*keys, "__id")
+    local = dealt.select("__group", "__part", "__id", F.row_number().over(inside).alias("n"), F.lag("__id").over(inside).alias("b"), F.lead("__id").over(inside).alias("a"))
+    met = local.join(ranges, F.col("__group").eqNullSafe(F.col("g")) & (F.col("__part") == F.col("p")))
+    return met.select(F.col("__group").alias(group), F.col("__id").alias(row_id), (F.col("n") + F.col("offset")).alias("place"), F.coalesce("b", "previous").alias("before"), F.coalesce("a", "next").alias("after"))

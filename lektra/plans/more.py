@@ -76,6 +76,13 @@ def g17_group_by_type_order(c: Corpus) -> DataFrame:
     return grouped.withColumn("place", F.when(F.col("kind") == "en", 0).when(F.col("kind") == "es", 1).otherwise(2)).orderBy("place", "kind")
 
 
+@query("SELECT lang AS kind, CASE lang WHEN 'en' THEN 0 WHEN 'es' THEN 1 ELSE 2 END AS place, doc_id FROM documents")
+def g17_members_by_type_order(c: Corpus) -> DataFrame:
+    """The members of each kind as rows, in order, so that no list holds a kind."""
+    place = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "es", 1).otherwise(2)
+    return c.documents.select(F.col("lang").alias("kind"), place.alias("place"), "doc_id").orderBy("place", "kind", "doc_id")
+
+
 @query("SELECT id, title FROM items WHERE contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ion') ORDER BY translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), id LIMIT 20", "items")
 def a7_search_global(c: Corpus) -> DataFrame:
     """No term of the index is a mere part of a word, so titles are searched instead."""

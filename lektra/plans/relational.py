@@ -332,6 +332,12 @@ def w3_rank_in_leg(c: Corpus) -> DataFrame:
     return c.table("orders").select("o_custkey", "o_orderkey", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents")
+def w3_rank_in_source(c: Corpus) -> DataFrame:
+    rows = c.documents.select("source", "doc_id", (-F.col("n_chars")).alias("shortness"))
+    return R.placed_in_groups(rows, "source", "doc_id", "shortness").select("source", "doc_id", "place")
+
+
 @query("SELECT conversation_id, sort_index, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS role, content FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sort_index DESC) AS n FROM messages WHERE trim(content) <> '') WHERE n <= 3", "messages")
 def w4_last_turns(c: Corpus) -> DataFrame:
     recent = Window.partitionBy("conversation_id").orderBy(F.desc("sort_index"))
@@ -345,6 +351,12 @@ def w7_siblings(c: Corpus) -> DataFrame:
     return c.table("orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(shown).alias("before"), F.lead("o_orderkey").over(shown).alias("after"))
 
 
+@query("SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM items WINDOW w AS (PARTITION BY collection_id ORDER BY translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), id)", "items")
+def w7_siblings_in_collection(c: Corpus) -> DataFrame:
+    rows = c.items.select("collection_id", "id", ascii_fold("title").alias("shown"))
+    return R.placed_in_groups(rows, "collection_id", "id", "shown").select("id", "before", "after")
+
+
 @query("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
 def w8_consecutive_dedupe(c: Corpus) -> DataFrame:
     before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
