@@ -18,7 +18,7 @@ def op1_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept", "quality")
 
 
