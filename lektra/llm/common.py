@@ -12,9 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python operator holds as objects at once.
-SLICE_ROWS = 256
-
 #: Bytes of texts that are worked on together where more at once is faster.
 SLICE_BYTES = 2_000_000
 
@@ -54,12 +51,6 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices whose texts in a column have about ``most`` bytes together; a longer text stands alone."""
     for batch in batches:
@@ -79,7 +70,7 @@ def per_text(docs: DataFrame, function: Callable[[list[str]], list[pa.Array]], s
     columns = [id_col, *(c for c in carry if c != id_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in text_slices(batches, len(columns)):
             texts = ["" if x is None else x for x in part.column(len(columns)).to_pylist()]
             made = function(texts)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), *made], names=[*columns, *names])

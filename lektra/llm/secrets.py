@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lektra.llm.common import per_text, slices
+from lektra.llm.common import per_text, text_slices
 
 Span = tuple[str, int, int]
 
@@ -52,7 +52,7 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("login_url", r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s/:@]{1,200}:[^\s/:@]{1,200}@"),
+    Rule("login_url", r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s/:@]+:[^\s/:@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -227,7 +227,7 @@ def redacted(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text_col: str
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in text_slices(batches, at):
             texts = part.column(at).to_pylist()
             found = scanner(rules).scan(["" if x is None else x for x in texts])
             columns = part.columns
