@@ -76,3 +76,19 @@ def per_text(docs: DataFrame, function: Callable[[list[str]], list[pa.Array]], s
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), *made], names=[*columns, *names])
 
     return docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+
+
+#: Keys that a join broadcasts at most.
+HEAVY_KEYS = 100_000
+
+
+def heavy_join(left: DataFrame, right: DataFrame, on: str, total: int, weight: str) -> DataFrame:
+    """Inner join with ``right``, which has one narrow row for each key and in ``weight`` the rows that ``left`` has of it.
+
+    Keys with more than ``total`` / HEAVY_KEYS of the ``total`` rows of ``left`` are fewer than HEAVY_KEYS: they are
+    broadcast, and their rows stay where they are. All others are joined by a shuffle, where no key is large. Both sides
+    are read more than once, so they are settled before.
+    """
+    hot, cold = right.filter(F.col(weight) * HEAVY_KEYS > total), right.filter(F.col(weight) * HEAVY_KEYS <= total)
+    light = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
+    return left.join(F.broadcast(hot), on).unionByName(light)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lektra.llm.common import settled
+from lektra.llm.common import heavy_join, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,6 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs the greater neighbours of a node on its least neighbour, then the lesser ones, until nothing
     changes; rounds are settled in the shared folder. The number of rounds grows with the logarithm of the nodes.
+    Nodes with many links, the hubs of stars, take no part in shuffles by node: their least neighbours are broadcast.
     """
     now = settled(links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct())
     before = None
@@ -22,9 +23,9 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("high").alias("node"), F.col("low").alias("root")).union(now.select(F.col("low"), F.col("low"))).groupBy("node").agg(F.min("root").alias("root"))
         before = mark
         around = now.select(F.col("high").alias("node"), F.col("low").alias("next")).union(now.select(F.col("low"), F.col("high")))
-        least = around.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("least"))
-        large = around.join(least, "node").filter("next > node").select(F.col("next").alias("high"), F.col("least").alias("low")).distinct()
-        least = large.groupBy("high").agg(F.min("low").alias("least"))
-        joined = large.join(least, "high")
-        small = joined.filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low")).union(least.select("high", F.col("least").alias("low"))).distinct()
-        now = settled(small)
+        least = settled(around.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("least"), F.count("*").alias("n")))
+        hung = heavy_join(around, least, "node", 2 * mark[0], "n").filter("next > node")
+        large = settled(hung.select(F.col("next").alias("high"), F.col("least").alias("low")).distinct())
+        least = settled(large.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("n")))
+        lower = heavy_join(large, least, "high", mark[0], "n").filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+        now = settled(lower.union(least.select("high", F.col("least").alias("low"))).distinct())

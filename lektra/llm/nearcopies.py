@@ -1,10 +1,13 @@
-"""Near copies by the Jaccard similarity of their five-word shingles, for the corpus pipeline.
+"""Operator 6 on shingle sets: near copies by a Jaccard similarity of their five-word shingles, found by SimHash.
 
-Texts with the same set of shingles are one node. Minima of BANDS times ROWS hash functions over the set bring nodes
-together that agree in one band; at the least similarity of 0.8 a pair is missed with a chance of
-(1 - 0.8 ** ROWS) ** BANDS, under 0.01, and above it more rarely. Nodes that bands connect are compared block by block,
-each pair of blocks once, by their whole shingle sets; only pairs of a similarity of at least 0.8 link, so nothing
-is taken for a near copy that isn't linked by them. Components are found by alternating stars.
+Texts with the same set of shingles are one node. A node has a SimHash fingerprint of 384 bits over its set. Two sets of a
+similarity j differ in each bit with a chance of arccos(2j / (1 + j)) / pi, 0.15 at j = 0.8, which is too far for the
+grid of ``simhash``, whose cells lose no pair within a few bits. So this grid has tables: a cell of a table
+fixes the counts of some sampled segments (of one bit each; segments of two bits would need three times as many tables), of the last 320
+bits. How many segments follows from the number of nodes, so that a node meets about eight others by chance, and how many
+tables from the recall. In a cell the Manhattan distance of the first 64 bits, in two-bit segments, sifts, then their Hamming distance. Nodes that are
+connected so are compared block by block, each pair of blocks once, by their whole shingle sets; only pairs of a similarity
+of at least 0.8 link, so nothing is taken for a near copy that isn't linked by them. Components are found by alternating stars.
 
 Defined results: texts without words are one node; a null text counts as empty; see ``deduplicated`` for ties.
 """
@@ -12,6 +15,7 @@ Defined results: texts without words are one node; a null text counts as empty;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, comb, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +23,57 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lektra.llm.common import settled, text_slices
+from lektra.llm.common import heavy_join, settled, text_slices
 from lektra.llm.components import components
-from lektra.llm.simhash import hashes_of
+from lektra.llm.simhash import hashes_of, linked, majorities
+from lektra.llm.substrings import mixed
 
 WIDTH = 5
-BANDS, ROWS = 12, 5
+#: 64-bit words of a fingerprint; the first sifts, the others are sampled by tables.
+WORDS = 6
+#: Recall that the tables are planned for, and standard deviations by which the sift exceeds the distance to be expected.
+RECALL, SLACK = 0.97, 2.2
+#: Sets of fewer shingles differ by one of them at most at a similarity of 0.8; they are brought together by all sets less one.
+TINY = 10
 #: Nodes of a block; two blocks are compared at once.
 BLOCK = 256
 
-_FACTORS = np.random.default_rng(11).integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = np.random.default_rng(11).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def flips(percent: int) -> float:
+    """The chance that a bit differs between two sets of this similarity; sets of unlike sizes differ less."""
+    return acos(2 * percent / (100 + percent)) / pi
+
+
+def radius_of(percent: int) -> int:
+    """Bits of the first 64 that may differ."""
+    p = flips(percent)
+    return round(64 * p + SLACK * (64 * p * (1 - p)) ** 0.5)
+
+
+def plan(nodes: int, percent: int) -> tuple[int, int]:
+    """Sampled segments of a table and number of tables for so many nodes.
+
+    A pair that differs in m of the bits is missed by a table unless it samples none of them; m is binomial.
+    """
+    bits, p = 64 * (WORDS - 1), flips(percent)
+    sampled = max(12, ceil(log2(max(nodes, 1))) - 3)
+    chances = [comb(bits, m) * p**m * (1 - p) ** (bits - m) for m in range(bits + 1)]
+    met = [comb(bits - m, sampled) / comb(bits, sampled) for m in range(bits + 1)]
+    tables = 1
+    while sum(c * (1 - x) ** tables for c, x in zip(chances, met)) > 1 - RECALL:
+        tables += 1 + tables // 16
+    return sampled, tables
+
+
+def table_matrix(sampled: int, tables: int) -> np.ndarray:
+    """For each bit and table the power of two that the bit counts in the table's cell number, or zero; exact in doubles."""
+    rng, bits = np.random.default_rng([13, sampled]), 64 * (WORDS - 1)
+    found = np.zeros((bits, tables))
+    for t in range(tables):
+        found[rng.choice(bits, sampled, replace=False), t] = 2.0 ** np.arange(sampled)
+    return found
 
 
 def shingles_of(text: str | None) -> np.ndarray:
@@ -36,30 +81,60 @@ def shingles_of(text: str | None) -> np.ndarray:
     return np.unique(np.array(hashes_of(text or "", WIDTH), np.uint64))
 
 
-def sketches_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each set its node and the key of each band."""
+def fingerprints_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set its node and the WORDS words of its fingerprint."""
     nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
-    keys = np.zeros((len(sets), BANDS), np.uint64)
-    some = np.flatnonzero([len(s) for s in sets])
-    if len(some):
-        hashes = np.concatenate([sets[i] for i in some])
-        begins = np.cumsum([0, *(len(sets[i]) for i in some[:-1])])
-        for band in range(BANDS):
-            minima = np.stack([np.minimum.reduceat(hashes * factor, begins) for factor in _FACTORS[band]], 1)
-            keys[some, band] = [xxhash.xxh3_64_intdigest(m.tobytes(), band) for m in minima]
-    return nodes, keys
+    sizes = np.array([len(s) for s in sets], np.int64)
+    hashes = np.concatenate([*sets, np.empty(0, np.uint64)])
+    return nodes, np.stack([majorities(mixed(hashes * salt), sizes) for salt in _SALTS], 1)
+
+
+def tiny_cells(shingles: np.ndarray) -> list[int] | None:
+    """Cells of a small set and of the set less each of its shingles."""
+    if not 0 < len(shingles) < TINY:
+        return None
+    return [xxhash.xxh3_64_intdigest(x.tobytes(), 1) - 2**63 for x in (shingles, *(np.delete(shingles, i) for i in range(len(shingles))))]
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b, node, keys) of each row; a and b are checksums of the text."""
+    """(doc_id, a, b, node, fp, wide, near) of each row; a and b are checksums of the text, near has the cells of a tiny set."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 3):
-            nodes, keys = sketches_of([shingles_of(x) for x in part.column(3).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nodes.view(np.int64)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "a", "b", "node", "keys"])
+            found = [shingles_of(x) for x in part.column(3).to_pylist()]
+            nodes, words = fingerprints_of(found)
+            near = pa.array([tiny_cells(x) for x in found], pa.list_(pa.int64()))
+            wide = pa.array([x.tobytes() for x in np.ascontiguousarray(words[:, 1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nodes.view(np.int64)), pa.array(words[:, 0].view(np.int64)), wide, near], names=["doc_id", "a", "b", "node", "fp", "wide", "near"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, a long, b long, node long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, a long, b long, node long, fp long, wide binary, near array<long>")
+
+
+def in_tables(nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(fp, cell) of each node in each table."""
+    sampled, tables = plan(n, percent)
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = table_matrix(sampled, tables)
+        numbers = mixed(np.arange(tables, dtype=np.uint64))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2000):
+                part = batch.slice(begin, 2000)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
+                cell = mixed((bits.astype(np.float64) @ matrix).astype(np.uint64) ^ numbers)
+                fp = np.repeat(part.column(0).to_numpy(zero_copy_only=False), tables)
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(cell.view(np.int64).ravel())], names=["fp", "cell"])
+
+    return nodes.select("fp", "wide").repartition(parts, "fp").mapInArrow(run, "fp long, cell long")
+
+
+def tiny_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links of tiny sets with the least fingerprint of each of their cells; too few bits of theirs stay for the sift."""
+    keyed = settled(nodes.select("fp", F.explode("near").alias("cell")))
+    least = settled(keyed.groupBy("cell").agg(F.min("fp").alias("b"), F.count("*").alias("rows")).filter("rows > 1"))
+    return heavy_join(keyed, least, "cell", keyed.count(), "rows").select(F.col("fp").alias("a"), "b")
 
 
 def similar(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
@@ -120,16 +195,16 @@ def verified(groups: DataFrame, percent: int) -> DataFrame:
 def deduplicated(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the first of their component: least id (null last), then least text checksum.
 
-    Of rows that agree in id and text one stays. BANDS and ROWS are made for a ``percent`` of 80 and more.
+    Of rows that agree in id and text one stays; extra columns stay as they are.
     """
     sketches = settled(sketched(docs))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "a", "b")
-    nodes = settled(sketches.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    least = keyed.groupBy("band", "key").agg(F.min("node").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = settled(components(keyed.join(least, ["band", "key"]).select(F.col("node").alias("a"), F.col("other").alias("b"))))
-    sizes = met.groupBy("root").agg(F.count("*").alias("size"))
-    chosen = met.join(sizes, "root").join(nodes.select("node", "first"), "node")
+    nodes = settled(sketches.groupBy("node").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("near").alias("near")))
+    links = linked(in_tables(nodes, nodes.count(), percent), radius_of(percent)).union(tiny_links(nodes))
+    near = components(settled(links)).withColumnRenamed("node", "fp")
+    met = settled(nodes.select("node", "first", "fp").join(near, "fp", "left").select("node", "first", F.coalesce("root", "fp").alias("root")))
+    sizes = settled(met.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"))
+    chosen = heavy_join(met, sizes, "root", met.count(), "size")
     chosen = chosen.select("root", "size", "node", F.col("first.id").alias("__id"), F.col("first.a").alias("__a"), F.col("first.b").alias("__b"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), "text")
     texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("root", "size", "node", "text")
@@ -143,8 +218,18 @@ def deduplicated(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     roots = components(settled(verified(groups, percent))).withColumnRenamed("node", "__node")
     rooted = nodes.join(roots, F.col("node") == F.col("__node"), "left").select("first", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    keep = firsts.select(F.col("first.id").alias("__id"), F.col("first.a").alias("__a"), F.col("first.b").alias("__b"))
-    own = docs.withColumns({"__own_a": F.xxhash64("text"), "__own_b": F.xxhash64("text", F.lit(1))})
-    left = own.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own_a") == F.col("__a")) & (F.col("__own_b") == F.col("__b")), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", "__own_a", "__own_b").orderBy("__own_a"))
-    return left.withColumn("__copy", again).filter("__copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return only(docs, firsts.select("first.*"))
+
+
+def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` named by ``keep`` (id, a, b), one of those that agree in id and text.
+
+    One exchange serves the join and the choice among equal rows: both go by the same three hashes.
+    """
+    own = [f"__own_{i}" for i in range(len(docs.columns))]
+    moved = docs.toDF(*own)  # no name of a column can clash
+    doc_id, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    keyed = moved.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(text, F.lit(1)), "__c": F.xxhash64(doc_id)})
+    left = keyed.join(keep.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.xxhash64("id").alias("__c")), ["__a", "__b", "__c"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("__a", "__b", "__c").orderBy("__a"))
+    return left.withColumn("__copy", again).filter("__copy = 1").select(*(F.col(x).alias(c) for x, c in zip(own, docs.columns)))

@@ -7,8 +7,9 @@ a grid, which fix that many groups with their counts, thus bring together all pa
 Manhattan distance sifts and the Hamming distance decides.
 
 A cell yields a spanning forest of its links instead of all pairs. Fingerprints are made distinct before, so exact
-copies cost one row; a cell of more than MOST_IN_CELL rows is dealt out as pairs of blocks, which cover every
-pair of rows. Components are found by alternating stars.
+copies cost one row; a cell of more than MOST_IN_CELL rows is dealt out as pairs of blocks, which
+cover every pair of rows. The more fingerprints there are, the more segments a cell fixes, so that cells
+stay rare. Components are found by alternating stars.
 
 Defined results: texts without words have the fingerprint zero and link like others; a null text counts as empty; rows
 with equal ids are treated row by row; a null id never names a component unless all ids of it are null; an empty table
@@ -19,19 +20,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lektra.llm.common import settled, text_slices
+from lektra.llm.common import heavy_join, settled, text_slices
 from lektra.llm.components import components
 
 SEGMENTS = 32
 MOST_IN_CELL = 8192
 SMALL_CELL = 64
+#: Bits by which ranges of cells are counted.
+RANGE_BITS = 20
 #: Comparisons that a task holds at once.
 _CELLS = 250_000
 
@@ -54,14 +58,11 @@ def hashes_of(text: str, width: int) -> list[int]:
     return [digest(view[a:b], 42) for a, b in zip(begins, ends)]
 
 
-def fingerprints_of(texts: list[str], width: int = 4) -> np.ndarray:
-    """A bit is 1 where it is set in over half the hashes."""
-    found = [hashes_of(t, width) for t in texts]
-    sizes = np.array([len(f) for f in found], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run of ``sizes`` hashes, the bits that are set in over half of them; zero where there are none."""
+    out = np.zeros(len(sizes), np.uint64)
     if not sizes.sum():
         return out
-    hashes = np.array([h for f in found for h in f], np.uint64)
     begins = np.cumsum(sizes) - sizes
     some = np.flatnonzero(sizes)
     cuts = np.concatenate([np.arange(b, b + n, 255) for b, n in zip(begins[some].tolist(), sizes[some].tolist())])  # counters of a byte hold 255
@@ -77,6 +78,12 @@ def fingerprints_of(texts: list[str], width: int = 4) -> np.ndarray:
     return out
 
 
+def fingerprints_of(texts: list[str], width: int = 4) -> np.ndarray:
+    """A bit is 1 where it is set in over half the hashes."""
+    found = [hashes_of(t, width) for t in texts]
+    return majorities(np.array([h for f in found for h in f], np.uint64), np.array([len(f) for f in found], np.int64))
+
+
 def fingerprinted(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
     """(id, fp long) of each row's whole text, with the columns in ``carry``."""
     rows = docs.select(F.col(f"`{id_col}`"), *carry, F.col(f"`{text_col}`").alias("__text"))
@@ -103,14 +110,33 @@ def unary(fps: np.ndarray) -> np.ndarray:
     return low | high | (low & high) << np.uint64(1)
 
 
-def cells(radius: int) -> list[int]:
+def intact_groups(radius: int, n: int) -> int:
+    """How many groups a cell fixes, so that ``n`` random fingerprints have about one in a cell; more make cells rarer but more of them.
+
+    Two random two-bit segments have the same count with a chance of 3/8.
+    """
+    intact = 4 if radius <= 4 else 3
+    while log2(max(n, 1)) > SEGMENTS * intact // (radius + intact) * -log2(3 / 8) and radius + intact < SEGMENTS:
+        intact += 1
+    return intact
+
+
+def cells(radius: int, intact: int) -> list[int]:
     """Masks, as signed longs: the groups of segments that a cell of the grid fixes."""
-    intact = 4 if radius <= 4 else 3  # more make cells rarer but more of them
     groups = [sum(3 << 2 * s for s in range(g, SEGMENTS, radius + intact)) for g in range(radius + intact)]
     masks = [sum(c) for c in combinations(groups, intact)]
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 
+def in_cells(fps: DataFrame, radius: int, n: int) -> DataFrame:
+    """(fp, cell) of the grid in which any two of the ``n`` distinct fingerprints within the radius meet."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = fps.select("fp").repartition(parts, "fp").withColumn("vector", embedded(F.col("fp")))  # many tasks before rows multiply
+    masks = cells(radius, intact_groups(radius, n))
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("vector").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+    return vectors.select("fp", F.explode(keys).alias("cell"))
+
+
 def forest(fps: np.ndarray, vectors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (child, parent) that join all that are in range of each other, directly or over others."""
     children, parents = [], []
@@ -153,16 +179,25 @@ def runs_with_links(rows: np.ndarray, cuts: np.ndarray, ends: np.ndarray, radius
     return np.flatnonzero(found)
 
 
-def linked(fps: DataFrame, radius: int) -> DataFrame:
-    """(a, b): a spanning forest, cell by cell, of the links between distinct fingerprints (fp long)."""
-    vectors = fps.select("fp", embedded(F.col("fp")).alias("vector"))
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("vector").bitwiseAND(F.lit(m))) for i, m in enumerate(cells(radius))))
-    keyed = vectors.select("fp", F.explode(keys).alias("cell"))
-    shared = keyed.withColumn("rows", F.count("*").over(Window.partitionBy("cell"))).filter("rows > 1")
-    blocks = F.ceil(F.col("rows") / MOST_IN_CELL).cast("int")
-    own, other = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = shared.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+def linked(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b): a spanning forest, cell by cell, of the links between the distinct rows (fp, cell).
+
+    Rows are counted by ranges of cells, which partial aggregation makes few; only the rows of ranges with more than
+    MOST_IN_CELL rows are counted by cell and dealt in blocks, as no cell of another range can be large.
+    """
+    ranged = keyed.withColumn("range", F.shiftrightunsigned("cell", 64 - RANGE_BITS))
+    ranges = settled(ranged.groupBy("range").agg(F.count("*").alias("rows")).filter(F.col("rows") > MOST_IN_CELL).select("range"))  # 2 ** RANGE_BITS rows at most
+    few = ranged.join(F.broadcast(ranges), "range", "left_anti").select("fp", "cell")
+    if ranges.isEmpty():
+        dealt = few
+    else:
+        many = settled(ranged.join(F.broadcast(ranges), "range", "left_semi").select("fp", "cell"))
+        counts = settled(many.groupBy("cell").agg(F.count("*").alias("rows")).filter("rows > 1"))
+        shared = heavy_join(many, counts, "cell", many.count(), "rows")
+        blocks = F.ceil(F.col("rows") / MOST_IN_CELL).cast("int")
+        own, other = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        blocked = shared.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
+        dealt = few.union(blocked.select("fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -196,34 +231,18 @@ def linked(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def component_of(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp, root): the component of each distinct fingerprint, named by one of its fingerprints."""
-    distinct = fps.select("fp").distinct()
-    roots = components(linked(distinct, radius)).withColumnRenamed("node", "fp")
-    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    """(fp, root): the component of each of the distinct fingerprints, named by one of its fingerprints."""
+    fps = settled(fps.select("fp"))
+    roots = components(settled(linked(in_cells(fps, radius, fps.count()), radius))).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id that links reach."""
     fps = settled(fingerprinted(docs, width=width))
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = settled(component_of(fps, radius).join(firsts, "fp"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, *, width: int = 5, radius: int = 6) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component: least id (null last), then least text checksum.
-
-    Of rows that agree in id and text one stays. Six of 64 bits stand for a cosine of 0.95 of the shingle counts.
-    """
-    key = (F.xxhash64("text").alias("__a"), F.xxhash64("text", F.lit(1)).alias("__b"))
-    fps = settled(fingerprinted(docs, width=width, carry=key))
-    roots = component_of(fps, radius)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__a").alias("a"), F.col("__b").alias("b"))
-    firsts = fps.join(roots, "fp").groupBy("root").agg(F.min(order).alias("first"))
-    keep = firsts.select(F.col("first.id").alias("__id"), F.col("first.a").alias("__a"), F.col("first.b").alias("__b"))
-    rows = docs.withColumns({"__a": key[0], "__b": key[1]})
-    met = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (rows["__a"] == keep["__a"]) & (rows["__b"] == keep["__b"]), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", "__a", "__b").orderBy("__a"))
-    return met.withColumn("__copy", again).filter("__copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    firsts = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    rooted = settled(component_of(firsts, radius).join(firsts, "fp"))
+    names = settled(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")))
+    named = settled(heavy_join(rooted, names, "root", rooted.count(), "members").select("fp", "copies", "component_id"))
+    found = heavy_join(fps, named, "fp", fps.count(), "copies")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

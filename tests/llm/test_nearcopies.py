@@ -44,6 +44,17 @@ def test_recall(spark, j):
     assert pairs <= got <= 1.03 * pairs
 
 
+def test_tiny_texts_are_all_found(spark):
+    rng, texts = random.Random(15), []
+    for n in range(8, 14):
+        for _ in range(30):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join(words[:-1])]
+    rows = list(enumerate(texts))
+    left = {r.doc_id for r in N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == slow(rows) and len(left) < len(rows)
+
+
 def test_unlike_texts_stay(spark):
     rng = random.Random(6)
     texts = [t for _ in range(100) for t in at_similarity(rng, 0.74)]

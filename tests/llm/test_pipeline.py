@@ -6,15 +6,13 @@ import corpus_pipeline
 from lektra.llm import bpe, quality, secrets
 from tests.conftest import SF
 from tests.llm.test_decontamination import slow as leaks
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_nearcopies import slow as slow_copies
 
 
 def test_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id: r.text for r in quality.judged(docs).filter("kept").collect()}
-    fps = {d: slow_fingerprint(t, 5) for d, t in kept.items()}
-    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 6]
-    first = set(slow_components(fps, near).values())
+    first = slow_copies(kept.items())
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = {d for d, _ in leaks([(d, kept[d]) for d in first], items)}
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))

@@ -4,9 +4,8 @@ import re
 import numpy as np
 import xxhash
 
-from lektra.llm import simhash
+from lektra.llm import common, simhash
 from lektra.llm.components import components
-from tests.conftest import SF
 
 
 def slow_fingerprint(text, width=4):
@@ -97,15 +96,26 @@ def test_nulls_ties_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (None, 3), (8, 8), (9, 8), (2, 2), (2, 2), (7, 2), (None, None)], key=str)
-    left = simhash.deduplicated(docs).collect()
-    assert sorted((r.doc_id for r in left), key=str) == sorted([3, 8, 2, None], key=str) and len(left[0]) == 3
     empty = spark.createDataFrame([], docs.schema)
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
-
-
-def test_smallest_stays(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    left = {r.doc_id for r in simhash.deduplicated(docs).collect()}
-    fps = {r.doc_id: slow_fingerprint(r.text, 5) for r in docs.collect()}
-    links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 6]
-    assert left == set(slow_components(fps, links).values())
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_cells_grow_rarer_with_the_fingerprints():
+    groups = [simhash.intact_groups(4, n) for n in (0, 10**4, 10**6, 10**8, 10**10)]
+    assert groups == sorted(groups) and groups[0] == 4 and groups[-1] > groups[1]
+    rng = random.Random(9)
+    for intact in (4, 5, 7):
+        masks = [m & (2**64 - 1) for m in simhash.cells(4, intact)]
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << i for i in rng.sample(range(64), 4))
+            u, v = (int(x) for x in simhash.unary(np.array([a, b], np.uint64)))
+            assert any(u & m == v & m for m in masks)
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_KEYS", 10)
+    left = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(500)], "k long, x long")
+    right = left.groupBy("k").agg(simhash.F.count("*").alias("n"))
+    got = common.heavy_join(left, right, "k", 500, "n").collect()
+    assert sorted((r.k, r.x) for r in got) == sorted((r.k, r.x) for r in left.collect())
