@@ -3,11 +3,11 @@
 The ids of all documents stand in ascending order of the document's id, an end id after each document. A file row
 holds a segment of whole documents. The codes of a segment are split by bytes into levels: level k has the k-th byte
 of each id that is long enough, a bitmap tells which of them go on to the next level, and a directory of counts
-before each block of the bitmap finds an id's place there. So any one id is read with a few look-ups and no block
-is decoded.
+before each block of the bitmap finds an id's place there. So one id, or the ids of one document, are read with a few
+look-ups, and nothing before or after them is decoded.
 
 Defined results: a null text counts as empty and has the end id alone; null document ids come first; rows with equal
-ids stand side by side; an empty table gives no segments and an empty table; extra columns stay behind.
+ids stand side by side; an empty table gives no segments and an empty table; extra columns stay behind. Ids are integers.
 """
 
 from __future__ import annotations
@@ -60,26 +60,38 @@ class Codes:
     def __len__(self) -> int:
         return len(self.levels[0])
 
+    def rank(self, level: int, i: int) -> int:
+        """How many of the first ``i`` codes of a level go on: the directory's count and the bits of one block."""
+        block = i // BLOCK_BITS
+        bits = self.bitmaps[level][block * BLOCK_BITS >> 3 : (i + 7) >> 3]
+        count = int(np.bitwise_count(bits).sum())
+        if i & 7:
+            count -= (int(bits[-1]) >> (i & 7)).bit_count()
+        return int(self.ranks[level][block]) + count
+
     def __getitem__(self, i: int) -> int:
         """One id, without decoding others."""
         value = 0
-        for level, (codes, bitmap, ranks) in enumerate(zip(self.levels, self.bitmaps, self.ranks)):
+        for level, (codes, bitmap) in enumerate(zip(self.levels, self.bitmaps)):
             value |= int(codes[i]) << 8 * level
             if not bitmap[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // BLOCK_BITS
-            first = block * BLOCK_BITS >> 3
-            whole, bits = bitmap[first : i >> 3], int(bitmap[i >> 3]) & ((1 << (i & 7)) - 1)
-            i = int(ranks[block]) + int(np.bitwise_count(whole).sum()) + bits.bit_count()
+            i = self.rank(level, i)
         return value
 
-    def all(self) -> np.ndarray:
-        found = np.zeros(0, np.uint32)
-        for codes, bitmap in zip(reversed(self.levels), reversed(self.bitmaps)):
-            here = codes.astype(np.uint32)
-            if len(found):
-                here[np.flatnonzero(np.unpackbits(bitmap, count=len(codes), bitorder="little"))] |= found << np.uint32(8)
-            found = here
+    def between(self, start: int, end: int) -> np.ndarray:
+        """The ids from ``start`` to ``end`` (exclusive), without decoding others: on each level they stand side by side."""
+        found = np.zeros(end - start, np.uint32)
+        at = slice(None)
+        for level, (codes, bitmap) in enumerate(zip(self.levels, self.bitmaps)):
+            found[at] |= codes[start:end].astype(np.uint32) << np.uint32(8 * level)
+            first = start & ~7
+            more = np.flatnonzero(np.unpackbits(bitmap[first >> 3 : (end + 7) >> 3], count=end - first, bitorder="little")[start - first :])
+            if not len(more):
+                break
+            at = more if level == 0 else at[more]
+            start = self.rank(level, start)
+            end = start + len(more)
         return found
 
 
@@ -94,7 +106,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces, part = piece_table(spec.value), TaskContext.get().partitionId()
+        pieces, part = piece_table(spec.value, by_bands=True), TaskContext.get().partitionId()
         segment, before, size, held, docs_held, counts = 0, 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
@@ -131,24 +143,28 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; each document is read by the rank directories."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 start, docs, counts, levels, bitmaps, ranks = (batch.column(c)[i].as_py() for c in range(6))
-                raw = Codes.from_bytes(levels, bitmaps, ranks).all().astype("<u4").tobytes()
+                codes = Codes.from_bytes(levels, bitmaps, ranks)
                 ends = np.cumsum(np.array(counts, np.int64))
                 starts = ends - counts
-                sums = [zlib.crc32(memoryview(raw)[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                sums = [zlib.crc32(codes.between(a, b).astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + start), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return segments(spark, path).select("start", "docs", "counts", "levels", "bitmaps", "ranks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int:
-    """The id at one position of the whole, found through the segment that holds it."""
-    row = segments(spark, path).filter((F.col("start") <= position) & (F.col("start") + F.col("n_ids") > position)).select("start", "levels", "bitmaps", "ranks").first()
-    if row is None:
+    """The id at one position of the whole.
+
+    Narrow columns tell which segment holds it; of the wide ones that segment alone is read, by filters that reach the scan.
+    """
+    at = segments(spark, path).select("part", "segment", "start", "n_ids").filter((F.col("start") <= position) & (F.col("start") + F.col("n_ids") > position)).first()
+    if at is None:
         raise IndexError(position)
-    return Codes.from_bytes(row.levels, row.bitmaps, row.ranks)[position - row.start]
+    row = spark.read.schema(SEGMENT).parquet(path).filter((F.col("part") == at.part) & (F.col("segment") == at.segment)).select("levels", "bitmaps", "ranks").first()
+    return Codes.from_bytes(row.levels, row.bitmaps, row.ranks)[position - at.start]

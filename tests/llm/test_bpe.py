@@ -36,6 +36,14 @@ def test_each_character(library, pieces):
     same(library, pieces, [f"a{chr(c)}b {chr(c)}" for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000])
 
 
+def test_bands_make_the_same_ids(pieces):
+    rng = np.random.default_rng(3)
+    bands = bpe.PieceTable(bpe.read_spec(PATH), by_bands=True)
+    texts = ["".join(rng.choice(list("aabcdenrst "), 400)) for _ in range(30)] + ["a" * 999, "ab" * 500]
+    for a, b in zip(bands.encode(texts), pieces.encode(texts)):
+        assert a.tolist() == b.tolist()
+
+
 def test_documents(spark, library):
     from tests.conftest import SF
 

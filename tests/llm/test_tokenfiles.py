@@ -20,7 +20,9 @@ def test_codes():
             ids[: min(n, 2)] = top
             codes = tokenfiles.Codes.of(ids)
             again = tokenfiles.Codes.from_bytes(*([x.tobytes() for x in xs] for xs in (codes.levels, codes.bitmaps, codes.ranks)))
-            assert again.all().tolist() == ids.tolist()
+            assert again.between(0, n).tolist() == ids.tolist()
+            for a, b in zip(rng.integers(0, n + 1, 40).tolist(), rng.integers(0, n + 1, 40).tolist()):
+                assert again.between(min(a, b), max(a, b)).tolist() == ids[min(a, b) : max(a, b)].tolist()
             for i in {0, n - 1, n // 2, *range(0, n, 97)} if n else ():
                 assert again[i] == ids[i]
 
