@@ -1,6 +1,7 @@
 """Operator 8: substring dedup with Rabin-Karp hashes of every window of words.
 
-Documents are dealt by a hash of their id into slices. A slice hashes all its windows (a polynomial over 64-bit word
+Documents are dealt by a hash of their id and text into slices of about SLICE_BYTES, and hashes into buckets of about
+BUCKET_WINDOWS, so that what a task holds doesn't grow with the input; there are as many tasks as the bytes ask for. A slice hashes all its windows (a polynomial over 64-bit word
 hashes, all windows at once), keeps each hash once with the least document that has it, and sends these, sorted, in one
 block for each bucket of hashes. A bucket compares the blocks of all slices and answers each with one bit for
 each hash: does a lesser document elsewhere have it? The slice then makes its hashes again, reads the answers in
@@ -9,7 +10,7 @@ share costs one entry for each slice. Texts are shuffled once, hashes once, answ
 
 Defined results: a null text has no words; texts shorter than a window stay whole; a null id is greater than any other and
 equals itself; rows with equal ids don't remove each other; an empty table gives an empty table; extra
-columns stay behind. Texts are never cut.
+columns stay behind. Ids are integers. Texts are never cut; one longer than a slice is a slice of its own.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import compress
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
+#: Bytes of texts of a slice and windows of a bucket, each held by one task at a time; bytes that a task reads.
+SLICE_BYTES, BUCKET_WINDOWS, TASK_BYTES = 8_000_000, 1_000_000, 16_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Word hashes that a Python worker remembers.
 _MEMORY = 400_000
@@ -125,11 +129,13 @@ def answers(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int,
 
 def deduplicated(docs: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256) of each row; ``kept`` is null unless ``keep_text``."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices, buckets = 2 * parts, max(256, parts)
-    shift = np.uint64(64 - int(np.ceil(np.log2(buckets))))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
+    n_bytes = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, ceil(n_bytes / TASK_BYTES))
+    slices = max(tasks, ceil(n_bytes / SLICE_BYTES))
+    bits = ceil(log2(max(64, n_bytes / 2 / BUCKET_WINDOWS)))  # a word and a blank have two bytes at least
+    shift = np.uint64(64 - bits)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int")).repartition(tasks, "slice")
 
     def send(batches: pa.Table) -> pa.Table:
         part = Slice(batches["doc_id"].to_pylist(), batches["text"].to_pylist(), width)
@@ -185,6 +191,6 @@ def deduplicated(docs: DataFrame, *, width: int = WINDOW, id_col: str = "doc_id"
         return pa.Table.from_pydict(made, schema=_RESULT)
 
     blocks = rows.groupBy("slice").applyInArrow(send, _BLOCK)
-    flags = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "slice int, bucket int, flags binary")
-    met = rows.groupBy("slice").cogroup(flags.groupBy("slice"))
+    flags = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "slice int, bucket int, flags binary")
+    met = rows.groupBy("slice").cogroup(flags.repartition(tasks, "slice").groupBy("slice"))
     return met.applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -35,6 +35,14 @@ def test_documents(spark):
     assert sum(r[2] for r in rows) > 100
 
 
+def test_many_slices_and_buckets(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 5_000)
+    monkeypatch.setattr(substrings, "BUCKET_WINDOWS", 500)
+    monkeypatch.setattr(substrings, "TASK_BYTES", 40_000)
+    assert got(docs) == slow([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_small_windows(spark):
     rng = random.Random(9)
     rows = [(rng.randrange(40), " ".join(rng.choice("abc") for _ in range(rng.randrange(30)))) for _ in range(60)]
