@@ -5,9 +5,13 @@ reads a window: at each step it emits the word under it, and the word and the st
 on; two windows at a small edit distance thus emit sequences at a small Hamming distance. Each of many tables samples
 a few steps of a walk; a window of the size of an item that agrees with it in one table is a candidate, and the edit
 distance between the item and the text from there is then computed exactly. Sampled steps, walks and tables follow
-from the target recall for each window size, by the rate at which windows at the distance limit of the items of that
+from the target recall for each window size, by the rate at which windows at the distance limit of that
 size agree, edits of the first words included; a target that no plan reaches is an error.
 
+An item of fewer than LONG words is one window of its own size. A longer one is cut into blocks that cover all its words; if it
+stands in a text within its limit, wherever the edits lie, one of its blocks does so within the limit of the block. So blocks are searched like
+short items, and around each place of one the whole item is aligned with the text.
+
 A window within the limit of d edits has all but d of its words from the benchmark's vocabulary, starts with one of
 them at its best place, and holds one of d + 1 pieces of the item unchanged. This screen is exact; it leaves few
 starts for the walks. Vocabulary, pieces and table keys of the items reach the tasks as bitmaps of a fixed size,
@@ -30,20 +34,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lektra.llm.common import text_slices
+from lektra.llm.common import settled, text_slices
 from lektra.llm.substrings import mixed
 
 _LETTERS = regex.compile(r"[^\p{L}\p{N}]+")
-#: Window sizes in words; an item is embedded by its first words, as many as the largest size that it fills.
-SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 16, 20, 26, 32, 40, 50, 64, 80, 100, 128, 160, 200, 256, 320, 400, 512, 640, 800, 1024)
+#: Items of so many words or more are cut into blocks of BLOCK words or more, of fewer than twice as many.
+LONG, BLOCK = 48, 24
 #: What a window size may need more than the settings: (steps sampled less, times as many walks), the cheaper first.
 PLANS = ((0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4), (3, 4))
 MOST_TABLES = 64
 #: By so much the recall measured for a plan has to be above the target, as it is an estimate.
 MARGIN = 0.02
-WORD_BITS, PIECE_BITS, KEY_BITS = 20, 22, 22
-#: Items that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ITEMS = 20_000
+WORD_BITS, PIECE_BITS = 20, 22
+#: Bits of the bitmap of table keys: a key in 32 of them is set, as far as the most goes.
+LEAST_KEY_BITS, MOST_KEY_BITS = 18, 26
+#: Bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
+#: Cells of the tables of edit distances that a task computes at once.
+CELLS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -87,8 +95,10 @@ def codes_of(text: str | None) -> np.ndarray:
     return codes[codes != 0]
 
 
-def size_of(words: int) -> int:
-    return max(s for s in SIZES if s <= words)
+def cuts_of(words: int) -> list[int]:
+    """Where the blocks of an item begin, and its end."""
+    blocks = words // BLOCK if words >= LONG else 1
+    return [words * i // blocks for i in range(blocks + 1)]
 
 
 class Walks:
@@ -127,15 +137,14 @@ class Walks:
         return out
 
 
-def plan_for(settings: Settings, words: int, trials: int = 600) -> tuple[Settings, int]:
-    """The settings and tables that reach the recall for random items of ``words`` words at the distance limit."""
-    size = size_of(words)
-    rng = np.random.default_rng([settings.seed, words])
+def plan_for(settings: Settings, size: int, trials: int = 600) -> tuple[Settings, int]:
+    """The settings and tables that reach the recall for random windows of ``size`` words at the distance limit."""
+    rng = np.random.default_rng([settings.seed, size])
     items, copies = [], []
     for _ in range(trials):
-        item = rng.integers(1, 2**63, words, dtype=np.uint64)
+        item = rng.integers(1, 2**63, size, dtype=np.uint64)
         copy = item.tolist()
-        for _ in range(settings.edits(words)):
+        for _ in range(settings.edits(size)):
             kind, at = rng.integers(3), int(rng.integers(0, max(len(copy), 1)))
             if kind < 2 and at < len(copy):
                 del copy[at]
@@ -143,7 +152,7 @@ def plan_for(settings: Settings, words: int, trials: int = 600) -> tuple[Setting
                 copy.insert(at, int(rng.integers(2**63, 2**64, dtype=np.uint64)))
         while copy and copy[0] >= 2**63:  # a window starts with a word of the item
             del copy[0]
-        items.append(item[:size])
+        items.append(item)
         copies.append(np.array([*copy, *rng.integers(2**63, 2**64, size, dtype=np.uint64).tolist()], np.uint64)[:size])  # the text goes on
     starts = np.arange(trials) * size
     goal = min(settings.recall + MARGIN, (1 + settings.recall) / 2)
@@ -154,12 +163,7 @@ def plan_for(settings: Settings, words: int, trials: int = 600) -> tuple[Setting
         reached = np.flatnonzero(np.logical_or.accumulate(same, 1).mean(0) >= goal)
         if len(reached):
             return plan, max(4, int(reached[0]) + 1)
-    raise ValueError(f"no plan reaches a recall of {settings.recall} for items of {words} words and {settings.edits(words)} edits")
-
-
-def plans_for(settings: Settings, by_size: dict[int, list[int]]) -> dict[int, tuple[Settings, int]]:
-    """For each window size, the plan for the length with most edits in a window."""
-    return {size: plan_for(settings, max(lengths, key=lambda n: (settings.edits(n) * size / n, n))) for size, lengths in by_size.items()}
+    raise ValueError(f"no plan reaches a recall of {settings.recall} for windows of {size} words and {settings.edits(size)} edits")
 
 
 def edit_distances(items: list[np.ndarray], texts: list[np.ndarray], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +190,18 @@ def edit_distances(items: list[np.ndarray], texts: list[np.ndarray], limits: np.
     return final[np.arange(n), best], best
 
 
+def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """(edits, start, words) of the place in a text where the item costs fewest edits; of equal ones the first to start, then the shortest."""
+    places, big = np.arange(len(text) + 1, dtype=np.int64), np.int64(1 << 32)
+    row = places.copy()  # edits times big plus start
+    for code in item:
+        step = np.append(row[0] + big, np.minimum(row[:-1] + (text != code) * big, row[1:] + big))
+        row = np.minimum.accumulate(step - places * big) + places * big
+    at = int(row.argmin())
+    edits, start = divmod(int(row[at]), int(big))
+    return edits, start, at - start
+
+
 def pieces_of(codes: np.ndarray, width: int) -> np.ndarray:
     """A hash of the ``width`` words from each place on; as long as ``codes``, whose end is padded."""
     total = np.full(len(codes), width, np.uint64)
@@ -196,17 +212,19 @@ def pieces_of(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def bitmap(values: DataFrame, bits: int) -> np.ndarray:
-    """From the longs of a column ``x``: which values of their first ``bits`` bits occur. The driver gets 2 ** (bits - 6) rows at most."""
+    """From the longs of a column ``x``: which values of their first ``bits`` bits occur, in 2 ** bits bits of bytes. The driver gets as many bits at most."""
     first = F.shiftrightunsigned("x", 64 - bits)
-    words = values.groupBy(F.shiftrightunsigned(first, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {64 - bits}) & 63 as int))")).alias("bits")).collect()
+    words = values.groupBy(F.shiftrightunsigned(first, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), "<i8")
-    for w in words:
-        out[w["at"]] = w["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
-def top(codes: np.ndarray, bits: int) -> np.ndarray:
-    return (codes >> np.uint64(64 - bits)).astype(np.int64)
+def among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes' first bits a bitmap has."""
+    bits = int(np.log2(len(known))) + 3
+    at = codes >> np.uint64(64 - bits)
+    return known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
 def item_codes(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -222,6 +240,28 @@ def item_codes(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str =
     return benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`")).mapInArrow(run, f"item_id {kind}, codes array<long>")
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A settled table, marked for broadcast if its rows of about ``row_bytes`` are few enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def batches_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes make up ``most`` at most, or are one row."""
+    begin = total = 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > most:
+            yield begin, i
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def words_as(column: pa.Array) -> list[np.ndarray]:
+    """The lists of longs of a column as arrays of codes."""
+    return [np.array(x, np.int64).view(np.uint64) for x in column.to_pylist()]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_a, text_b, item_id, start, words, edits, item_words): the best place of each item in each text.
 
@@ -229,62 +269,63 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     with no and with one more argument, by which rows can be told apart where ids can't.
     """
     spark = docs.sparkSession
-    items = item_codes(benchmark).persist()
-    n_items = items.count()
-    lengths = sorted(r.n for r in items.select(F.size("codes").alias("n")).distinct().collect())  # as many as lengths of items
-    longest = max(lengths, default=1)
-    reach = longest + settings.edits(longest)
-    by_size: dict[int, list[int]] = {}
-    for n in lengths:
-        by_size.setdefault(size_of(n), []).append(n)
-    plans = plans_for(settings, by_size)
+    items = settled(item_codes(benchmark))
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, a, len(c), c[a:b]) for i, c in enumerate(words_as(batch.column(1))) for a, b in zip(cuts_of(len(c))[:-1], cuts_of(len(c))[1:])]
+            numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)]
+            hashes = pa.array([xxhash.xxh3_64_intdigest(r[3].tobytes()) - 2**63 for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *numbers, hashes, pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["item_id", "offset", "item_words", "block", "codes"])
+
+    uses = settled(items.mapInArrow(cut, f"item_id {kind}, offset long, item_words long, block long, codes array<long>"))
+    blocks = settled(uses.groupBy("block").agg(F.first("codes").alias("codes")))
+    sizes = sorted(r.n for r in blocks.select(F.size("codes").alias("n")).distinct().collect())  # fewer than LONG
+    reach = max(sizes, default=1) + settings.edits(max(sizes, default=1))
+    plans = {n: plan_for(settings, n) for n in sizes}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks: dict[int, Walks] = {}
         for batch in batches:
             keys, pieces = [], []
-            for x in batch.column(1).to_pylist():
-                codes = np.array(x, np.int64).view(np.uint64)
-                size = size_of(len(codes))
-                walks[size] = walks.get(size) or Walks(size, *plans[size])
-                keys.append(np.unique(walks[size].keys(codes, np.zeros(1, np.int64))[0].view(np.int64)))
-                width = settings.piece(len(codes))
-                pieces.append(pieces_of(codes, width)[: (settings.edits(len(codes)) + 1) * width : width].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.int64()))], names=["item_id", "codes", "keys", "pieces"])
-
-    kind = items.schema["item_id"].dataType.simpleString()
-    signed = items.mapInArrow(sign, f"item_id {kind}, codes array<long>, keys array<long>, pieces array<long>")
-    maps = [bitmap(signed.select(F.explode(c).alias("x")), n) for c, n in (("codes", WORD_BITS), ("pieces", PIECE_BITS), ("keys", KEY_BITS))]
-    shared = spark.sparkContext.broadcast(maps)  # of fixed sizes
+            for codes in words_as(batch.column(1)):
+                n = len(codes)
+                walks[n] = walks.get(n) or Walks(n, *plans[n])
+                keys.append(np.unique(walks[n].keys(codes, np.zeros(1, np.int64))[0].view(np.int64)))
+                width = settings.piece(n)
+                pieces.append(pieces_of(codes, width)[: (settings.edits(n) + 1) * width : width].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.int64()))], names=["block", "codes", "keys", "pieces"])
+
+    signed = settled(blocks.mapInArrow(sign, "block long, codes array<long>, keys array<long>, pieces array<long>"))
+    keys = settled(signed.select("block", F.explode("keys").alias("key")))
+    key_bits = min(max(int(np.ceil(np.log2(32 * keys.count() + 1))), LEAST_KEY_BITS), MOST_KEY_BITS)
+    maps = [bitmap(signed.select(F.explode(c).alias("x")), n) for c, n in (("codes", WORD_BITS), ("pieces", PIECE_BITS))]
+    shared = spark.sparkContext.broadcast([*maps, bitmap(keys.select(F.col("key").alias("x")), key_bits)])  # of bounded sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known_pieces, known = shared.value
-        walks = {size: Walks(size, *plans[size]) for size in by_size}
+        walks = {n: Walks(n, *plans[n]) for n in sizes}
+        gap = np.zeros(reach, np.uint64)
         for part in text_slices(batches, 3):
             found = [codes_of(x) for x in part.column(3).to_pylist()]
-            gap = np.zeros(reach, np.uint64)
             codes = np.concatenate([x for f in found for x in (f, gap)] or [gap])
             begins = np.cumsum([0, *(len(f) + reach for f in found)])[:-1]
-            met = vocabulary[top(codes, WORD_BITS)] & (codes != 0)
+            met = among(codes, vocabulary) & (codes != 0)
             count = np.append(0, np.cumsum(met))
-            whole = {}
-            for width in {settings.piece(n) for n in lengths}:
-                whole[width] = np.append(0, np.cumsum(known_pieces[top(pieces_of(codes, width), PIECE_BITS)]))
+            whole = {width: np.append(0, np.cumsum(among(pieces_of(codes, width), known_pieces))) for width in {settings.piece(n) for n in sizes}}
             hits: dict[int, list[int]] = {}
             first = np.flatnonzero(met)
-            for size, same_size in by_size.items():
-                screened = np.zeros(len(first), bool)
-                for n in same_size:
-                    off, width = settings.edits(n), settings.piece(n)
-                    ends = np.minimum(first + n + off, len(codes))
-                    near = whole[width][np.maximum(ends - width + 1, first)] > whole[width][first]
-                    screened[near] |= count[ends[near]] - count[first[near]] >= n - off
-                starts = first[screened]
+            for n in sizes:
+                off, width = settings.edits(n), settings.piece(n)
+                ends = np.minimum(first + n + off, len(codes))
+                near = whole[width][np.maximum(ends - width + 1, first)] > whole[width][first]
+                starts = first[near][count[ends[near]] - count[first[near]] >= n - off]
                 for begin in range(0, len(starts), 100_000):
                     some = starts[begin : begin + 100_000]
-                    keys = walks[size].keys(codes, some)
-                    at, table = np.nonzero(known[top(keys, KEY_BITS)])
-                    for start, key in zip(some[at].tolist(), keys[at, table].view(np.int64).tolist()):
+                    made = walks[n].keys(codes, some)
+                    at, table = np.nonzero(among(made, known))
+                    for start, key in zip(some[at].tolist(), made[at, table].view(np.int64).tolist()):
                         hits.setdefault(start, []).append(key)
             order = sorted(hits)
             doc = np.searchsorted(begins, np.array(order, np.int64), side="right") - 1
@@ -297,32 +338,70 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
             )
 
     of = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("text_a"), F.xxhash64(f"`{text_col}`", F.lit(1)).alias("text_b"), F.col(f"`{text_col}`"))
-    starts = rows.mapInArrow(run, f"doc_id {of}, text_a long, text_b long, start long, window array<long>, keys array<long>")
-    item_keys = signed.select("item_id", "codes", F.explode("keys").alias("key"))
-    joined = starts.withColumn("key", F.explode("keys")).drop("keys").join(F.broadcast(item_keys) if n_items <= BROADCAST_ITEMS else item_keys, "key")
-    candidates = joined.drop("key").dropDuplicates(["doc_id", "text_a", "text_b", "start", "item_id"])
+    text = ("doc_id", "text_a", "text_b")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("text_a"), F.xxhash64(f"`{text_col}`", F.lit(1)).alias("text_b"), F.col(f"`{text_col}`").alias("text"))
+    found = rows.mapInArrow(run, f"doc_id {of}, text_a long, text_b long, start long, window array<long>, keys array<long>")
+    # windows of the same words are compared once
+    starts = settled(found.withColumn("words", F.xxhash64("window")))
+    met = starts.select("words", F.explode("keys").alias("key")).distinct().join(small(keys, 24), "key").select("words", "block").distinct()
+    windows = starts.groupBy("words").agg(F.first("window").alias("window"))
+    candidates = met.join(windows, "words").join(small(blocks, 16 + 8 * LONG), "block")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_a", "text_b", "item_id", "start"]
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                part = batch.slice(begin, 2000)
-                wanted = [np.array(x, np.int64).view(np.uint64) for x in part.column("codes").to_pylist()]
-                texts = [np.array(x, np.int64).view(np.uint64)[: len(w) + settings.edits(len(w))] for x, w in zip(part.column("window").to_pylist(), wanted)]
+            step = max(1, CELLS // (reach * LONG))
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                wanted = words_as(part.column("codes"))
+                texts = [x[: len(w) + settings.edits(len(w))] for x, w in zip(words_as(part.column("window")), wanted)]
                 limits = np.array([settings.edits(len(w)) for w in wanted])
                 edits, words = edit_distances(wanted, texts, limits)
                 good = np.flatnonzero(edits <= limits)
                 took = pa.array(good, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(n).take(took) for n in names), pa.array(words[good].astype(np.int64)), pa.array(edits[good].astype(np.int64)), pa.array([len(wanted[i]) for i in good], pa.int64())], names=[*names, "words", "edits", "item_words"])
+                yield pa.RecordBatch.from_arrays([part.column("words").take(took), part.column("block").take(took), pa.array(words[good].astype(np.int64)), pa.array(edits[good].astype(np.int64))], names=["words", "block", "n", "edits"])
+
+    sure = settled(candidates.mapInArrow(verify, "words long, block long, n long, edits long"))
+    placed = settled(starts.select(*text, "start", "words").join(sure, "words").join(small(uses.drop("codes"), 64), "block"))
+    short = placed.filter(F.col("item_words") < LONG).select(*text, "item_id", "start", F.col("n").alias("words"), "edits", "item_words")
+
+    # long items: around the diagonals of their blocks, as many as the edits that they may have are one region
+    limit = F.floor(F.col("item_words") * settings.tolerance + 1e-9)
+    regions = placed.filter(F.col("item_words") >= LONG).withColumn("region", F.floor((F.col("start") - F.col("offset")) / (limit + 1))).select(*text, "item_id", "item_words", "region").distinct()
+    regions = regions.select(*text, "item_id", F.greatest(F.col("region") * (limit + 1) - limit, F.lit(0)).alias("begin"), ((F.col("region") + 1) * (limit + 1) + F.col("item_words") + limit).alias("end"))
+    asked = regions.groupBy(*text).agg(F.collect_set(F.struct("item_id", "begin", "end")).alias("asked"))  # of one text
 
-    sure = candidates.mapInArrow(verify, f"doc_id {of}, text_a long, text_b long, item_id {kind}, start long, words long, edits long, item_words long")
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes = codes_of(batch.column(3)[i].as_py())
+                for want in batch.column(4)[i]:
+                    here = codes[want["begin"].as_py() : want["end"].as_py()]
+                    head = [batch.column(c).slice(i, 1) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([*head, pa.array([want["item_id"].as_py()], want["item_id"].type), pa.array([want["begin"].as_py()], pa.int64()), pa.array([here.view(np.int64)], pa.list_(pa.int64()))], names=[*text, "item_id", "begin", "here"])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (item,), (here,) = (words_as(batch.column(c).slice(i, 1)) for c in ("codes", "here"))
+                edits, start, words = best_place(item, here)
+                if edits <= settings.edits(len(item)):
+                    values = [start + batch.column("begin")[i].as_py(), words, edits, len(item)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in (*text, "item_id")), *(pa.array([v], pa.int64()) for v in values)], names=[*text, "item_id", "start", "words", "edits", "item_words"])
+
+    same = [rows[c].eqNullSafe(asked[c]) for c in text]
+    there = rows.join(asked, same[0] & same[1] & same[2]).select(*(rows[c] for c in text), "text", "asked").dropDuplicates(text)
+    pieces = there.mapInArrow(cut_out, f"doc_id {of}, text_a long, text_b long, item_id {kind}, begin long, here array<long>")
+    whole = pieces.join(items.withColumnRenamed("item_id", "own_id"), F.col("item_id").eqNullSafe(F.col("own_id")))
+    schema = f"doc_id {of}, text_a long, text_b long, item_id {kind}, start long, words long, edits long, item_words long"
+    long = whole.mapInArrow(align, schema) if placed.filter(F.col("item_words") >= LONG).limit(1).count() else spark.createDataFrame([], schema)
     best = F.min(F.struct("edits", "start", "words", "item_words")).alias("best")
-    return sure.groupBy("doc_id", "text_a", "text_b", "item_id").agg(best).select("doc_id", "text_a", "text_b", "item_id", "best.start", "best.words", "best.edits", "best.item_words")
+    return short.union(long).groupBy(*text, "item_id").agg(best).select(*text, "item_id", "best.start", "best.words", "best.edits", "best.item_words")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` whose text matches no item."""
-    found = matches(docs, benchmark, settings).select(F.col("text_a").alias("__a"), F.col("text_b").alias("__b")).distinct()
-    keys = docs.withColumns({"__own_a": F.xxhash64("text"), "__own_b": F.xxhash64("text", F.lit(1))})
-    return keys.join(found, (F.col("__own_a") == F.col("__a")) & (F.col("__own_b") == F.col("__b")), "left_anti").drop("__own_a", "__own_b")
+    """The rows of ``docs`` whose text matches no item; columns of any names stay as they are."""
+    own = [f"__own_{i}" for i in range(len(docs.columns))]
+    moved, text = docs.toDF(*own), own[docs.columns.index("text")]
+    found = matches(docs, benchmark, settings).select("text_a", "text_b").distinct()
+    keys = moved.withColumns({"text_a": F.xxhash64(text), "text_b": F.xxhash64(text, F.lit(1))})
+    return keys.join(found, ["text_a", "text_b"], "left_anti").select(*(F.col(x).alias(c) for x, c in zip(own, docs.columns)))

@@ -87,7 +87,7 @@ def test_edit_distances():
 def test_more_items_than_are_broadcast(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     wanted = sorted(map(str, D.matches(docs, items).collect()))
-    monkeypatch.setattr(D, "BROADCAST_ITEMS", 0)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
     assert sorted(map(str, D.matches(docs, items).collect())) == wanted
 
 
@@ -104,19 +104,47 @@ def test_nulls_ties_and_clashing_columns(spark):
     assert D.matches(docs, none).count() == 0 and D.clean(docs, none).count() == 7
 
 
-@pytest.mark.parametrize("size", [5, 15, 20, 40, 64, 100, 128, 200, 300])
-def test_recall_at_the_limit_by_length(spark, size):
-    rng = random.Random(size)
+def edited_within(rng, words, n, first, last):
+    """``n`` edits in the words from ``first`` to ``last``."""
+    return words[:first] + edited(rng, words[first:last], n) + words[last:]
+
+
+@pytest.mark.parametrize("where", ["spread", "front", "back"])
+def test_recall_at_the_limit_by_length(spark, where):
+    """Edits at the limit, over the whole item or over the first or last two thirds of it."""
+    rng = random.Random(where)
     text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
-    items = [(i, text(size)) for i in range(150)]
-    limit = D.Settings().edits(size)
-    docs = [(i, text(30) + edited(rng, item, limit) + text(30)) for i, item in items]
+    sizes = [5, 10, 15, 20, 31, 40, 47, 48, 64, 100, 127, 200, 300]
+    items = [(1000 * size + k, text(size)) for size in sizes for k in range(60)]
+    third = lambda item: len(item) // 3
+    span = {"spread": lambda x: (0, len(x)), "front": lambda x: (0, len(x) - third(x)), "back": lambda x: (third(x), len(x))}[where]
+    docs = [(i, text(30) + edited_within(rng, item, D.Settings().edits(len(item)), *span(item)) + text(30)) for i, item in items]
     rows = lambda xs: spark.createDataFrame([(i, " ".join(w)) for i, w in xs], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.matches(rows(docs), rows(items).withColumnRenamed("doc_id", "item_id")).collect()}
-    assert len(got) >= 0.95 * len(items) and all(d == i for d, i in got)
+    assert all(d == i for d, i in got)
+    shares = {size: sum(d // 1000 == size for d, _ in got) / 60 for size in sizes}
+    assert all(x >= 0.9 for x in shares.values()) and len(got) >= 0.95 * len(items), shares
+
+
+def test_best_place():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        item, text = rng.integers(5, 9, rng.integers(1, 12)).astype(np.uint64), rng.integers(5, 9, rng.integers(0, 25)).astype(np.uint64)
+        found = D.best_place(item, text)
+        every = [(edits(item.tolist(), text[a:b].tolist())[-1], a, b - a) for a in range(len(text) + 1) for b in range(a, len(text) + 1)]
+        assert found[0] == min(every)[0] and found in every
+
+
+def test_very_long_items(spark):
+    rng = random.Random(8)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(6_000)]
+    docs = [(1, ["x"] * 500 + edited_within(rng, item, 1_000, 0, 6_000) + ["y"] * 100), (2, item[:3_000]), (3, item)]
+    rows = lambda xs, c: spark.createDataFrame([(i, " ".join(w)) for i, w in xs], f"{c} long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits <= 1_000, r.start) for r in D.matches(rows(docs, "doc_id"), rows([(9, item)], "item_id")).collect()}
+    assert set(got) == {(1, 9), (3, 9)} and got[3, 9] == (True, 0) and got[1, 9][0] and 495 <= got[1, 9][1] <= 505
 
 
 def test_a_target_that_is_missed_is_an_error(monkeypatch):
     monkeypatch.setattr(D, "PLANS", ((0, 1),))
     with pytest.raises(ValueError):
-        D.plan_for(D.Settings(), 128)
+        D.plan_for(D.Settings(), 47)
