@@ -87,8 +87,10 @@ def heavy_join(left: DataFrame, right: DataFrame, on: str, total: int, weight: s
 
     Keys with more than ``total`` / HEAVY_KEYS of the ``total`` rows of ``left`` are fewer than HEAVY_KEYS: they are
     broadcast, and their rows stay where they are. All others are joined by a shuffle, where no key is large. Both sides
-    are read more than once, so they are settled before.
+    are read more than once, so they are settled before. No more rows than HEAVY_KEYS in all have no other keys.
     """
+    if total <= HEAVY_KEYS:
+        return left.join(F.broadcast(right), on)
     hot, cold = right.filter(F.col(weight) * HEAVY_KEYS > total), right.filter(F.col(weight) * HEAVY_KEYS <= total)
     light = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
     return left.join(F.broadcast(hot), on).unionByName(light)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lektra.llm.common import heavy_join, settled
+from lektra.llm.common import HEAVY_KEYS, heavy_join, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,10 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             return now.select(F.col("high").alias("node"), F.col("low").alias("root")).union(now.select(F.col("low"), F.col("low"))).groupBy("node").agg(F.min("root").alias("root"))
         before = mark
+        kept = settled if 2 * mark[0] > HEAVY_KEYS else lambda df: df  # few rows are made again rather than written
         around = now.select(F.col("high").alias("node"), F.col("low").alias("next")).union(now.select(F.col("low"), F.col("high")))
-        least = settled(around.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("least"), F.count("*").alias("n")))
+        least = kept(around.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("least"), F.count("*").alias("n")))
         hung = heavy_join(around, least, "node", 2 * mark[0], "n").filter("next > node")
-        large = settled(hung.select(F.col("next").alias("high"), F.col("least").alias("low")).distinct())
-        least = settled(large.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("n")))
+        large = kept(hung.select(F.col("next").alias("high"), F.col("least").alias("low")).distinct())
+        least = kept(large.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("n")))
         lower = heavy_join(large, least, "high", mark[0], "n").filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
         now = settled(lower.union(least.select("high", F.col("least").alias("low"))).distinct())
