@@ -53,7 +53,7 @@ def short_label(x: str | Column, most: int = 12) -> Column:
 
 def three_lines(x: str | Column) -> Column:
     """The first three lines that aren't blank, trimmed and joined."""
-    return F.array_join(F.slice(F.filter(F.transform(F.split(_column(x), "\n"), F.trim), lambda v: v != ""), 1, 3), " ")
+    return F.array_join(F.slice(F.filter(F.transform(F.split(_column(x), "\n"), lambda v: F.trim(v)), lambda v: v != ""), 1, 3), " ")
 
 
 def words(x: str | Column, stopwords: tuple[str, ...] = STOPWORDS, least: int = 3) -> Column:
