@@ -73,3 +73,26 @@ def unit(a: Column) -> Column:
 def font_size(count: Column, least: Column, most: Column, small: float = 14.0, large: float = 64.0) -> Column:
     """Between two sizes by the square root of a count."""
     return F.when(most == least, F.lit((small + large) / 2)).otherwise(small + (large - small) * (F.sqrt(count) - F.sqrt(least)) / (F.sqrt(most) - F.sqrt(least)))
+
+
+def mono(samples: str | Column, channels: int) -> Column:
+    """Interleaved samples as the mean of their channels; samples that make no whole frame are left out."""
+    x = F.col(samples) if isinstance(samples, str) else samples
+    frames = F.floor(F.size(x) / channels).cast("int")
+    means = F.transform(F.sequence(F.lit(0), frames - 1), lambda i: sum((F.get(x, i * channels + k).cast("double") for k in range(channels)), F.lit(0.0)) / channels)
+    return F.when(frames > 0, means).otherwise(F.array().cast("array<double>"))
+
+
+def resampled(samples: str | Column, from_rate: int, to_rate: int) -> Column:
+    """Samples at another rate, linearly interpolated."""
+    x = F.transform(F.col(samples) if isinstance(samples, str) else samples, lambda v: v.cast("double"))
+    step = from_rate / to_rate
+    n = F.ceil(F.size(x) / step).cast("int")
+
+    def at(i: Column) -> Column:
+        place = i * F.lit(step)
+        low = F.floor(place).cast("int")
+        part = place - low
+        return F.when(low + 1 < F.size(x), F.get(x, low) * (1 - part) + F.get(x, low + 1) * part).otherwise(F.get(x, low))
+
+    return F.when(n > 0, F.filter(F.transform(F.sequence(F.lit(0), n - 1), at), lambda v: v.isNotNull())).otherwise(x)

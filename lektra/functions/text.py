@@ -190,3 +190,100 @@ def html_paragraphs(x: str | Column) -> Column:
     safe = F.replace(F.replace(F.replace(_column(x), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     parts = F.filter(F.split(safe, r"\n[ \t]*\n+"), lambda p: F.trim(p) != "")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(F.trim(p), F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "")
+
+
+def search_query(x: str | Column) -> Column:
+    """What a search box says, as quoted terms: operators and syntax dropped, separators cut, equal neighbours merged."""
+    plain = F.translate(F.translate(_column(x), '"()*^', ""), "-:,.", "    ")
+    terms = F.filter(F.split(plain, r"\s+"), lambda t: (t != "") & ~F.upper(t).isin("AND", "OR", "NOT", "NEAR"))
+    once = F.filter(terms, lambda t, i: (i == 0) | (F.get(terms, i - 1) != t))
+    return F.array_join(F.transform(once, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " ")
+
+
+def terms_of(x: str | Column, least: int = 4) -> Column:
+    """Words of so many letters or more, lower-cased, distinct, the longest first and then as they stand."""
+    bare = F.transform(F.split(_column(x), r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    words = F.array_distinct(F.filter(bare, lambda w: F.length(w) >= least))
+    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    return F.transform(ranked, lambda s: s["w"])
+
+
+def said_at(segments: Column, terms: list[str], offset: Column) -> Column:
+    """(start, end) of the first of the segments (start, end, text) with a term, else of the one that holds a character offset; null if none."""
+    has = lambda s: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(s["text"]), t))
+    named = F.get(F.filter(segments, has), F.lit(0))
+    none = F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
+    first = F.struct(F.lit(0).cast("long").alias("total"), F.lit(False).alias("done"), none.alias("at"))
+
+    def step(a: Column, s: Column) -> Column:
+        total = a["total"] + F.length(s["text"])
+        here = ~a["done"] & (offset < total)
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        return F.struct(total.alias("total"), (a["done"] | here).alias("done"), F.when(here, own).otherwise(a["at"]).alias("at"))
+
+    held = F.aggregate(segments, first, step, lambda a: F.when(a["done"], a["at"]))
+    return F.coalesce(F.when(named.isNotNull(), F.struct(named["start"].alias("start"), named["end"].alias("end"))), held)
+
+
+def manual_value(x: str | Column) -> Column:
+    """An entity as a user typed it, without quotes, dashes and white space around."""
+    marks = "[\"'“”‘’«»\\-–—\\s]+"
+    return F.trim(F.regexp_replace(F.trim(_column(x)), f"^{marks}|{marks}$", ""))
+
+
+def in_version_family(name: Column, base: Column) -> Column:
+    """Is a file a picture named ``base``, or a numbered version of it?"""
+    stem, ending = F.regexp_replace(name, r"\.[^.]*$", ""), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    rest = F.substring(stem, F.length(base) + 1, F.length(stem))
+    return ending.isin("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "gif") & stem.startswith(base) & ((rest == "") | rest.rlike(r"^_v[0-9]+$"))
+
+
+def relative_path(path: Column, folder: str) -> Column:
+    """(rel, error): a path under the assets of the application's folder, with slashes."""
+    plain, prefix = F.translate(path, "\\", "/"), folder.replace("\\", "/").rstrip("/") + "/"
+    rest = F.regexp_replace(F.substring(plain, F.lit(len(prefix) + 1), F.length(plain)), "^/+", "")
+    error = F.when(F.trim(path) == "", "empty").when(~plain.startswith(prefix), "outside").when(~rest.startswith("assets/"), "not_under_assets")
+    return F.struct(F.when(error.isNull(), rest).alias("rel"), error.alias("error"))
+
+
+def between_marks(x: str | Column) -> Column:
+    """(name, body): what a tool writes between ===NAME_JSON_BEGIN=== and ===NAME_JSON_END===; null without both marks."""
+    pattern = r"(?s)===([A-Z_]+?)_JSON_BEGIN===\s*(.*?)\s*===\1_JSON_END==="
+    name = F.regexp_extract(_column(x), pattern, 1)
+    return F.when(name != "", F.struct(name.alias("name"), F.regexp_extract(_column(x), pattern, 2).alias("body")))
+
+
+def clock_offset(server_ms: str | Column, local_ms: str | Column, most_ms: int = 300_000) -> Column:
+    """(offset_ms, warning): server time less local time; beyond five minutes it is worth a warning."""
+    offset = _column(server_ms) - _column(local_ms)
+    return F.struct(offset.alias("offset_ms"), (F.abs(offset) > most_ms).alias("warning"))
+
+
+def merged_metadata(own: Column, source: Column, reserved: str) -> Column:
+    """A map of metadata as JSON, with the reserved entry of a source's JSON if that is an object."""
+    plain = F.to_json(F.map_filter(own, lambda k, _: k != reserved))
+    kept = F.get_json_object(source, f"$.{reserved}")
+    entry = F.concat(F.lit(f'"{reserved}":'), kept)
+    with_entry = F.when(plain == "{}", F.concat(F.lit("{"), entry, F.lit("}"))).otherwise(F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.lit(","), entry, F.lit("}")))
+    return F.when(kept.startswith("{"), with_entry).otherwise(plain)
+
+
+#: Labels of what a file tells of itself, and the keys of a user that say the same.
+TECHNICAL = {
+    "Nombre del archivo": ("archivo", "nombre archivo", "file name"),
+    "Tipo de archivo": ("tipo", "tipo archivo", "file type", "mime", "mime type"),
+    "Extensión": ("extension", "ext"),
+    "Asset ID": ("asset id", "archivo id"),
+    "Ruta interna": ("ruta interna", "internal path", "path"),
+}
+
+
+def technical_metadata(file_name: Column, kind: Column, asset_id: Column, path: Column, keys: Column) -> Column:
+    """Array of (label, value); entries without a value, or whose label or alias is among the user's keys, are left out."""
+    taken = F.transform(keys, lambda k: metadata_key(k))
+    values = (file_name, F.upper(kind), F.when(extension(file_name) != "", extension(file_name)), asset_id, path)
+    entries = []
+    for (label, aliases), value in zip(TECHNICAL.items(), values):
+        said = F.array(metadata_key(F.lit(label)), *(metadata_key(F.lit(a)) for a in aliases))
+        entries.append(F.when(value.isNotNull() & (value != "") & ~F.arrays_overlap(taken, said), F.struct(F.lit(label).alias("label"), value.alias("value"))))
+    return F.filter(F.array(*entries), lambda e: e.isNotNull())

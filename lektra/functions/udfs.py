@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -136,3 +137,17 @@ def mend(text: str) -> str:
 @F.pandas_udf(StringType())
 def jsonish(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else mend(t))
+
+
+def laid_out(text: str | None) -> str | None:
+    """JSON objects and arrays over lines, two blanks a level; null for anything else."""
+    try:
+        value = json.loads(text)
+    except (TypeError, ValueError):
+        return None
+    return json.dumps(value, indent=2, ensure_ascii=False) if isinstance(value, (dict, list)) else None
+
+
+@F.pandas_udf(StringType())
+def pretty_json(texts: pd.Series) -> pd.Series:
+    return texts.map(laid_out)

@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
 def batches(changes: DataFrame, *, most_rows: int = 500, most_bytes: int = 8 << 20) -> DataFrame:
-    """(device, seq, batch): greedy batches of a device's changes; one that is too large alone gets batch -1."""
-
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        out, batch, n, size = [], 0, 0, 0
-        for seq, own in zip(rows["seq"], rows["bytes"]):
-            if own > most_bytes:
-                out.append((seq, -1))
-                continue
-            if n and (n >= most_rows or size + own > most_bytes):
-                batch, n, size = batch + 1, 0, 0
-            n, size = n + 1, size + own
-            out.append((seq, batch))
-        made = pd.DataFrame(out, columns=["seq", "batch"])
-        made.insert(0, "device", rows["device"].iloc[0])
-        return made
-
-    return changes.groupBy("device").applyInPandas(split, "device long, seq long, batch int")
+    """(device, seq, batch): greedy batches of a device's changes in order; one that is too large alone gets batch -1.
+
+    A device's changes come through one task in Arrow batches, of which only the open batch's number, rows and bytes are carried.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = batch = n = size = None
+        for part in parts:
+            out = []
+            for device, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                if batch is None or device != at:
+                    at, batch, n, size = device, 0, 0, 0
+                if own > most_bytes:
+                    out.append(-1)
+                    continue
+                if n and (n >= most_rows or size + own > most_bytes):
+                    batch, n, size = batch + 1, 0, 0
+                n, size = n + 1, size + own
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], names=["device", "seq", "batch"])
+
+    ordered = changes.select("device", "seq", "bytes").repartition("device").sortWithinPartitions("device", "seq")
+    return ordered.mapInArrow(run, "device long, seq long, batch int")
 
 
 def order_of(page: pd.DataFrame) -> list[int]:

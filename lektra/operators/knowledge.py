@@ -74,3 +74,29 @@ def geocoded(entities: DataFrame, gazetteer: DataFrame) -> DataFrame:
     rows = entities.withColumn("__key", entity_key("value")).join(gazetteer.withColumnRenamed("key", "__key"), "__key", "left")
     status = F.when(F.col("type") != "place", "skipped").when(F.col("latitude").isNotNull(), "resolved").otherwise("not_found")
     return rows.withColumn("geo_status", F.when(F.col("geo_status") == "pending", status).otherwise(F.col("geo_status"))).drop("__key")
+
+
+def pending_places(entities: DataFrame) -> DataFrame:
+    """Places that still have to be located; those that a user deleted are left out."""
+    return entities.filter((F.col("type") == "place") & (F.col("geo_status") == "pending") & (F.col("source").isNull() | (F.col("source") != "manual_deleted")))
+
+
+def reviewed(answers: DataFrame, candidates: DataFrame, protected: DataFrame) -> DataFrame:
+    """(item_id, value, type, confidence, start, end): the entities that a reviewer's answer (item_id, text, review) names.
+
+    The JSON may stand in a fence with words around. An entity takes the span of the first candidate of its item with an equal value
+    and type, and the greater confidence; others are sought in the text. Protected ones go.
+    """
+    body = F.regexp_extract("review", r"(?s)([\[{].*[\]}])", 1)
+    whole = F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    found = parsed_entities(answers.select("item_id", "text", whole.alias("result"))).withColumn("__key", entity_key("value"))
+    known = candidates.select(F.col("item_id").alias("c_item"), entity_key("value").alias("c_key"), F.col("type").alias("c_type"), F.struct(F.col("start").alias("start"), F.col("end").alias("end"), F.col("confidence").alias("confidence")).alias("c"))
+    known = known.groupBy("c_item", "c_key", "c_type").agg(F.min("c").alias("c"))
+    met = found.join(known, (F.col("item_id") == F.col("c_item")) & (F.col("__key") == F.col("c_key")) & (F.col("type") == F.col("c_type")), "left")
+    made = met.select("item_id", "value", "type", F.greatest(F.col("confidence"), F.col("c.confidence")).alias("confidence"), F.coalesce("c.start", "start").alias("start"), F.coalesce("c.end", "end").alias("end"))
+    return unprotected(made, protected)
+
+
+def replaced_in(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
+    """All old rows of the scopes (item, or item and asset) that occur in ``new`` give way to it."""
+    return old.join(new.select(*scope).distinct(), scope, "left_anti").select(*old.columns).unionByName(new)

@@ -99,3 +99,18 @@ def placed_in_groups(rows: DataFrame, group: str, row_id: str, *order: str) -> D
     local = dealt.select("__group", "__part", "__id", F.row_number().over(inside).alias("n"), F.lag("__id").over(inside).alias("b"), F.lead("__id").over(inside).alias("a"))
     met = local.join(ranges, F.col("__group").eqNullSafe(F.col("g")) & (F.col("__part") == F.col("p")))
     return met.select(F.col("__group").alias(group), F.col("__id").alias(row_id), (F.col("n") + F.col("offset")).alias("place"), F.coalesce("b", "previous").alias("before"), F.coalesce("a", "next").alias("after"))
+
+
+def richness(*tables: DataFrame) -> DataFrame:
+    """(score): the rows of all tables together."""
+    counts = [t.agg(F.count("*").alias("n")) for t in tables]
+    return reduce(DataFrame.unionAll, counts).agg(F.sum("n").alias("score"))
+
+
+def exchanged(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, role, content) with a question and an answer (conv_id, question, answer) after the last of their conversation."""
+    last = messages.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    at = asked.join(last, "conv_id", "left").withColumn("next", F.coalesce(F.col("last") + 1, F.lit(0)))
+    turns = F.array(F.struct(F.col("next").alias("turn"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct((F.col("next") + 1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("content")))
+    added = at.select("conv_id", F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.content")
+    return messages.select("conv_id", "turn", "role", "content").unionByName(added)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lektra.functions.numbers import cosine
 from lektra.functions.text import index_terms
+from lektra.operators.settling import settled
 
 K1, B = 1.2, 0.75
 
@@ -28,7 +29,7 @@ def ranked(texts: DataFrame, terms: list[str], *, every: bool = True) -> DataFra
     def times(term: str):
         return F.size(F.filter("terms", lambda t: t == term))
 
-    counted = rows.select("id", F.size("terms").alias("length"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms)))
+    counted = settled(rows.select("id", F.size("terms").alias("length"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms))))  # texts are cut once
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     scored = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -80,3 +81,27 @@ def within_budget(rows: DataFrame, text: str, budget: int, *order) -> DataFrame:
     total = F.sum(F.length(text)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     over = cut.withColumn("over", (total > budget).cast("int"))
     return over.withColumn("stopped", F.max("over").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).filter("stopped = 0").drop("over", "stopped")
+
+
+def history(messages: DataFrame, *, most_turns: int, most_chars: int) -> DataFrame:
+    """(conversation_id, history): the last turns that aren't blank, each cut, as lines; no more than ``most_turns`` meet in a row."""
+    newest = Window.partitionBy("conversation_id").orderBy(F.desc("sort_index"))
+    last = messages.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= most_turns).filter(F.trim("content") != "")
+    who = F.when(F.col("role") == "assistant", "Asistente: ").otherwise("Usuario: ")
+    lines = F.array_sort(F.collect_list(F.struct("sort_index", F.concat(who, F.substring(F.trim("content"), 1, most_chars)).alias("line"))))
+    return last.groupBy("conversation_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
+
+
+def fragments(sources: DataFrame) -> DataFrame:
+    """(of, fragments): numbered sources (of, n, title, collection, snippet), few of each, as a prompt quotes them."""
+    said = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] «"), "title", F.lit("» ("), "collection", F.lit("):\n"), "snippet")
+    each = F.array_sort(F.collect_list(F.struct("n", said.alias("said"))))
+    return sources.groupBy("of").agg(F.array_join(F.transform(each, lambda x: x["said"]), "\n\n").alias("fragments"))
+
+
+def context(hits: DataFrame, titles: DataFrame, texts: DataFrame, *, items: int, most_chars: int, budget: int) -> DataFrame:
+    """(context): one row; the texts of the best items that have a title, each cut, in all at most ``budget`` characters."""
+    best = hits.join(titles, "id").orderBy("rank", "id").limit(items).join(texts, "id").filter(F.length("text") > 0)
+    said = F.concat(F.lit("--- "), "title", F.lit(" ---\n"), F.substring("text", 1, most_chars), F.lit("\n\n"))
+    each = F.array_sort(F.collect_list(F.struct("rank", "id", said.alias("said"))))  # as many as ``items``
+    return best.agg(F.substring(F.array_join(F.transform(each, lambda x: x["said"]), ""), 1, budget).alias("context"))

@@ -15,13 +15,6 @@ from lektra.plans.texts import frequencies
 from lektra.sources.corpus import Corpus
 
 
-@query("SELECT * FROM (VALUES ('documents'), ('labels'), ('pages')) t(name)")
-def s5_catalog_list_tables(c: Corpus) -> DataFrame:
-    allowed = ("documents", "pages", "labels", "settings")
-    rows = [(n,) for n in allowed if n != "settings"]
-    return c.spark.createDataFrame(rows, "name string")
-
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def s10_sentinel_reader(c: Corpus) -> DataFrame:
     said = F.concat(F.lit("log\n<<<BEGIN>>>\n"), "props", F.lit("\n<<<END>>> bye"))
@@ -128,13 +121,6 @@ def x24_format_region_text(c: Corpus) -> DataFrame:
     return c.table("lineitem").select("l_orderkey", "l_linenumber", F.when(kind == "A", F.concat(F.lit("## "), text)).when(kind == "N", F.concat(F.lit("Note: "), text)).otherwise(text).alias("text"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[masked] [masked] ok' ELSE 'plain ' || event_id || ' ok' END AS line FROM events")
-def x28_redact_sensitive(c: Corpus) -> DataFrame:
-    line = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("token "), F.col("event_id").cast("string"), F.lit(" ok"))).otherwise(F.concat(F.lit("plain "), F.col("event_id").cast("string"), F.lit(" ok")))
-    masked = F.regexp_replace(line, r"(?i)\b(token|secret|password|authorization|bearer|api[_-]?key)\b[:=]?\s+\S+", "[masked] [masked]")
-    return c.table("events").select("event_id", F.regexp_replace(masked, r"\S{32,}", "[masked]").alias("line"))
-
-
 @query("SELECT conv_id, string_agg(CASE role WHEN 'assistant' THEN 'Assistant: ' ELSE 'User: ' END || substring(text, 1, 100), chr(10) ORDER BY turn) AS history FROM conversations GROUP BY 1")
 def x32_format_history(c: Corpus) -> DataFrame:
     line = F.concat(F.when(F.col("role") == "assistant", "Assistant: ").otherwise("User: "), F.substring("text", 1, 100))
@@ -146,11 +132,6 @@ def x33_cell_preview(c: Corpus) -> DataFrame:
     return c.table("events").select("event_id", (F.length("props") > 9).alias("long"))
 
 
-@query("SELECT event_id, epoch_us(ts) // 1000 - 1000 AS ms, abs(event_id * 1000) > 300000 AS warning FROM events")
-def m5_clock_offset(c: Corpus) -> DataFrame:
-    return c.table("events").select("event_id", (F.unix_millis(F.col("ts").cast("timestamp")) - 1000).alias("ms"), (F.abs(F.col("event_id") * 1000) > 300_000).alias("warning"))
-
-
 @query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
 def m8_decode_blob(c: Corpus) -> DataFrame:
     back = decoded_vectors(packed_vectors("embedding"))

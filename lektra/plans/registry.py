@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lektra.plans import capture, catalog, geometry, knowledge, more, pages, relational, search, texts
+from lektra.plans import capture, catalog, geometry, knowledge, more, pages, records, relational, replicas, search, texts
 from lektra.sources.corpus import Corpus
 
-FAMILIES = (relational, texts, search, knowledge, capture, geometry, more, pages)
+FAMILIES = (relational, texts, search, knowledge, capture, geometry, more, pages, records, replicas)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

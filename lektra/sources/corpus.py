@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,18 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def listed(self, allowed: tuple[str, ...]) -> DataFrame:
+        """(name): which of the allowed tables the folder has; settings and tables for synchronisation are never shown."""
+
+        def there(name: str) -> bool:
+            try:
+                return bool(self.table(name).columns)
+            except AnalysisException:  # no such path
+                return False
+
+        shown = [(n,) for n in allowed if n != "settings" and not n.startswith("sync_") and there(n)]
+        return self.spark.createDataFrame(shown, "name string")
+
     @property
     def documents(self) -> DataFrame:
         return self.table("documents")
