@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lektra.operators.settling import fresh_path, settled, shared_folder
+
+__all__ = ["fresh_path", "heavy_join", "per_text", "settled", "shared_folder", "table", "text_slices", "written"]
+
 #: Bytes of texts that are worked on together where more at once is faster.
 SLICE_BYTES = 2_000_000
 
@@ -23,21 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this session's own only on a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lektra-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from Parquet in the shared folder, so that columns that aren't asked for aren't read."""
     path = fresh_path(df.sparkSession, name)
@@ -45,12 +32,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared folder: a lost executor costs no more than one read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices whose texts in a column have about ``most`` bytes together; a longer text stands alone."""
     for batch in batches:

@@ -6,7 +6,8 @@ grid of ``simhash``, whose cells lose no pair within a few bits. So this grid ha
 fixes the counts of some sampled segments (of one bit each; segments of two bits would need three times as many tables), of the last 320
 bits. How many segments follows from the number of nodes, so that a node meets about eight others by chance, and how many
 tables from the recall. In a cell the Manhattan distance of the first 64 bits, in two-bit segments, sifts, then their Hamming distance. Nodes that are
-connected so are compared block by block, each pair of blocks once, by their whole shingle sets; only pairs of a similarity
+connected so are first compared with the least node among them, by their whole shingle sets, in as many tasks as their number
+asks for. Those that aren't like it are then compared with all others, block by block. Only pairs of a similarity
 of at least 0.8 link, so nothing is taken for a near copy that isn't linked by them. Components are found by alternating stars.
 
 Defined results: texts without words are one node; a null text counts as empty; see ``deduplicated`` for ties.
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lektra.llm.common import heavy_join, settled, text_slices
+from lektra.llm.common import heavy_join, settled, text_slices, written
 from lektra.llm.components import components
 from lektra.llm.simhash import hashes_of, linked, majorities
 from lektra.llm.substrings import mixed
@@ -35,8 +36,8 @@ WORDS = 6
 RECALL, SLACK = 0.97, 2.2
 #: Sets of fewer shingles differ by one of them at most at a similarity of 0.8; they are brought together by all sets less one.
 TINY = 10
-#: Nodes of a block; two blocks are compared at once.
-BLOCK = 256
+#: Nodes of a block, of which two are compared at once; nodes that one task compares with the least one.
+BLOCK, STAR = 256, 2048
 
 _SALTS = np.random.default_rng(11).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -164,12 +165,49 @@ def similar(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]
     return children, parents
 
 
+def stars(groups: DataFrame, percent: int) -> DataFrame:
+    """(root, size, node, rep, like): is the node's set similar to that of the least node, rep, of its root? rep itself is left out."""
+    salts = F.ceil(F.col("size") / STAR).cast("int")
+    first = F.col("node") == F.col("rep")
+    salt = F.when(first, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), salts).cast("int")))
+    dealt = groups.withColumn("salt", F.explode(salt)).withColumn("cell", F.xxhash64("root", "salt")).withColumn("after", ~first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            ends, values = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy().view(np.uint64)
+            keep, like = [], []
+            for i, (root, node, rep) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist())):
+                own = values[ends[i] : ends[i + 1]]
+                if node == rep:
+                    at, held = root, own.copy()
+                    continue
+                if root != at:
+                    raise ValueError("a group without its least node")
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                keep.append(i)
+                like.append(both > 0 and 100 * both >= percent * (len(own) + len(held) - both))
+            took = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(took) for c in (0, 1, 2, 4)), pa.array(like, pa.bool_())], names=["root", "size", "node", "rep", "like"])
+
+    chosen = dealt.repartition("cell").sortWithinPartitions("cell", "root", "after").select("root", "size", "node", "shingles", "rep")
+    return chosen.mapInArrow(run, "root long, size long, node long, rep long, like boolean")
+
+
 def verified(groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links of nodes that are similar, from rows (root, node, shingles); nodes of one root are compared."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = groups.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("node", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "shingles")
+    """(a, b): links of nodes that are similar, from settled rows (root, size, node, rep, shingles); nodes of one root are compared."""
+    told = settled(stars(groups, percent))
+    unlike = told.filter("not like and size > 2")  # of two nodes nothing is left to compare
+    left = settled(unlike.groupBy("root").agg(F.count("*").alias("unlike"), F.first("size").alias("size")))
+    rest = heavy_join(groups.drop("size"), left, "root", groups.count(), "size")
+    rest = rest.join(unlike.select("node", F.lit(True).alias("alone")), "node", "left")
+    rows, columns = F.ceil(F.col("unlike") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+    row, column = (F.pmod(F.xxhash64("node"), n).cast("int") for n in (rows, columns))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    # a node is in its column of all rows of blocks, and one that is unlike the first also in its row of all columns
+    at_columns = F.transform(every(rows), lambda i: F.struct(i.alias("i"), column.alias("j")))
+    at_rows = F.when(F.col("alone"), F.transform(every(columns), lambda j: F.struct(row.alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    dealt = rest.withColumn("at", F.explode(F.array_distinct(F.concat(at_columns, at_rows)))).select("node", F.xxhash64("root", "at.i", "at.j").alias("cell"), "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, nodes, sets = None, [], []
@@ -189,7 +227,8 @@ def verified(groups: DataFrame, percent: int) -> DataFrame:
                 sets.append(values[ends[i] : ends[i + 1]].copy())
         yield links()
 
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    more = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return told.filter("like").select(F.col("node").alias("a"), F.col("rep").alias("b")).union(more)
 
 
 def deduplicated(docs: DataFrame, *, percent: int = 80) -> DataFrame:
@@ -203,18 +242,18 @@ def deduplicated(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     links = linked(in_tables(nodes, nodes.count(), percent), radius_of(percent)).union(tiny_links(nodes))
     near = components(settled(links)).withColumnRenamed("node", "fp")
     met = settled(nodes.select("node", "first", "fp").join(near, "fp", "left").select("node", "first", F.coalesce("root", "fp").alias("root")))
-    sizes = settled(met.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"))
+    sizes = settled(met.groupBy("root").agg(F.count("*").alias("size"), F.min("node").alias("rep")).filter("size > 1"))
     chosen = heavy_join(met, sizes, "root", met.count(), "size")
-    chosen = chosen.select("root", "size", "node", F.col("first.id").alias("__id"), F.col("first.a").alias("__a"), F.col("first.b").alias("__b"))
+    chosen = chosen.select("root", "size", "rep", "node", F.col("first.id").alias("__id"), F.col("first.a").alias("__a"), F.col("first.b").alias("__b"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), "text")
-    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("root", "size", "node", "text")
+    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("root", "size", "node", "text", "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 3):
             found = [shingles_of(x).view(np.int64) for x in part.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["root", "size", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.list_(pa.int64())), part.column(4)], names=["root", "size", "node", "shingles", "rep"])
 
-    groups = texts.mapInArrow(sets, "root long, size long, node long, shingles array<long>")
+    groups = written(texts.mapInArrow(sets, "root long, size long, node long, shingles array<long>, rep long"), "shingle-sets")
     roots = components(settled(verified(groups, percent))).withColumnRenamed("node", "__node")
     rooted = nodes.join(roots, F.col("node") == F.col("__node"), "left").select("first", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))

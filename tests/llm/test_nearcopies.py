@@ -69,6 +69,21 @@ def test_groups_of_many_blocks(spark, monkeypatch):
     assert [r.doc_id for r in N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_groups_of_unlike_nodes(spark, monkeypatch):
+    """Chains, in which most nodes are unlike the least one, over many blocks and salts."""
+    monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "STAR", 3)
+    rng, rows = random.Random(17), []
+    for group in range(4):
+        words = [f"g{group}w{i}" for i in range(120)]
+        for step in range(30):
+            rows.append((100 * group + step, " ".join(words)))
+            words[rng.randrange(120)] = f"new{rng.randrange(10**9)}"
+    rng.shuffle(rows)
+    left = {r.doc_id for r in N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == slow(rows) and len(left) < 20
+
+
 def test_similar():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 12, 9)).astype(np.uint64) for _ in range(150)]
