@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lektra.llm import bpe, decontamination, licenses, quality, secrets, sharding, simhash, substrings, tokenfiles, urls
 from lektra.llm.common import fresh_path, table
@@ -58,9 +59,89 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scanned(table(spark, sf_dir, "documents")))
 
 
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of operator 2 that its contract fixes."""
+    found = quality.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", *quality.COUNTS[:5], quality.base_failed().alias("base_failed"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of operator 3 that its contract fixes."""
+    found = urls.judged(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def shard_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law of operator 4 promises, and its sizes, as sums: slots without gaps, shards of near equal bytes."""
+    found = sharding.sharded(table(spark, sf_dir, "documents"), 40)
+    shards = found.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"))
+    mean, most = F.sum("bytes") / 40, F.max(F.struct("bytes"))["bytes"]
+    sums = shards.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.count_if((F.col("low") == 0) & (F.col("high") == F.col("n") - 1)).alias("gapless"), F.count("*").alias("shards"), (most <= 1.2 * mean).alias("even"))
+    largest = found.agg(F.max("size").alias("largest"))
+    return sums.crossJoin(largest).select("rows", "bytes", (F.col("gapless") == F.col("shards")).alias("gapless"), (F.col("even") | (F.col("largest") * 20 > F.col("bytes") / 40)).alias("even"))  # one row each
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of operator 9 that its contract fixes."""
+    return op9_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 10 that its contract fixes."""
+    return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+OPERATORS = (op1_bpe_pair_index, op2_quality_rules, op3_url_filter, op4_sharding, op5_token_files, op6_simhash, op7_decontamination, op8_substring_dedup, op9_secret_scan, op10_license_scan)
+PARTS = (base_counts, url_rules, shard_sums, secret_counts, license_phrases)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_pair_index, op2_quality_rules, op3_url_filter, op4_sharding, op5_token_files, op6_simhash, op7_decontamination, op8_substring_dedup, op9_secret_scan, op10_license_scan)}
+    return {f.__name__: f for f in OPERATORS + PARTS}
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS said FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT said, min(doc_id) AS first FROM windows GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (said) WHERE first < doc_id),
+taken AS (SELECT doc_id, list(i) AS spots FROM gone GROUP BY 1),
+kept AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(spots), 0) AS n_removed, CASE WHEN spots IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(spots, i)), lambda i: w[i]) END AS k FROM d LEFT JOIN taken USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept"""
+
+_COUNTS = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS said FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, said FROM windows GROUP BY 1, 2 HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM windows JOIN twice USING (doc_id, said)) GROUP BY 1),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+counts AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts"""
+
+_URLS = """
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+rules AS (SELECT * FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) r(rule, on_host, on_path, ruled)),
+fits AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(ruled, length(rule)) AS ruled FROM h JOIN rules ON (host = on_host OR ends_with(host, '.' || on_host)) AND starts_with(path, on_path) GROUP BY 1)
+SELECT page_id, host, path, rule, ruled FROM h LEFT JOIN fits USING (page_id)"""
+
+_SECRETS = r"""
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+_LICENSES = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+each AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+found AS (SELECT doc_id, i - 1 AS place, CASE WHEN a = 'mit' AND b = 'license' THEN 'mit' WHEN a = 'apache' AND b = 'license' THEN 'apache' WHEN a = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' END AS label FROM each),
+sums AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found WHERE label IS NOT NULL GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN sums USING (doc_id)"""
+
+_SHARDS = "SELECT count(*) AS rows, CAST(sum(coalesce(strlen(text), 0) + 16) AS BIGINT) AS bytes, true AS gapless, true AS even FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries, or the parts of them, that it can express."""
+    return {"op8_substring_dedup": _SUBSTRINGS, "base_counts": _COUNTS, "url_rules": _URLS, "shard_sums": _SHARDS, "secret_counts": _SECRETS, "license_phrases": _LICENSES}
