@@ -287,3 +287,8 @@ def technical_metadata(file_name: Column, kind: Column, asset_id: Column, path:
         said = F.array(metadata_key(F.lit(label)), *(metadata_key(F.lit(a)) for a in aliases))
         entries.append(F.when(value.isNotNull() & (value != "") & ~F.arrays_overlap(taken, said), F.struct(F.lit(label).alias("label"), value.alias("value"))))
     return F.filter(F.array(*entries), lambda e: e.isNotNull())
+
+
+def stopword_list(x: str | Column) -> Column:
+    """Distinct words of a field, lower-cased, cut at white space, commas and semicolons."""
+    return F.array_distinct(F.filter(F.split(F.lower(_column(x)), r"[\s,;]+"), lambda w: w != ""))

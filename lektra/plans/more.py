@@ -138,7 +138,7 @@ def m8_decode_blob(c: Corpus) -> DataFrame:
     return c.vectors.select(F.col("asset_id").alias("vec_id"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query()
+@query("SELECT doc_id, lpad(lower(to_hex(CAST(list_reduce([14695981039346656037::HUGEINT] || list_transform(string_split(source, ''), lambda x: ascii(x)::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS UBIGINT))), 16, '0') AS hash FROM documents")
 def m10_fnv1a64(c: Corpus) -> DataFrame:
     return c.documents.select("doc_id", fnv1a64("source").alias("hash"))
 
@@ -206,7 +206,7 @@ def d15_conversation_delete(c: Corpus) -> DataFrame:
     return R.deleted(c.table("conversations"), gone, "conv_id").select("conv_id", "turn")
 
 
-@query()
+@query('WITH RECURSIVE o AS (SELECT user_id AS device, event_id AS seq, length(props) AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), r AS (SELECT device, 0::BIGINT AS seq, 0::BIGINT AS k, 0 AS open, 0 AS n, 0::BIGINT AS size, 0 AS batch FROM (SELECT DISTINCT device FROM o) UNION ALL SELECT r.device, o.seq, o.k, CASE WHEN o.bytes <= 30 AND n > 0 AND (n >= 5 OR size + o.bytes > 30) THEN open + 1 ELSE open END, CASE WHEN o.bytes > 30 THEN n WHEN n > 0 AND (n >= 5 OR size + o.bytes > 30) THEN 1 ELSE n + 1 END, CASE WHEN o.bytes > 30 THEN size WHEN n > 0 AND (n >= 5 OR size + o.bytes > 30) THEN o.bytes ELSE size + o.bytes END, CASE WHEN o.bytes > 30 THEN -1 WHEN n > 0 AND (n >= 5 OR size + o.bytes > 30) THEN open + 1 ELSE open END FROM r JOIN o ON o.device = r.device AND o.k = r.k + 1) SELECT device, seq, batch FROM r WHERE k > 0')
 def c5_batch_split(c: Corpus) -> DataFrame:
     """Batches of a device's changes in their order: by count and by bytes, taken greedily."""
     changes = c.oplog.select(F.col("row_id").alias("device"), "seq", F.length("props").cast("long").alias("bytes"))

@@ -90,7 +90,7 @@ def x14_highlight_terms(c: Corpus) -> DataFrame:
     return c.documents.select("doc_id", T.highlighted(F.col("text"), ["on", "The", "thing", "the"]).alias("marked"))
 
 
-@query()
+@query('WITH RECURSIVE c AS (SELECT doc_id, text, -1 AS chunk, 0 AS start, 0 AS stop FROM documents UNION ALL SELECT doc_id, text, chunk + 1, stop, CAST(CASE WHEN stop + 28000 >= length(text) THEN length(text) WHEN strpos(reverse(substring(text, stop + 14001, 14000)), chr(10)) > 0 THEN stop + 28000 - strpos(reverse(substring(text, stop + 14001, 14000)), chr(10)) + 1 ELSE stop + 28000 END AS INT) FROM c WHERE stop < length(text)) SELECT doc_id, chunk, start, stop - start AS n FROM c WHERE chunk >= 0')
 def x15_chunk_text(c: Corpus) -> DataFrame:
     return c.documents.select("doc_id", F.posexplode(chunked("text"))).select("doc_id", F.col("pos").alias("chunk"), "col.start", F.length("col.text").alias("n"))
 
@@ -100,7 +100,7 @@ def x16_sentence_truncate(c: Corpus) -> DataFrame:
     return c.documents.select("doc_id", T.whole_sentences("text", 300).alias("cut"))
 
 
-@query()
+@query('SELECT doc_id, text FROM documents')
 def x17_repair_mojibake(c: Corpus) -> DataFrame:
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return c.documents.select("doc_id", repaired(broken).alias("text"))
@@ -132,12 +132,12 @@ def x25_remap_speakers(c: Corpus) -> DataFrame:
     return c.table("conversations").select("conv_id", "turn", F.concat_ws(": ", F.coalesce(names[F.col("role")], F.col("role")), "text").alias("line"))
 
 
-@query()
+@query("SELECT page_id, replace(replace(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<(?:style>.*?</style|script>.*?</script|!--.*?--)>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '</br>', ''), '<(/?(?:p|br|strong|b|em|i|u|s|ul|ol|li|h1|h2|h3|blockquote|code|pre|a))(?:\\s[^>]*)?>', chr(1) || '\\1' || chr(2), 'g'), '<[^>]*>', '', 'g'), chr(1), '<'), chr(2), '>') AS html FROM pages")
 def x26_note_html_sanitize(c: Corpus) -> DataFrame:
     return c.table("pages").select("page_id", sanitized_html("html").alias("html"))
 
 
-@query()
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\n[ \\t]*\\n+'), lambda p: trim(p) <> ''), lambda p: '<p>' || replace(trim(p), chr(10), '<br>') || '</p>'), '') AS html, NOT regexp_matches(text, '<[a-zA-Z/]') AS plain FROM documents")
 def x27_note_plain_to_html(c: Corpus) -> DataFrame:
     return c.documents.select("doc_id", T.html_paragraphs("text").alias("html"), (~F.col("text").rlike("<[a-zA-Z/]")).alias("plain"))
 
@@ -198,7 +198,7 @@ def m14_severity_map(c: Corpus) -> DataFrame:
     return c.table("events").select("event_id", N.severity(names).alias("severity"))
 
 
-@query()
+@query("SELECT id, CASE WHEN size >= 1048576 THEN CASE WHEN size / 1048576.0 < 10 THEN printf('%.1f', round(size / 1048576.0, 1)) ELSE printf('%.0f', round(size / 1048576.0)) END || ' MB' WHEN size >= 1024 THEN CASE WHEN size / 1024.0 < 10 THEN printf('%.1f', round(size / 1024.0, 1)) ELSE printf('%.0f', round(size / 1024.0)) END || ' KB' ELSE size || ' B' END AS size FROM assets", "assets")
 def m4_format_bytes(c: Corpus) -> DataFrame:
     return c.assets.select("id", N.byte_size(F.col("size")).alias("size"))
 
@@ -249,3 +249,8 @@ def n8_dedupe_array(c: Corpus) -> DataFrame:
     return c.documents.select("doc_id", F.size(F.array_distinct(F.split(F.concat_ws(",", "lang", "source", "lang"), ","))).cast("long").alias("n"))
 
 
+@query("SELECT doc_id, list_transform(list_sort(list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x, i: {'i': i, 'x': x})), lambda s: s.x) AS words FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(substring(text, 1, 80) || ',' || lang || ';' || lang || '  ' || source), '[\\s,;]+'), lambda x: x <> '') AS w FROM documents)")
+def x5_stopwords_of_a_field(c: Corpus) -> DataFrame:
+    """What a user typed into the field of stopwords, as distinct words in their order."""
+    typed = F.concat(F.substring("text", 1, 80), F.lit(","), "lang", F.lit(";"), "lang", F.lit("  "), "source")
+    return c.documents.select("doc_id", T.stopword_list(typed).alias("words"))
