@@ -36,22 +36,48 @@ def batches(changes: DataFrame, *, most_rows: int = 500, most_bytes: int = 8 <<
     return ordered.mapInArrow(run, "device long, seq long, batch int")
 
 
+def columns_of(lines: list[tuple], reach: float) -> list[list[tuple]]:
+    """Lines (x, y, line) in columns from the left, each from the top; a column's place is the upper median of its lines' left edges.
+
+    A line joins the nearest column within reach. Columns nearer than four fifths of it are one. Columns of fewer than four
+    lines, or of a twelfth of all, are noise and go to the nearest other one, if there is any.
+    """
+    place = lambda column: sorted(x for x, _, _ in column)[len(column) // 2]
+    found: list[list[tuple]] = []
+    for line in sorted(lines):
+        near = min(((abs(line[0] - place(c)), i) for i, c in enumerate(found)), default=(np.inf, -1))
+        if near[0] <= reach:
+            found[near[1]].append(line)
+        else:
+            found.append([line])
+    joined: list[list[tuple]] = []
+    for column in sorted(found, key=place):
+        if joined and abs(place(column) - place(joined[-1])) <= 0.8 * reach:
+            joined[-1] += column
+        else:
+            joined.append(column)
+    least = max(4, -(-8 * len(lines) // 100))
+    large = [c for c in joined if len(c) >= least]
+    if large:
+        places = [place(c) for c in large]
+        for column in joined:
+            if len(column) < least:
+                at = place(column)
+                large[min(range(len(large)), key=lambda i: abs(places[i] - at))].extend(column)
+        joined = large
+    return [sorted(c, key=lambda line: (line[1], line[0], line[2])) for c in sorted(joined, key=place)]
+
+
 def order_of(page: pd.DataFrame) -> list[int]:
     """The reading order of a page's lines: wide lines near the top, then columns from the left, each downwards."""
     left, top = page["x"].min(), page["y"].min()
     wide, high = (page["x"] + page["width"]).max() - left, (page["y"] + page["height"]).max() - top
     header = (page["y"] - top <= 0.22 * high) & (page["width"] >= 0.58 * wide)
-    lines = page[~header].sort_values(["x", "y", "line"])
+    rest = page[~header]
     reach = max(2.5 * float(np.sort(page["height"])[len(page) // 2]), 0.04 * wide)
-    columns: list[list] = []
-    anchor = None
-    for row in lines.itertuples():
-        if anchor is None or row.x - anchor > reach:
-            columns.append([])
-            anchor = row.x
-        columns[-1].append((row.y, row.line))
+    columns = columns_of([*zip(rest["x"], rest["y"], rest["line"])], reach) if len(rest) else []
     first = page[header].sort_values(["y", "x", "line"])["line"].tolist()
-    return first + [line for column in columns for _, line in sorted(column)]
+    return first + [line for column in columns for _, _, line in column]
 
 
 def reading_order(lines: DataFrame) -> DataFrame:

@@ -114,3 +114,8 @@ def exchanged(messages: DataFrame, asked: DataFrame) -> DataFrame:
     turns = F.array(F.struct(F.col("next").alias("turn"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct((F.col("next") + 1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("content")))
     added = at.select("conv_id", F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.content")
     return messages.select("conv_id", "turn", "role", "content").unionByName(added)
+
+
+def inserted(rows: DataFrame, new: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the new ones whose parent is there, the new ones that are refused)."""
+    return rows.unionByName(non_empty(new, parents, child_key, parent_key)), orphans(new, parents, child_key, parent_key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lektra.operators import replicas as R
+from lektra.operators.relational import inserted
 from lektra.operators.settling import fresh_path
 from lektra.plans.catalog import query
 from lektra.sources import exports, index
@@ -226,3 +227,12 @@ def a2_index_item(c: Corpus) -> DataFrame:
     path = _index(c)
     index.add(c.spark.createDataFrame([(1, "Fresh thing, FRESH!"), (-5, "thing")], "id long, text string"), path)
     return index.postings(c.spark, path, ["thing", "fresh"]).select("id", "term", "tf")
+
+
+@query("SELECT o_orderkey, o_custkey, 'there' AS state FROM orders UNION ALL SELECT -o_orderkey, o_custkey + 50, CASE WHEN o_custkey + 50 IN (SELECT c_custkey FROM customer) THEN 'there' ELSE 'refused' END FROM orders WHERE o_orderkey > 0")
+def d1_inserted_with_parents(c: Corpus) -> DataFrame:
+    """Orders inserted where their customer exists; the others are refused."""
+    old = c.table("orders").select("o_orderkey", "o_custkey")
+    new = old.filter("o_orderkey > 0").select((-F.col("o_orderkey")).alias("o_orderkey"), (F.col("o_custkey") + 50).alias("o_custkey"))
+    rows, refused = inserted(old, new, c.table("customer"), "o_custkey", "c_custkey")
+    return rows.withColumn("state", F.lit("there")).unionByName(refused.withColumn("state", F.lit("refused")))

@@ -133,3 +133,11 @@ def exported(c: Corpus) -> DataFrame:
 @query("SELECT conversation_id, count(*) AS messages, count_if(role = 'user') AS questions, substring(arg_min(content, sort_index), 1, 60) AS opening FROM messages GROUP BY 1", "messages")
 def a18_conversation_list(c: Corpus) -> DataFrame:
     return c.messages.groupBy("conversation_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("questions"), F.substring(F.min_by("content", "sort_index"), 1, 60).alias("opening"))
+
+
+@query(f"SELECT i.id, i.title FROM (SELECT id FROM ({_ranked(['thing'], True)}) ORDER BY rank, id LIMIT 20) h JOIN items i ON i.id = h.id", "items")
+def a7_search_global_by_index(c: Corpus) -> DataFrame:
+    """The twenty best items by the index, in the order of their titles; only if there is none, titles and metadata are searched."""
+    hits, _ = S.searched(_texts(c), search_terms_ui("thing"), 20)
+    by_title = c.items.filter(F.contains(ascii_fold("title"), F.lit("thing")) | F.contains(ascii_fold("metadata"), F.lit("thing"))).orderBy("title", "id").limit(20).select("id", "title")
+    return by_title if hits.isEmpty() else c.items.join(hits.select("id"), "id").orderBy("title", "id").select("id", "title")

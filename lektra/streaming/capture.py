@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from lektra.operators import replicas
 
 #: Tables in the order in which upserts are applied; deletes go the other way.
 TABLE_ORDER = ("collections", "topics", "rag_conversations", "items", "assets", "notes", "entities", "triples", "item_topics", "llm_results", "rag_messages", "annotations", "extractions", "transcriptions", "layouts", "vec_assets")
@@ -68,31 +71,53 @@ def drift(page: DataFrame, columns: list[str]) -> DataFrame:
     return page.select("table_name", F.explode(F.json_object_keys("payload")).alias("column")).filter(~F.col("column").isin(*columns)).distinct()
 
 
-def drained(parked: DataFrame, keys: DataFrame, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(applied, still parked): parked rows (row_id, parent_id) whose parents exist or get there, level by level.
+def drained(parked: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(applied, still parked): parked rows (row_id, parent_id) whose parents exist or get there, at any depth."""
+    found = replicas.drained(parked, keys)
+    return found.filter("outcome = 'applied'").drop("outcome"), found.filter("outcome = 'parked'").drop("outcome")
 
-    The schema is four levels deep, so that four rounds reach the fixpoint.
-    """
-    known, left, done = keys.select("id"), parked, None
-    for _ in range(rounds):
-        ready = left.join(known.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-        done = ready if done is None else done.unionByName(ready)
-        left = left.join(known.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
-        known = known.union(ready.select("row_id")).distinct()
-    return done, left
+
+#: Parts of the replicated rows; a page rewrites the parts that it touches.
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, target: str, batch: int) -> dict[int, int]:
+    """For each part, the batch that wrote it last, as of a batch; none before the first."""
+    if batch < 0:
+        return {}
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{target}/manifest/version={batch}").collect()}  # BUCKETS rows at most
+
+
+def replica(spark: SparkSession, target: str, schema: StructType, batch: int, buckets: list[int] | None = None) -> DataFrame:
+    """The replicated rows after a batch, or those of some parts."""
+    paths = [f"{target}/rows/version={v}/bucket={b}" for b, v in sorted(_manifest(spark, target, batch).items()) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def apply_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> None:
-    """Apply all pages (JSON files) that are there as a stream: each batch makes a new version of the rows at ``target``.
+    """Apply all pages (JSON files) that are there as a stream; rows lie in parts by a hash of table and row.
 
-    A batch that is repeated after a failure writes the same version again, from the version before it.
+    Each batch writes the parts that its page touches, and a manifest that says which batch wrote each part last. A
+    batch that is repeated after a failure writes the same again, from the manifest of the batch before it. Versions that no
+    late manifest names may be removed by ``unused``.
     """
 
     def merge(page: DataFrame, batch: int) -> None:
-        old = spark.createDataFrame([], page.schema) if batch == 0 else spark.read.schema(page.schema).parquet(f"{target}/version={batch - 1}")
         newest = Window.partitionBy("table_name", "row_id").orderBy(F.desc("seq"))
+        bucket = F.pmod(F.xxhash64("table_name", "row_id"), F.lit(BUCKETS)).cast("int")
         once = page.withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n")
-        winners(old, once).write.mode("overwrite").parquet(f"{target}/version={batch}")
+        touched = [r[0] for r in page.select(bucket).distinct().collect()]  # BUCKETS rows at most
+        made = winners(replica(spark, target, page.schema, batch - 1, touched), once).withColumn("bucket", bucket)
+        made.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/rows/version={batch}")
+        after = _manifest(spark, target, batch - 1) | dict.fromkeys(touched, batch)
+        spark.createDataFrame(sorted(after.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/version={batch}")
 
     pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
     pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def unused(spark: SparkSession, target: str, batch: int) -> list[str]:
+    """Paths of parts that only manifests before a batch name; a cleaning job may delete them."""
+    now = _manifest(spark, target, batch)
+    rows = spark.read.parquet(*(f"{target}/manifest/version={b}" for b in range(batch))).distinct().collect() if batch > 0 else []
+    return sorted(f"{target}/rows/version={r.version}/bucket={r.bucket}" for r in rows if now.get(r.bucket) != r.version)

@@ -71,5 +71,19 @@ def test_stream_equals_batch(spark):
         with open(os.path.join(folder, f"{i}.json"), "w") as file:
             file.writelines(json.dumps(dict(zip(("table_name", "row_id", "seq", "payload"), r))) + "\n" for r in page)
     capture.apply_stream(spark, folder, "table_name string, row_id long, seq long, payload string", target, checkpoint)
-    rows = spark.read.parquet(f"{target}/version=2").collect()
+    schema = spark.createDataFrame([], "table_name string, row_id long, seq long, payload string").schema
+    rows = capture.replica(spark, target, schema, 2).collect()
+    assert all("version=2" not in path for path in capture.unused(spark, target, 2))
     assert sorted((r.table_name, r.row_id, r.seq, r.payload) for r in rows) == [("items", 1, 5, "a"), ("items", 2, 9, "c"), ("notes", 1, 1, "e")]
+
+
+def test_columns_of_a_page():
+    from lektra.operators.grouped import columns_of
+
+    left = [(100 + i % 3, 30 * i, i) for i in range(8)]
+    right = [(500 + i % 2, 30 * i, 20 + i) for i in range(8)]
+    close = [(112, 300, 50)]
+    noise = [(300, 45, 60), (430, 95, 61)]
+    columns = columns_of(right + close + left + noise, 25.0)
+    assert [[line for _, _, line in c] for c in columns] == [[0, 1, 60, 2, 3, 4, 5, 6, 7, 50], [20, 21, 22, 23, 61, 24, 25, 26, 27]]
+    assert columns_of([(5, 1, 0), (900, 0, 1)], 10.0) == [[(5, 1, 0)], [(900, 0, 1)]]
