@@ -31,7 +31,9 @@ from tokenizers import Tokenizer
 from lektra.llm.common import text_slices
 
 #: Distinct chunks, and their characters, that a Python worker remembers before it starts afresh.
-MEMORY_CHUNKS, MEMORY_CHARS = 400_000, 14_000_000
+MEMORY_CHUNKS, MEMORY_CHARS = 400_000, 12_000_000
+#: Characters of new chunks that are laid out together.
+LEARN_CHARS = 700_000
 
 #: str.split() also cuts at these, which Unicode doesn't count as white space.
 _NOT_BLANK = regex.compile(r"[\x1c-\x1f]")
@@ -69,8 +71,8 @@ class PieceTable:
         for c in map(chr, range(0xA1, 0x180)):  # all leading and following bytes of two
             self.byte_marks[list(c.encode())] = [ord(x) for p, _ in self.cut(c) for x in p]
         #: The ids of single byte-level characters, within a piece and at its end.
-        self.inner = np.array([vocab.get(chr(c), -1) for c in range(0x200)], np.int64)
-        self.final = np.array([vocab.get(chr(c) + suffix, -1) for c in range(0x200)], np.int64)
+        self.inner = np.array([vocab.get(chr(c), -1) for c in range(0x200)], np.int32)
+        self.final = np.array([vocab.get(chr(c) + suffix, -1) for c in range(0x200)], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         codes = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
@@ -99,7 +101,7 @@ class PieceTable:
         return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def rank_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        codes = first << 20 | second
+        codes = first.astype(np.int64) << 20 | second
         at = self._home(codes)
         found = np.where(self.slots[at] == codes, self.slot_ranks[at], self.never)
         left = np.flatnonzero((self.slots[at] != codes) & (self.slots[at] >= 0))
@@ -120,11 +122,11 @@ class PieceTable:
     def laid_out(self, symbol: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each symbol the next and the last one of its piece, or -1, and the rank of the pair that begins with it."""
         n = len(symbol)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.flatnonzero(np.append(piece[1:] != piece[:-1], True))
         after[ends] = -1
         before[np.append(0, ends[:-1] + 1)] = -1
-        rank = np.full(n, self.never, np.int64)
+        rank = np.full(n, self.never, np.int32)
         pairs = np.flatnonzero(after >= 0)
         rank[pairs] = self.rank_of(symbol[pairs], symbol[pairs + 1])
         return after, before, rank
@@ -154,7 +156,7 @@ class PieceTable:
                     places[r] = [at[a:b]]
                     heappush(active, r)
 
-        enter(np.flatnonzero(rank < self.never))
+        enter(np.flatnonzero(rank < self.never).astype(np.int32))
         while active:
             lowest = heappop(active)
             lists = places.pop(lowest)
@@ -233,6 +235,13 @@ class PieceTable:
         return symbol
 
     def _learn(self, chunks: list[str]) -> None:
+        """Learn the chunks, of which some are laid out together, so that the layout stays small."""
+        sizes = np.cumsum([len(c) for c in chunks]) // LEARN_CHARS
+        cuts = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(chunks)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            self._learn_together(chunks[a:b])
+
+    def _learn_together(self, chunks: list[str]) -> None:
         simple = [c for c in chunks if _SIMPLE(c)]
         if simple:
             self._learn_cut(simple, *self._cut_simple(simple))
@@ -268,7 +277,7 @@ class PieceTable:
         ends = np.cumsum(sizes) - 1
         symbol[ends] = self.final[marks[ends]]
         if len(symbol):
-            symbol = (self.merge_by_bands if self.by_bands else self.merge)(symbol, np.repeat(np.arange(len(sizes)), sizes))
+            symbol = (self.merge_by_bands if self.by_bands else self.merge)(symbol, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
         left = symbol >= 0
         self._keep(chunks, symbol[left], np.bincount(np.repeat(owner, sizes)[left], minlength=len(chunks)))
 
