@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lektra.llm.common import settled, text_slices
+from lektra.llm.common import heavy_join, settled, text_slices
 from lektra.llm.substrings import mixed
 
 _LETTERS = regex.compile(r"[^\p{L}\p{N}]+")
@@ -46,8 +47,8 @@ MOST_TABLES = 64
 #: By so much the recall measured for a plan has to be above the target, as it is an estimate.
 MARGIN = 0.02
 WORD_BITS, PIECE_BITS = 20, 22
-#: Bits of the bitmap of table keys: a key in 32 of them is set, as far as the most goes.
-LEAST_KEY_BITS, MOST_KEY_BITS = 18, 26
+#: Bits of the bitmap of table keys: one in 1024 of them is set, as far as the most goes.
+LEAST_KEY_BITS, MOST_KEY_BITS = 22, 26
 #: Bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_BYTES = 16_000_000
 #: Cells of the tables of edit distances that a task computes at once.
@@ -137,6 +138,7 @@ class Walks:
         return out
 
 
+@cache
 def plan_for(settings: Settings, size: int, trials: int = 600) -> tuple[Settings, int]:
     """The settings and tables that reach the recall for random windows of ``size`` words at the distance limit."""
     rng = np.random.default_rng([settings.seed, size])
@@ -299,7 +301,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 
     signed = settled(blocks.mapInArrow(sign, "block long, codes array<long>, keys array<long>, pieces array<long>"))
     keys = settled(signed.select("block", F.explode("keys").alias("key")))
-    key_bits = min(max(int(np.ceil(np.log2(32 * keys.count() + 1))), LEAST_KEY_BITS), MOST_KEY_BITS)
+    key_bits = min(max(int(np.ceil(np.log2(1024 * keys.count() + 1))), LEAST_KEY_BITS), MOST_KEY_BITS)
     maps = [bitmap(signed.select(F.explode(c).alias("x")), n) for c, n in (("codes", WORD_BITS), ("pieces", PIECE_BITS))]
     shared = spark.sparkContext.broadcast([*maps, bitmap(keys.select(F.col("key").alias("x")), key_bits)])  # of bounded sizes
 
@@ -344,8 +346,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     # windows of the same words are compared once
     starts = settled(found.withColumn("words", F.xxhash64("window")))
     met = starts.select("words", F.explode("keys").alias("key")).distinct().join(small(keys, 24), "key").select("words", "block").distinct()
-    windows = starts.groupBy("words").agg(F.first("window").alias("window"))
-    candidates = met.join(windows, "words").join(small(blocks, 16 + 8 * LONG), "block")
+    windows = settled(starts.groupBy("words").agg(F.first("window").alias("window"), F.count("*").alias("places")))
+    candidates = met.join(windows.drop("places"), "words").join(small(blocks, 16 + 8 * LONG), "block")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,8 +362,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
                 took = pa.array(good, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("words").take(took), part.column("block").take(took), pa.array(words[good].astype(np.int64)), pa.array(edits[good].astype(np.int64))], names=["words", "block", "n", "edits"])
 
-    sure = settled(candidates.mapInArrow(verify, "words long, block long, n long, edits long"))
-    placed = settled(starts.select(*text, "start", "words").join(sure, "words").join(small(uses.drop("codes"), 64), "block"))
+    sure = candidates.mapInArrow(verify, "words long, block long, n long, edits long")
+    sure = settled(sure.join(windows.select("words", "places"), "words"))  # a row for each block that a window matches, of which there are few
+    met_places = heavy_join(starts.select(*text, "start", "words"), sure, "words", starts.count(), "places")
+    placed = settled(met_places.join(small(uses.drop("codes"), 64), "block"))
     short = placed.filter(F.col("item_words") < LONG).select(*text, "item_id", "start", F.col("n").alias("words"), "edits", "item_words")
 
     # long items: around the diagonals of their blocks, as many as the edits that they may have are one region
