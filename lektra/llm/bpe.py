@@ -31,9 +31,11 @@ from tokenizers import Tokenizer
 from lektra.llm.common import text_slices
 
 #: Distinct chunks, and their characters, that a Python worker remembers before it starts afresh.
-MEMORY_CHUNKS, MEMORY_CHARS = 400_000, 12_000_000
-#: Characters of new chunks that are laid out together.
-LEARN_CHARS = 700_000
+MEMORY = (250_000, 8_000_000)
+#: Characters of new chunks that are laid out together, as the index takes more room than the bands.
+LEARN_CHARS = 300_000
+#: The same where ranks are merged by bands.
+BAND_MEMORY, BAND_LEARN_CHARS = (400_000, 14_000_000), 2_000_000
 
 #: str.split() also cuts at these, which Unicode doesn't count as white space.
 _NOT_BLANK = regex.compile(r"[\x1c-\x1f]")
@@ -236,7 +238,7 @@ class PieceTable:
 
     def _learn(self, chunks: list[str]) -> None:
         """Learn the chunks, of which some are laid out together, so that the layout stays small."""
-        sizes = np.cumsum([len(c) for c in chunks]) // LEARN_CHARS
+        sizes = np.cumsum([len(c) for c in chunks]) // (BAND_LEARN_CHARS if self.by_bands else LEARN_CHARS)
         cuts = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(chunks)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             self._learn_together(chunks[a:b])
@@ -291,7 +293,8 @@ class PieceTable:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of unsigned 32-bit integers."""
-        if len(self.rows) > MEMORY_CHUNKS or self.chars > MEMORY_CHARS:
+        most_chunks, most_chars = BAND_MEMORY if self.by_bands else MEMORY
+        if len(self.rows) > most_chunks or self.chars > most_chars:
             self.forget()
         chunks: list[str] = []
         ends = [0]
