@@ -115,27 +115,26 @@ class Walks:
             # sampled from the first steps on: what a walk emits late depends on all before it
             self.tables.append((table % settings.walks, np.sort(rng.choice(max(self.size * 3 // 2, 1), sampled, replace=False)), rng.integers(0, 2**64, dtype=np.uint64)))
 
+        at_step: dict[int, list[tuple[int, int]]] = {}
+        for table, (walk, steps, _) in enumerate(self.tables):
+            for step in steps.tolist():
+                at_step.setdefault(step, []).append((table, walk))
+        self.sampling = {step: tuple(np.array(x) for x in zip(*uses)) for step, uses in at_step.items()}
+        self.last = max(self.sampling, default=-1)
+
     def keys(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For each start, the key of each table; ``codes`` goes on for a window's size after each start."""
-        out = np.empty((len(starts), len(self.tables)), np.uint64)
-        for walk in range(len(self.turns)):
-            mine = [(t, steps, salt) for t, (w, steps, salt) in enumerate(self.tables) if w == walk]
-            if not mine:
-                continue
-            for t, _, salt in mine:
-                out[:, t] = salt + np.uint64(self.size)
-            sampling: dict[int, list[int]] = {}
-            for t, steps, _ in mine:
-                for step in steps.tolist():
-                    sampling.setdefault(step, []).append(t)
-            at = starts.copy()
-            for step in range(max(sampling) + 1):
-                inside = at - starts < self.size
-                here = np.where(inside, codes[np.minimum(at, len(codes) - 1)], np.uint64(0))
-                for t in sampling.get(step, ()):
-                    out[:, t] = mixed(out[:, t] ^ here)
-                at = at + ((mixed(here * self.turns[walk, step]) >> np.uint64(63)).astype(np.int64) & inside)
-        return out
+        salts = np.array([salt for _, _, salt in self.tables], np.uint64) + np.uint64(self.size)
+        out = np.repeat(salts[:, None], len(starts), axis=1)
+        at, ends = np.repeat(starts[None, :], len(self.turns), axis=0), starts + self.size
+        for step in range(self.last + 1):  # all walks at once
+            inside = at < ends
+            here = np.where(inside, codes[np.minimum(at, len(codes) - 1)], np.uint64(0))
+            if step in self.sampling:
+                tables, walks = self.sampling[step]
+                out[tables] = mixed(out[tables] ^ here[walks])
+            at += (mixed(here * self.turns[:, step : step + 1]) >> np.uint64(63)).astype(np.int64) & inside
+        return out.T
 
 
 @cache
