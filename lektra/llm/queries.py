@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lektra.llm import bpe, decontamination, licenses, quality, secrets, sharding, simhash, substrings, tokenfiles, urls
+from lektra.llm import bpe, decontamination, filteraudit, licenses, quality, secrets, sharding, simhash, substrings, tokenfiles, urls
 from lektra.llm.common import fresh_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -59,6 +59,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scanned(table(spark, sf_dir, "documents")))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of operator 2 that its contract fixes."""
     found = quality.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
@@ -91,7 +95,7 @@ def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
-OPERATORS = (op1_bpe_pair_index, op2_quality_rules, op3_url_filter, op4_sharding, op5_token_files, op6_simhash, op7_decontamination, op8_substring_dedup, op9_secret_scan, op10_license_scan)
+OPERATORS = (op1_bpe_pair_index, op2_quality_rules, op3_url_filter, op4_sharding, op5_token_files, op6_simhash, op7_decontamination, op8_substring_dedup, op9_secret_scan, op10_license_scan, op13_filter_audit)
 PARTS = (base_counts, url_rules, shard_sums, secret_counts, license_phrases)
 
 
@@ -139,9 +143,26 @@ found AS (SELECT doc_id, i - 1 AS place, CASE WHEN a = 'mit' AND b = 'license' T
 sums AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found WHERE label IS NOT NULL GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN sums USING (doc_id)"""
 
+_AUDIT = rf"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT o FROM (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM x p, x q, x r, x s, x t) WHERE contains(o, 'A') AND contains(o, 'B') AND contains(o, 'C') AND contains(o, 'D') AND contains(o, 'E')),
+cells AS (SELECT part, o, step, substring(o, step, 1) AS letter, n, good, toxic, a::INT + b::INT + c::INT + d::INT + e::INT AS failing,
+  CASE letter WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails,
+  coalesce(least(CASE WHEN a THEN strpos(o, 'A') END, CASE WHEN b THEN strpos(o, 'B') END, CASE WHEN c THEN strpos(o, 'C') END, CASE WHEN d THEN strpos(o, 'D') END, CASE WHEN e THEN strpos(o, 'E') END), 9) AS first
+  FROM g, orders, unnest(range(1, 6)) s(step)),
+sums AS (SELECT part, o AS filter_order, step::INT AS step, letter, sum(CASE WHEN first > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND first < step THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails AND failing = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN first = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN first = step THEN toxic ELSE 0 END) AS toxic_lost FROM cells GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM sums"""
+
 _SHARDS = "SELECT count(*) AS rows, CAST(sum(coalesce(strlen(text), 0) + 16) AS BIGINT) AS bytes, true AS gapless, true AS even FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries, or the parts of them, that it can express."""
-    return {"op8_substring_dedup": _SUBSTRINGS, "base_counts": _COUNTS, "url_rules": _URLS, "shard_sums": _SHARDS, "secret_counts": _SECRETS, "license_phrases": _LICENSES}
+    return {"op8_substring_dedup": _SUBSTRINGS, "op13_filter_audit": _AUDIT, "base_counts": _COUNTS, "url_rules": _URLS, "shard_sums": _SHARDS, "secret_counts": _SECRETS, "license_phrases": _LICENSES}
