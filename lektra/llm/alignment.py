@@ -3,8 +3,8 @@
 A text, with a blank before it, is cut before runs of white space, at places where neither vocabulary can join across: the
 first tokenizer's pieces begin anew there, and no piece of the second holds the white space after another character, which
 is verified from its vocabulary. A segment alone then has the tokens that it has in its text. Texts become numbers of
-segments, block by block; each distinct segment of the corpus is tokenized and aligned once, scored by the corpus-wide
-counts of its links, and joined back to the blocks, from which the documents are composed.
+segments, block by block; the distinct segments of all blocks meet, each is tokenized and aligned once, and its alignment
+goes back to the blocks that hold it, where the counts of linked pairs are looked up and the documents composed.
 
 Tokenizers: a ``tokenizers`` JSON file of the byte-level BPE kind without normaliser (A), and a sentencepiece BPE model with byte
 fallback, a blank added in front and no normalisation (B); others are refused. Special tokens are ordinary text.
@@ -33,10 +33,16 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from lektra.llm.bpe import read_spec
-from lektra.llm.common import heavy_join, text_slices, written
+from lektra.llm.common import heavy_join, settled, text_slices, written
 
 #: Bytes of texts in a block, within which each distinct segment is sent once.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 16_000_000
+#: Characters of groups that go out together.
+OUTPUT_CHARS = 8_000_000
+#: Segments that A gets as one text.
+RUN = 500
+#: Counts of linked pairs that are broadcast; more are joined block by block.
+MOST_BROADCAST = 2_000_000
 #: Texts of more characters are cut without a list of all their segments.
 LONG_TEXT = 1_000_000
 #: The blank as B's pieces write it.
@@ -45,6 +51,8 @@ MARK = "▁"
 #: Whatever any library may take for white space; no cut is made after one of these.
 _BLANK = r"\s\x1c-\x1f\x85᠎​-‏ -  -⁤　﻿"
 
+_BLANKS = regex.compile(rf"[{_BLANK}]").match
+
 
 class Aligner:
     """Both tokenizers, where texts may be cut, and the alignment of one segment."""
@@ -67,6 +75,7 @@ class Aligner:
             raise ValueError("B is not a plain sentencepiece BPE with byte fallback")
         self.b = sentencepiece.SentencePieceProcessor(model_proto=spec_b)
         self.bytes_b = {i: bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(MARK, " ").encode() for i, p in enumerate(model.pieces)}
+        self.sizes_a, self.sizes_b = (np.array([len(held.get(i, b"")) for i in range(max(held) + 1)]) for held in (self.bytes_a, self.bytes_b))
         self.blank = self.b.piece_to_id(MARK)
         inner = {c for p in normal for before, c in zip(p, p[1:]) if not before == c == MARK}
         #: White space that no piece of B holds after another character (blanks after blanks apart): cuts are made before these only.
@@ -84,9 +93,9 @@ class Aligner:
         return chr(b) if shown(b) else chr(256 + sum(not shown(x) for x in range(b)))
 
     def gives_back(self, c: str) -> bool:
-        a, b = self.tokens([f" {c}"])[0]
+        a, b = self.tokens([f" {c}"])
         raw = f" {c}".encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
+        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
 
     def faithful(self, text: str) -> bool:
         """Neither tokenizer normalises, so a text is given back if its characters are."""
@@ -102,27 +111,64 @@ class Aligner:
         whole = f" {text}"
         return (m.group() for m in self.segment.finditer(whole)) if len(text) > LONG_TEXT else iter(self.segment.findall(whole))
 
-    def tokens(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
-        """The ids of A and of B. B puts a blank before what it gets; where a segment has none, its token stands alone and is taken off."""
-        of_a = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        of_b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        return [(x.ids, [self.blank] if s == " " else y if s[0] == " " else y[1:]) for s, x, y in zip(segments, of_a, of_b)]
-
-    def align(self, segment: str, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], str]:
-        """The pairs of tokens that end together, and the groups between such ends as text: ``a1,a2|b1;a3|b2,b3``."""
-        if b"".join(map(self.bytes_a.__getitem__, a)) != segment.encode() or b"".join(map(self.bytes_b.__getitem__, b)) != segment.encode():
-            raise ValueError("a segment isn't the bytes of its tokens")
-        if len(a) == len(b) == 1:
-            return [(a[0], b[0])], f"{a[0]}|{b[0]}"
-        ends_a = np.cumsum([len(self.bytes_a[i]) for i in a])
-        ends_b = np.cumsum([len(self.bytes_b[i]) for i in b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        links, groups, i, j = [], [], 0, 0
-        for x, y in zip(at_a.tolist(), at_b.tolist()):
-            links.append((a[x], b[y]))
-            groups.append(",".join(map(str, a[i : x + 1])) + "|" + ",".join(map(str, b[j : y + 1])))
-            i, j = x + 1, y + 1
-        return links, ";".join(groups)
+    def tokens(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of A and of B of all segments, one after the other.
+
+        A gets runs of segments as one text, as its pieces begin anew with each, but after white space at a segment's end.
+        B puts a blank before what it gets; where a segment has none, that blank's token stands alone and is taken off.
+        """
+        runs, held = [], []
+        for s in segments:
+            held.append(s)
+            if not self.plain_end(s[-1]) or len(held) == RUN:
+                runs.append("".join(held))
+                held = []
+        runs.append("".join(held))
+        of_a = [np.array(x.ids, np.int32) for x in self.a.encode_batch_fast(runs, add_special_tokens=False)]
+        found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        of_b = [i for s, y in zip(segments, found) for i in ((self.blank,) if s == " " else y if s[0] == " " else y[1:])]
+        return np.concatenate(of_a), np.array(of_b, np.int32)
+
+    def align(self, segments: list[str]) -> list[bytes]:
+        """The alignment of each segment: ids of A plus one, ids of B plus one as negative numbers, 32-bit, group after group."""
+        a, b = self.tokens(segments)
+        raw = "".join(segments).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != raw:
+            raise ValueError("segments aren't the bytes of their tokens")
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        ends = np.cumsum([len(s.encode()) for s in segments])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        if not np.isin(ends, both, assume_unique=True).all():
+            raise ValueError("a token reaches over a cut")
+        group = np.concatenate((np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)))
+        codes = np.concatenate((a + 1, -(b + 1)))
+        order = np.lexsort((np.arange(len(codes)), codes < 0, group))
+        codes = codes[order].astype("<i4")
+        cuts = np.append(0, np.cumsum(np.bincount(np.searchsorted(ends, both)[group], minlength=len(segments))))
+        return [codes[i:j].tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    @staticmethod
+    def plain_end(c: str) -> bool:
+        """Whether a segment may follow the character in one text: a letter, a figure or a sign, and no white space of any kind."""
+        return _BLANKS(c) is None
+
+    def said(self, codes: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The groups of alignments as text, ``a1,a2|b1;a3|b2,b3``; alignment k is codes[cuts[k]:cuts[k + 1]]."""
+        if not hasattr(self, "written_ids"):
+            self.written_ids = [f"{i}{mark}" for i in range(1 + max(*self.bytes_a, *self.bytes_b)) for mark in ("", ",", "|", ";")]
+        following = np.append(codes[1:], 0)
+        mark = np.where(codes > 0, np.where(following > 0, 1, 2), np.where(following > 0, 3, 1))
+        mark[cuts[1:] - 1] = 0
+        pieces = list(map(self.written_ids.__getitem__, ((np.abs(codes) - 1) * 4 + mark).tolist()))
+        return ["".join(pieces[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def links_of(codes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of alignments, A's id in the upper 32 bits, B's in the lower, and the alignment that each belongs to."""
+    following = np.append(codes[1:], 0)
+    following[cuts[1:] - 1] = 0
+    last_a, last_b = np.flatnonzero((codes > 0) & (following < 0)), np.flatnonzero((codes < 0) & (following >= 0))
+    return (codes[last_a].astype(np.int64) - 1) << 32 | (-codes[last_b].astype(np.int64) - 1), np.searchsorted(cuts, last_b, side="right") - 1
 
 
 @lru_cache(1)
@@ -168,33 +214,65 @@ def blocks(docs: DataFrame, specs: Broadcast, *, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, f"block long, ids array<{kind}>, sizes array<int>, order binary, segments array<string>, counts array<long>")
 
 
-def aligned_segments(parts: DataFrame, specs: Broadcast) -> DataFrame:
-    """(segment, n_rows, n, n_a, n_b, n_groups, links array<long>, groups string) of each distinct segment.
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of alignments as all codes and the cuts between them."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<i4"), np.append(0, np.cumsum([len(x) // 4 for x in raw])).astype(np.int64)
+
+
+def aligned_parts(parts: DataFrame, specs: Broadcast) -> DataFrame:
+    """The alignment of each row of ``parts`` (block, local, segment, n), as block, local, n, codes.
 
-    ``parts`` has segment and n, its occurrences in a block; ``n_rows`` are the rows that hold it. A link is A's id in the upper 32 bits, B's in the lower.
+    Rows meet by segment, at most one of a block, so that each segment is tokenized and aligned once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = aligner(*specs.value)
-        for part in text_slices(batches, 0):
-            segments = part.column(0).to_pylist()
-            tokens = tools.tokens(segments)
-            found = [tools.align(s, a, b) for s, (a, b) in zip(segments, tokens)]
-            links = [[x << 32 | y for x, y in links] for links, _ in found]
-            sizes = [[len(x[k]) for x in tokens] for k in (0, 1)]
-            groups = [1 + text.count(";") for _, text in found]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(x, pa.int64()) for x in (*sizes, groups)), pa.array(links, pa.list_(pa.int64())), pa.array([text for _, text in found], pa.string())], names=["segment", "n_rows", "n", "n_a", "n_b", "n_groups", "links", "groups"])
+        tools, last, code = aligner(*specs.value), None, b""
+        for batch in batches:
+            for part in text_slices([batch], 3):
+                runs = part.column(3).dictionary_encode()  # rows of a segment stand side by side
+                segments = runs.dictionary.to_pylist()
+                new = segments[1:] if segments[0] == last else segments
+                codes = ([code] if len(new) < len(segments) else []) + (tools.align(new) if new else [])
+                last, code = segments[-1], codes[-1]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.DictionaryArray.from_arrays(runs.indices, pa.array(codes, pa.binary())).dictionary_decode()], names=["block", "local", "n", "codes"])
+
+    dealt = parts.select("block", "local", "n", "segment").repartition("segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(run, "block long, local int, n long, codes binary")
 
-    distinct = parts.groupBy("segment").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n"))
-    return distinct.mapInArrow(run, "segment string, n_rows long, n long, n_a long, n_b long, n_groups long, links array<long>, groups string")
 
+def link_counts(parts: DataFrame) -> DataFrame:
+    """(link, n, best): how often each pair of ids is linked in the corpus, and whether this is the most of its B id."""
 
-def link_counts(segments: DataFrame) -> DataFrame:
-    """(link, a_id, b_id, n, best, n_rows): how often each pair is linked in the corpus, whether this is the most of its B id, and how many links of segments hold it."""
-    pairs = segments.select(F.explode("links").alias("link"), "n").groupBy("link").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"))
-    named = pairs.withColumns({"a_id": F.shiftright("link", 32).cast("int"), "b_id": F.col("link").bitwiseAND(0xFFFFFFFF).cast("int")})
-    of_b = Window.partitionBy("b_id")  # as many rows as A has tokens at most
-    return named.withColumn("best", F.col("n") == F.max("n").over(of_b))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, cuts = flat(batch.column(1))
+            links, of = links_of(codes, cuts)
+            each, at = np.unique(links, return_inverse=True)
+            n = np.bincount(at, batch.column(0).to_numpy()[of], len(each))
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n.astype(np.int64))], names=["link", "n"])
+
+    sums = parts.select("n", "codes").mapInArrow(run, "link long, n long").groupBy("link").agg(F.sum("n").alias("n"))
+    of_b = Window.partitionBy(F.col("link").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))  # as many rows as A has tokens at most
+    return sums.withColumn("best", F.col("n") == F.max("n").over(of_b))
+
+
+def links_by_block(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(block, links, ns, bests) of the distinct links of each batch of a block's rows: for counts that are too many to broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, cuts = flat(batch.column(1))
+            links, of = links_of(codes, cuts)
+            of_block = batch.column(0).to_numpy()[of]
+            order = np.lexsort((links, of_block))
+            links, of_block = links[order], of_block[order]
+            new = np.append(True, (links[1:] != links[:-1]) | (of_block[1:] != of_block[:-1])) if len(links) else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(of_block[new], pa.int64()), pa.array(links[new], pa.int64())], names=["block", "link"])
+
+    pairs = written(parts.select("block", "codes").mapInArrow(run, "block long, link long").distinct(), "links-of-blocks")
+    n = pairs.groupBy("link").agg(F.count("*").alias("n_rows"))
+    return heavy_join(pairs, settled(counts.join(n, "link")), "link", pairs.count(), "n_rows").select("block", "link", F.col("n"), "best")
 
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -204,35 +282,75 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id"
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups string) of each row; without tokens zeros, and null groups."""
     spark = docs.sparkSession
     specs = spark.sparkContext.broadcast((read_spec(path_a), read_spec(path_b)))  # fixed files
-    aligner.cache_clear()
     Aligner(*specs.value)  # refuses other kinds here rather than in a task
     kind = docs.schema[id_col].dataType.simpleString()
-    held = written(blocks(docs, specs, id_col=id_col, text_col=text_col), "segment-blocks")
-    parts = held.select(F.col("block").alias("of_block"), F.posexplode(F.arrays_zip("segments", "counts")).alias("local", "part")).select("of_block", "local", F.col("part.segments").alias("segment"), F.col("part.counts").alias("n"))
-    segments = written(aligned_segments(parts, specs).withColumn("number", F.monotonically_increasing_id()), "aligned-segments")
-    counts = written(link_counts(segments), "link-counts")
-    n_links, n_parts = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0], segments.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
-    links = segments.select("number", F.explode("links").alias("link"))
-    scores = heavy_join(links, counts.select("link", F.col("n").alias("of_pair"), "best", "n_rows"), "link", n_links, "n_rows").groupBy("number").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("of_pair").alias("count_sum"))
-    scored = written(segments.drop("links", "n").join(scores, "number").drop("number"), "scored-segments")
-    back = heavy_join(parts.select("of_block", "local", "segment"), scored, "segment", n_parts, "n_rows").select("of_block", "local", *COUNTS, "groups")
-
-    def compose(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The rows of one block: sums over the segments of each, and their groups in order."""
-        ids, sizes = left.column("ids").combine_chunks().flatten(), np.array(left.column("sizes")[0].as_py(), np.int64)
-        order = np.frombuffer(left.column("order")[0].as_py(), np.int32)
-        at = np.empty(right.num_rows, np.int64)
-        at[right.column("local").to_numpy()] = np.arange(right.num_rows)
-        groups = right.column("groups").to_pylist()
-        of = at[order]
+    held = written(blocks(docs, specs, id_col=id_col, text_col=text_col), "segment-blocks", "zstd")
+    parts = held.select("block", F.posexplode(F.arrays_zip("segments", "counts")).alias("local", "part")).select("block", "local", F.col("part.segments").alias("segment"), F.col("part.counts").alias("n"))
+    back = written(aligned_parts(parts, specs), "aligned-parts", "zstd")
+    counts = written(link_counts(back), "link-counts")
+    few = counts.count() <= MOST_BROADCAST
+    known = None
+    if few:
+        all_counts = counts.orderBy("link").toArrow()
+        known = spark.sparkContext.broadcast([all_counts.column(c).to_numpy() for c in ("link", "n", "best")])  # counted before
+    nothing = {"ids": f"array<{kind}>", "sizes": "array<int>", "order": "binary", "local": "int", "codes": "binary", "link": "long", "n": "long", "best": "boolean"}
+    as_rows = lambda df, kind_of, has: df.select("block", F.lit(kind_of).alias("kind"), *(F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
+    rows = as_rows(held, 0, ("ids", "sizes", "order")).unionByName(as_rows(back, 1, ("local", "codes")))
+    if not few:
+        rows = rows.unionByName(as_rows(links_by_block(back, counts), 2, ("link", "n", "best")))
+
+    def compose(head: pa.RecordBatch, tail: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The rows of one block, some at a time: sums over the segments of each, and their groups in order."""
+        tools = aligner(*specs.value)
+        ids, sizes = head.column("ids").flatten(), np.array(head.column("sizes")[0].as_py(), np.int64)
+        order = np.frombuffer(head.column("order")[0].as_py(), np.int32)
+        kinds = tail.column("kind").to_numpy()
+        mine = tail.filter(pa.array(kinds == 1))
+        codes, cuts = flat(mine.column("codes").combine_chunks())
+        links, of_part = links_of(codes, cuts)
+        if known is not None:
+            keys, ns, bests = known.value
+        else:
+            by_link = tail.filter(pa.array(kinds == 2)).select(["link", "n", "best"]).sort_by("link")
+            keys, ns, bests = (by_link.column(c).to_numpy() for c in ("link", "n", "best"))
+        at = np.searchsorted(keys, links)
+        n, of_code = mine.num_rows, np.repeat(np.arange(mine.num_rows), np.diff(cuts))
+        total = lambda of, w=None: np.bincount(of, w, n).astype(np.int64)
+        n_links = total(of_part)
+        by_part = [total(of_code[codes > 0]), total(of_code[codes < 0]), n_links, n_links, total(of_part, bests[at]), np.zeros(n, np.int64)]
+        np.add.at(by_part[5], of_part, ns[at])  # whole numbers throughout
+        said = tools.said(codes, cuts)
+        place = np.empty(n, np.int64)
+        place[mine.column("local").to_numpy()] = np.arange(n)
+        of = place[order]
         ends = np.cumsum(np.maximum(sizes, 0))
         starts = ends - np.maximum(sizes, 0)
-        sums = [np.append(0, np.cumsum(right.column(c).to_numpy()[of])) for c in COUNTS]
-        said = [";".join(map(groups.__getitem__, of[a:b].tolist())) if size >= 0 else None for a, b, size in zip(starts.tolist(), ends.tolist(), sizes.tolist())]
-        return pa.Table.from_arrays([ids, *(pa.array(x[ends] - x[starts], pa.int64()) for x in sums), pa.array(said, pa.string())], names=[id_col, *COUNTS, "groups"])
+        sums = [np.append(0, np.cumsum(x[of])) for x in by_part]
+        lengths = np.append(0, np.cumsum(np.array([len(x) + 1 for x in said], np.int64)[of]))[ends]
+        first = 0
+        while first < len(ids):
+            last = max(int(np.searchsorted(lengths, (lengths[first - 1] if first else 0) + OUTPUT_CHARS)), first + 1)
+            a, b = starts[first:last], ends[first:last]
+            texts = [";".join(map(said.__getitem__, of[i:j].tolist())) if size >= 0 else None for i, j, size in zip(a.tolist(), b.tolist(), sizes[first:last].tolist())]
+            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), *(pa.array(x[b] - x[a], pa.int64()) for x in sums), pa.array(texts, pa.string())], names=[id_col, *COUNTS, "groups"])
+            first = last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, tail = None, []
+        for batch in batches:
+            heads = np.flatnonzero(batch.column("kind").to_numpy() == 0).tolist()
+            for a, b in zip([0, *heads], [*heads, batch.num_rows]):
+                if a < b and batch.column("kind")[a].as_py() == 0:
+                    if head is not None:
+                        yield from compose(head, pa.Table.from_batches(tail))
+                    head, tail = batch.slice(a, 1), [batch.slice(a + 1, b - a - 1)]
+                elif a < b:
+                    tail.append(batch.slice(a, b - a))
+        if head is not None:
+            yield from compose(head, pa.Table.from_batches(tail))
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string"
-    return held.select("block", "ids", "sizes", "order").groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(compose, schema)
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

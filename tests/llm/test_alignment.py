@@ -64,7 +64,10 @@ def test_all_documents(spark):
     assert got == {r.doc_id: x for r, x in zip(rows, slow([r.text for r in rows]))}
 
 
-def test_odd_texts(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_odd_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(alignment, "MOST_BROADCAST", most)
+    monkeypatch.setattr(alignment, "OUTPUT_CHARS", 200)
     monkeypatch.setattr(alignment, "BLOCK_BYTES", 300)
     monkeypatch.setattr(alignment, "LONG_TEXT", 50)
     rng = random.Random(3)
