@@ -49,7 +49,7 @@ LONG_TEXT = 1_000_000
 MARK = "▁"
 
 #: Whatever any library may take for white space; no cut is made after one of these.
-_BLANK = r"\s\x1c-\x1f\x85᠎​-‏ -  -⁤　﻿"
+_BLANK = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2000-\u200a\u2028-\u2029\u202f\u205f-\u2064\u3000\ufeff"
 
 _BLANKS = regex.compile(rf"[{_BLANK}]").match
 

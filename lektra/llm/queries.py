@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lektra.llm import alignment, bpe, decontamination, filteraudit, licenses, quality, secrets, sharding, simhash, substrings, tokenfiles, urls
+from lektra.llm import alignment, bpe, decontamination, filteraudit, licenses, nndescent, quality, secrets, sharding, simhash, substrings, tokenfiles, urls
 from lektra.llm.common import fresh_path, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -60,6 +60,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scanned(table(spark, sf_dir, "documents")))
 
 
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE)))
 
@@ -100,7 +104,7 @@ def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
-OPERATORS = (op1_bpe_pair_index, op2_quality_rules, op3_url_filter, op4_sharding, op5_token_files, op6_simhash, op7_decontamination, op8_substring_dedup, op9_secret_scan, op10_license_scan, op12_token_alignment, op13_filter_audit)
+OPERATORS = (op1_bpe_pair_index, op2_quality_rules, op3_url_filter, op4_sharding, op5_token_files, op6_simhash, op7_decontamination, op8_substring_dedup, op9_secret_scan, op10_license_scan, op11_nn_descent, op12_token_alignment, op13_filter_audit)
 PARTS = (base_counts, url_rules, shard_sums, secret_counts, license_phrases)
 
 
