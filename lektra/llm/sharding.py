@@ -2,9 +2,9 @@
 
 Each record is hashed into one of thousands of virtual slots, whose number never changes. Spark sums rows and bytes
 by slot; a versioned map from slots to shards, one row for each slot and version, is stored as a table. The map of
-version 1 deals slots out in turn; rebalancing edits it: a shard keeps its slots while they fit into an even share
-of the bytes, and the slots that are left go, largest first, to the emptiest shards. Records move only with their
-slot. The driver holds the map alone, as many rows as there are slots.
+version 1 deals slots out in turn; rebalancing loads the newest map and edits it: a shard keeps its slots while they fit into
+an even share of the bytes, and the slots that are left go, largest first, to the emptiest shards; the result is stored as the
+next version, beside those before. Records move only with their slot. The driver holds the map alone, as many rows as there are slots.
 
 Defined results: a null text has no bytes and the checksum 0; a null id is hashed by its text like any other; equal
 records share a slot; an empty table gives an empty table; columns beyond the id and the text stay behind.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +74,9 @@ class ShardMap:
 
 
 def store(spark: SparkSession, shard_map: ShardMap, path: str) -> None:
-    """Add one version of a map to the table at ``path``."""
-    rows = [(shard_map.version, shard_map.shards, slot, shard) for slot, shard in enumerate(shard_map.shard_of)]
-    spark.createDataFrame(rows, "version int, shards int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(path)
+    """Add one version of a map to the table at ``path``; a version that is there is an error."""
+    rows = [(shard_map.shards, slot, shard) for slot, shard in enumerate(shard_map.shard_of)]
+    spark.createDataFrame(rows, "shards int, virtual_slot int, shard int").coalesce(1).write.mode("error").parquet(f"{path}/version={shard_map.version}")
 
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -83,7 +84,18 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     table = spark.read.parquet(path)
     if version is None:
         version = table.agg(F.max("version")).first()[0]
-    return table.filter(F.col("version") == version)
+    return table.filter(F.col("version") == version).select("version", "shards", "virtual_slot", "shard")
+
+
+def newest(spark: SparkSession, path: str) -> ShardMap | None:
+    """The newest map at ``path``, or None where there is none yet."""
+    try:
+        rows = load(spark, path).orderBy("virtual_slot").collect()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return ShardMap(rows[0].version, rows[0].shards, tuple(r.shard for r in rows))
 
 
 def slotted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -97,17 +109,21 @@ def slotted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def sharded(docs: DataFrame, shards: int, *, map_path: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version): near equal bytes in each shard.
 
-    ``slot`` numbers the records of a shard from 0 without a gap. The map's versions are kept at ``map_path``.
+    ``slot`` numbers the records of a shard from 0 without a gap. The map's versions are kept at ``map_path``; a call loads the newest,
+    fits it to the bytes and the number of shards, and adds it as the next version.
     """
     spark = docs.sparkSession
     map_path = map_path or fresh_path(spark, "shard-map")
     rows = settled(slotted(docs))
     pieces = settled(rows.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))  # SLOTS * PARTS rows at most
     sizes = {r.virtual_slot: r.bytes for r in pieces.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")).collect()}  # SLOTS rows at most
-    first = ShardMap.even(shards)
-    store(spark, first, map_path)
-    store(spark, first.rebalanced(sizes), map_path)
-    shard_map = load(spark, map_path).select("virtual_slot", "shard", F.col("version").alias("map_version"))
+    first = newest(spark, map_path)
+    if first is None:
+        first = ShardMap.even(shards)
+        store(spark, first, map_path)
+    edited = first.rebalanced(sizes, shards)
+    store(spark, edited, map_path)
+    shard_map = load(spark, map_path, edited.version).select("virtual_slot", "shard", F.col("version").alias("map_version"))
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.join(F.broadcast(shard_map), "virtual_slot").select("virtual_slot", "part", "shard", "map_version", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")

@@ -1,5 +1,8 @@
 import zlib
 
+import pytest
+from pyspark.errors import AnalysisException
+
 from lektra.llm import sharding
 from lektra.llm.common import fresh_path
 from tests.conftest import SF
@@ -36,6 +39,20 @@ def test_map_edits(spark):
     assert [r.shard for r in sharding.load(spark, path).orderBy("virtual_slot").collect()] == list(second.shard_of)
 
 
+def test_kept_map_is_edited(spark):
+    docs, path = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), fresh_path(spark, "map")
+    first = {r.doc_id: r for r in sharding.sharded(docs.filter("doc_id % 5 <> 0"), 40, map_path=path).collect()}
+    again = sharding.sharded(docs, 40, map_path=path).collect()
+    assert len(again) == docs.count() and {r.map_version for r in again} == {3} and sharding.load(spark, path).count() == sharding.SLOTS
+    stays = [first[r.doc_id].shard == r.shard for r in again if r.doc_id in first]
+    assert sum(stays) > 0.5 * len(stays)  # dealing out anew would leave a fortieth
+    more = sharding.sharded(docs, 41, map_path=path).collect()
+    assert len(more) == docs.count() and {r.shard for r in more} == set(range(41)) and {r.map_version for r in more} == {4}
+    assert sharding.load(spark, path, 2).count() == sharding.load(spark, path, 3).count() == sharding.SLOTS
+    with pytest.raises(AnalysisException):
+        sharding.store(spark, sharding.newest(spark, path), path)
+
+
 def test_same_rows_same_places(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = {r.doc_id: r.shard for r in sharding.sharded(docs, 40).collect()}
