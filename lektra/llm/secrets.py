@@ -46,13 +46,22 @@ BASE_RULES = (
 )
 #: Public formats of keys.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{16,})*)"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("aws_session", r"ASIA[A-Z0-9]{16}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("bearer", r"(?ai)bearer\x20+[A-Za-z0-9._~+/-]{20,}=*"),
     Rule("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("login_url", r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s/:@]+:[^\s/:@]+@"),
+    Rule("model_key", r"\bsk-(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{20,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-AgEI[A-Za-z0-9_-]{50,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    # a password may hold any sign: to the last @ before the path, else over slashes (but not past a port) to the first one;
+    # in the URL of a database, whose path holds none, to the last one of all
+    Rule("login_url", r"(?:https?|ftp)://[^\s/:@]+:(?![0-9]{1,5}/)(?:[^\s/]*@|[^\s@]*@)|(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?)://[^\s/:@]*:(?![0-9]{1,5}/)[^\s\"'<>]*@"),
 )
 RULES = BASE_RULES + MORE_RULES
 

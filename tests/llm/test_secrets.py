@@ -39,7 +39,7 @@ def test_documents(spark):
     assert some
 
 
-PARTS = st.sampled_from(["password", "PassWD", "Secret", "token", "ſecret", "toKen", "apikey", "api_key", "API_KEY", " ", "  ", "=", ":", '"', "'", "abcdef0123456789", "AKIA", "AKIAABCDEFGHIJ1234", "é", "0123456789abcdef", "x", "ghp_" + "a1" * 18, "https://u:p@h", "-----BEGIN RSA PRIVATE KEY-----", "\n"])
+PARTS = st.sampled_from(["password", "PassWD", "Secret", "token", "ſecret", "toKen", "apikey", "api_key", "API_KEY", " ", "  ", "=", ":", '"', "'", "abcdef0123456789", "AKIA", "AKIAABCDEFGHIJ1234", "é", "0123456789abcdef", "x", "ghp_" + "a1" * 18, "https://u:p@h", "postgres://u:", "p@s/", "@", "-----BEGIN RSA PRIVATE KEY-----", "-----END PRIVATE KEY-----", "Bearer ", "sk-", "\n"])
 
 
 @settings(deadline=None, max_examples=300)
@@ -57,3 +57,26 @@ def test_nulls_ties_and_clashing_columns(spark):
     assert out[3, "s"].text.endswith("é [access]") and secrets.redacted(docs).schema == docs.schema
     empty = spark.createDataFrame([], docs.schema)
     assert secrets.scanned(empty).count() == 0 and secrets.redacted(empty).count() == 0
+
+
+def test_nothing_of_a_secret_stays():
+    """Masked whole: the body of a key, passwords with any sign; what is no secret stays."""
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "x" * 40 for _ in range(5))
+    scan = secrets.scanner(secrets.RULES)
+    mask = lambda t: secrets.masked(t, scan.scan([t])[0])
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert mask(f"a\n{key}\nb") == "a\n[private_key]\nb"
+    assert mask(f"a\n-----BEGIN PRIVATE KEY-----\n{body}") == "a\n[private_key]"
+    assert mask(f"{key} c {key}") == "[private_key] c [private_key]"
+    assert mask("x -----BEGIN PRIVATE KEY----- short words follow") == "x [private_key] short words follow"
+    assert mask("postgres://u:p@ss/w@h/db ok") == "[login_url]h/db ok" and mask("https://u:p@s:s@host/@name") == "[login_url]host/@name"
+    assert mask("https://u:p/w@host/x") == "[login_url]host/x" and mask("http://localhost:8080/users/@me") == "http://localhost:8080/users/@me"
+    assert mask("Authorization: Bearer abcDEF123._~+/-abcdef== end") == "Authorization: [bearer] end"
+    for made in ("github_pat_" + "a1_" * 20, "ASIA" + "ABCD1234" * 2, "sk-proj-" + "aB3" * 10, "glpat-" + "a1" * 10, "npm_" + "a1" * 18, "SG." + "a1" * 10 + "." + "b2" * 12):
+        assert mask(f"say {made} now").startswith("say [") and made[6:] not in mask(f"say {made} now")
+    assert mask("a task-force-of-many-long-words-here sk-but-no-figures-in-this-one") == "a task-force-of-many-long-words-here sk-but-no-figures-in-this-one"
+
+
+def test_long_texts_without_an_end():
+    many = "-----BEGIN PRIVATE KEY----- and on " * 20_000
+    assert len(secrets.scanner(secrets.RULES).scan([many])[0]) == 20_000
