@@ -246,7 +246,8 @@ def deduplicated(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     chosen = heavy_join(met, sizes, "root", met.count(), "size")
     chosen = chosen.select("root", "size", "rep", "node", F.col("first.id").alias("__id"), F.col("first.a").alias("__a"), F.col("first.b").alias("__b"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), "text")
-    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("root", "size", "node", "text", "rep")
+    again = F.row_number().over(Window.partitionBy("node").orderBy("a"))  # rows that agree in id and text make one set; all but one of a task stay in it
+    texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("root", "size", "node", "text", "rep", "a").withColumn("again", again).filter("again <= 1").select("root", "size", "node", "text", "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 3):
@@ -269,6 +270,7 @@ def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
     moved = docs.toDF(*own)  # no name of a column can clash
     doc_id, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "text"))
     keyed = moved.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(text, F.lit(1)), "__c": F.xxhash64(doc_id)})
-    left = keyed.join(keep.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.xxhash64("id").alias("__c")), ["__a", "__b", "__c"], "left_semi")
     again = F.row_number().over(Window.partitionBy("__a", "__b", "__c").orderBy("__a"))
-    return left.withColumn("__copy", again).filter("__copy = 1").select(*(F.col(x).alias(c) for x, c in zip(own, docs.columns)))
+    once = keyed.withColumn("__copy", again).filter("__copy <= 1")  # a task sends one of its equal rows
+    left = once.join(keep.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.xxhash64("id").alias("__c")), ["__a", "__b", "__c"], "left_semi")
+    return left.select(*(F.col(x).alias(c) for x, c in zip(own, docs.columns)))

@@ -97,3 +97,17 @@ def test_nulls_ties_and_clashing_columns(spark):
     left = N.deduplicated(docs)
     assert left.columns == docs.columns and sorted((r.doc_id for r in left.collect()), key=str) == sorted([3, 8, 2, None], key=str)
     assert N.deduplicated(spark.createDataFrame([], docs.schema)).count() == 0
+
+
+def test_many_rows_of_one_text(spark):
+    """Rows that agree in id and text make one set of shingles, however many they are."""
+    text = " ".join(f"word{i}" for i in range(100))
+    docs = spark.createDataFrame([(None, text, "x")] * 3000 + [(1, text + " more", "y"), (2, "something else " * 5, "z")], "doc_id long, text string, a string").repartition(6)
+    made = []
+    keep = N.written
+    N.written = lambda df, name: made.append(keep(df, name)) or made[-1]
+    try:
+        assert [(r.doc_id, r.a) for r in N.deduplicated(docs).orderBy("doc_id").collect()] == [(1, "y"), (2, "z")]
+    finally:
+        N.written = keep
+    assert [df.count() for df in made] == [2]
