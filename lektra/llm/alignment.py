@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -278,8 +278,11 @@ def links_by_block(parts: DataFrame, counts: DataFrame) -> DataFrame:
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups string) of each row; without tokens zeros, and null groups."""
+def aligned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id", text_col: str = "text", told: Callable[[str], str] = str) -> DataFrame:
+    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups string) of each row; without tokens zeros, and null groups.
+
+    ``groups`` is what ``told`` makes of ``a1,a2|b1;a3|b2,b3``, which may be ten times as long as the text: itself, or a digest.
+    """
     spark = docs.sparkSession
     specs = spark.sparkContext.broadcast((read_spec(path_a), read_spec(path_b)))  # fixed files
     Aligner(*specs.value)  # refuses other kinds here rather than in a task
@@ -331,7 +334,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id"
         while first < len(ids):
             last = max(int(np.searchsorted(lengths, (lengths[first - 1] if first else 0) + OUTPUT_CHARS)), first + 1)
             a, b = starts[first:last], ends[first:last]
-            texts = [";".join(map(said.__getitem__, of[i:j].tolist())) if size >= 0 else None for i, j, size in zip(a.tolist(), b.tolist(), sizes[first:last].tolist())]
+            texts = [told(";".join(map(said.__getitem__, of[i:j].tolist()))) if size >= 0 else None for i, j, size in zip(a.tolist(), b.tolist(), sizes[first:last].tolist())]
             yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), *(pa.array(x[b] - x[a], pa.int64()) for x in sums), pa.array(texts, pa.string())], names=[id_col, *COUNTS, "groups"])
             first = last
 
@@ -351,8 +354,3 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id"
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string"
     return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
-
-
-def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns: the groups hashed, or the empty string without tokens."""
-    return found.select("doc_id", *COUNTS, F.coalesce(F.sha2(F.col("groups").cast("binary"), 256), F.lit("")).alias("groups_sha256"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -65,7 +66,9 @@ def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.digest(alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE)))
+    """The groups of each document as a digest, which is made of them where they are composed."""
+    found = alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE), told=lambda text: hashlib.sha256(text.encode()).hexdigest())
+    return found.select("doc_id", *alignment.COUNTS, F.coalesce("groups", F.lit("")).alias("groups_sha256"))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from lektra.llm import alignment
+from lektra.llm import alignment, queries
 from lektra.llm.bpe import read_spec
 from lektra.llm.queries import BYTE_BPE, PIECE_BPE
 from tests.conftest import SF
@@ -54,14 +54,16 @@ def slow(texts):
 
 
 def columns(r):
-    return r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256
+    return r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, hashlib.sha256(r.groups.encode()).hexdigest() if r.groups is not None else ""
 
 
 def test_all_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
-    got = {r.doc_id: columns(r) for r in alignment.digest(alignment.aligned(docs.repartition(5), *PATHS)).collect()}
-    assert got == {r.doc_id: x for r, x in zip(rows, slow([r.text for r in rows]))}
+    wanted = {r.doc_id: x for r, x in zip(rows, slow([r.text for r in rows]))}
+    assert {r.doc_id: columns(r) for r in alignment.aligned(docs.repartition(5), *PATHS).collect()} == wanted
+    query = queries.op12_token_alignment(spark, SF).collect()
+    assert {r.doc_id: (*(r[c] for c in alignment.COUNTS), r.groups_sha256) for r in query} == wanted
 
 
 @pytest.mark.parametrize("most", [0, 2_000_000])
@@ -76,14 +78,14 @@ def test_odd_texts(spark, monkeypatch, most):
     texts += [None, "", " ", "  ", "\n", "word ", "word  \n ", " word", "x" * 5000, "the " * 3000, "the cat", "the cat", "a▁b c", "▁"]
     rows = [(rng.choice([None, 7, i]) if i % 5 == 0 else i, t, i, "groups") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_a int, segment string")
-    got = sorted((r.doc_id if r.doc_id is not None else -1, *columns(r)) for r in alignment.digest(alignment.aligned(docs.repartition(3), *PATHS)).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, *columns(r)) for r in alignment.aligned(docs.repartition(3), *PATHS).collect())
     assert got == sorted((d if d is not None else -1, *x) for (d, *_), x in zip(rows, slow(texts)))
 
 
 def test_no_rows_and_texts_without_tokens(spark):
     schema = "doc_id long, text string"
     assert alignment.aligned(spark.createDataFrame([], schema), *PATHS).count() == 0
-    rows = alignment.digest(alignment.aligned(spark.createDataFrame([(1, None), (2, "")], schema), *PATHS)).collect()
+    rows = alignment.aligned(spark.createDataFrame([(1, None), (2, "")], schema), *PATHS).collect()
     assert sorted((r.doc_id, *columns(r)) for r in rows) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
 
