@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import html
 import json
 import re
 import unicodedata
-from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -57,51 +55,13 @@ def repaired(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else repair(t))
 
 
-class _Sanitizer(HTMLParser):
-    """Keeps a few tags, unwraps others, and drops some with all that is in them."""
-
-    KEPT = frozenset(("p", "br", "strong", "b", "em", "i", "u", "s", "ul", "ol", "li", "h1", "h2", "h3", "blockquote", "code", "pre", "a"))
-    DROPPED = frozenset(("script", "style", "iframe", "object"))
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.skipping = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.DROPPED:
-            self.skipping += 1
-        elif not self.skipping and tag in self.KEPT:
-            link = dict(attrs).get("href") or ""
-            safe = tag == "a" and link.lower().startswith(("http://", "https://", "mailto:"))
-            self.out.append(f'<a href="{html.escape(link)}">' if safe else f"<{tag}>")
-
-    def handle_endtag(self, tag):
-        if tag in self.DROPPED:
-            self.skipping = max(0, self.skipping - 1)
-        elif not self.skipping and tag in self.KEPT and tag != "br":
-            self.out.append(f"</{tag}>")
-
-    def handle_data(self, data):
-        if not self.skipping:
-            self.out.append(html.escape(data, quote=False))
-
-
-def sanitize(text: str) -> str:
-    parser = _Sanitizer()
-    parser.feed(text)
-    parser.close()
-    return "".join(parser.out)
-
-
-@F.pandas_udf(StringType())
-def sanitized_html(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else sanitize(t))
-
-
 @F.pandas_udf(BinaryType())
 def packed_vectors(vectors: pd.Series) -> pd.Series:
-    """Little-endian 32-bit floats."""
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    """Little-endian 32-bit floats; the vectors of a batch are packed together."""
+    sizes = np.array([0 if v is None else 4 * len(v) for v in vectors], np.int64)
+    raw = np.concatenate([np.empty(0, "<f4"), *(v for v in vectors if v is not None)]).astype("<f4").tobytes()
+    ends = np.cumsum(sizes)
+    return pd.Series([None if v is None else raw[end - n : end] for v, n, end in zip(vectors, sizes.tolist(), ends.tolist())], dtype=object)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

@@ -29,6 +29,8 @@ def query(oracle: str | None = None, *views: str):
     """Register a function of a Corpus under its name, with its oracle over the named views."""
 
     def keep(function: Callable[[Corpus], DataFrame]) -> Callable:
+        if function.__name__ in QUERIES:
+            raise ValueError(f"there is a query {function.__name__} already")
         QUERIES[function.__name__] = lambda spark, sf_dir: function(Corpus(spark, sf_dir))
         if oracle is not None:
             ORACLES[function.__name__] = oracle if oracle.lstrip().upper().startswith("WITH") and not views else sql(oracle, *views)

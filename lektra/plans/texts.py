@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lektra.functions import numbers as N
 from lektra.functions import text as T
-from lektra.functions.udfs import chunked, repaired, sanitized_html, unicode_nfc
+from lektra.functions.notes import sanitized_html
+from lektra.functions.udfs import chunked, repaired, unicode_nfc
 from lektra.plans.catalog import query
 from lektra.sources.corpus import Corpus
 
@@ -132,11 +133,30 @@ def x25_remap_speakers(c: Corpus) -> DataFrame:
     return c.table("conversations").select("conv_id", "turn", F.concat_ws(": ", F.coalesce(names[F.col("role")], F.col("role")), "text").alias("line"))
 
 
-@query("SELECT page_id, replace(replace(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '(?s)<(?:style>.*?</style|script>.*?</script|!--.*?--)>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '</br>', ''), '<(/?(?:p|br|strong|b|em|i|u|s|ul|ol|li|h1|h2|h3|blockquote|code|pre|a))(?:\\s[^>]*)?>', chr(1) || '\\1' || chr(2), 'g'), '<[^>]*>', '', 'g'), chr(1), '<'), chr(2), '>') AS html FROM pages")
+@query()
 def x26_note_html_sanitize(c: Corpus) -> DataFrame:
+    """Whole pages as notes; SQL has no HTML parser, so a test holds it against another one."""
     return c.table("pages").select("page_id", sanitized_html("html").alias("html"))
 
 
+_ESCAPED = "replace(replace(replace(split_part(text, chr(10), 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN said = '' THEN '' ELSE '<p>' || said || '</p>' END
+  ELSE '<p>' || said || '<p>click <strong>ok</strong></p><ul><li><a href="https://example.org/' || doc_id || '" target="_blank" rel="noopener noreferrer nofollow">a</a></li><li><a href="tel:' || doc_id || '" target="_blank" rel="noopener noreferrer nofollow">b</a></li><li><a href="#' || doc_id || '" target="_blank" rel="noopener noreferrer nofollow">c</a>"</li></ul></p>' END AS html
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN trim({_ESCAPED}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE {_ESCAPED} END AS said FROM documents WHERE text IS NOT NULL)""")
+def x26_notes_sanitized(c: Corpus) -> DataFrame:
+    """The first line of each text within what a note may hold: of every third inline only, of the others with links and lists."""
+    line = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    number = F.col("doc_id").cast("string")
+    inline = F.concat(F.lit("<b>"), line, F.lit("</b><em> </em><script>x('</p>')</script>"))
+    block = F.concat(
+        F.lit("<div>"), line, F.lit('<p><a href="javascript:alert(1)">click</a> <strong onclick="x">ok</strong><p> </p><section></section><style>p{}</style><ul><li><a href="example.org/'), number,
+        F.lit('">a</a><li><a href="TEL:'), number, F.lit('">b</a><li><a href="#'), number, F.lit('">c</a>&quot;</ul></div><h2><i></i></h2>'),
+    )
+    return c.documents.filter("text is not null").select("doc_id", sanitized_html(F.when(F.col("doc_id") % 3 == 0, inline).otherwise(block)).alias("html"))
+
+
 @query("SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\n[ \\t]*\\n+'), lambda p: trim(p) <> ''), lambda p: '<p>' || replace(trim(p), chr(10), '<br>') || '</p>'), '') AS html, NOT regexp_matches(text, '<[a-zA-Z/]') AS plain FROM documents")
 def x27_note_plain_to_html(c: Corpus) -> DataFrame:
     return c.documents.select("doc_id", T.html_paragraphs("text").alias("html"), (~F.col("text").rlike("<[a-zA-Z/]")).alias("plain"))
@@ -148,7 +168,7 @@ def x29_base_name(c: Corpus) -> DataFrame:
 
 
 @query("SELECT id, 'scan' || id AS stem FROM assets", "assets")
-def x30_version_family(c: Corpus) -> DataFrame:
+def x30_version_stem(c: Corpus) -> DataFrame:
     versioned = F.concat(F.lit("a/scan"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, "_v12.png").otherwise(".png"))
     return c.assets.select("id", T.version_stem(versioned).alias("stem"))
 

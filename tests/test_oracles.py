@@ -8,7 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from lektra.plans import registry
-SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
+
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.01")
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
