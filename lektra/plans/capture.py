@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lektra.plans.catalog import query
 from lektra.sources.corpus import Corpus
+from lektra.operators.settling import fresh_path
 from lektra.streaming import capture as S
+from lektra.streaming import replication as R
 
 
 @query("SELECT c_custkey AS row_id, CASE c_custkey % 10 WHEN 0 THEN 'D' WHEN 1 THEN 'U' ELSE 'I' END AS op FROM customer WHERE c_custkey % 10 IN (0, 1, 2)")
@@ -95,3 +97,25 @@ def c16_blob_queue(c: Corpus) -> DataFrame:
 @query("SELECT count(DISTINCT (table_name, row_id)) AS pending, count_if(op = 'D') AS conflicts, CAST(coalesce(sum(CASE WHEN op = 'I' THEN seq END), 0) AS BIGINT) AS bytes, max(changed_at) - min(changed_at) > 300000 AS clock_warning FROM oplog", "oplog")
 def c18_sync_status(c: Corpus) -> DataFrame:
     return c.oplog.agg(F.count_distinct("table_name", "row_id").alias("pending"), F.count_if(F.col("op") == "D").alias("conflicts"), F.coalesce(F.sum(F.when(F.col("op") == "I", F.col("seq"))), F.lit(0)).alias("bytes"), (F.max("changed_at") - F.min("changed_at") > 300_000).alias("clock_warning"))
+
+
+
+@query("SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 13 = 0 THEN 'journaled' WHEN o_custkey % 10 = 3 THEN 'parked' WHEN o_custkey % 10 = 7 THEN 'gone' ELSE 'present' END AS state FROM orders")
+def c13_replicated_stream(c: Corpus) -> DataFrame:
+    """Orders as items of customers as collections, page by page: children first, then most of the parents, then deletes, and the children again.
+
+    Of ten customers one never comes, so its orders stay parked, and one is deleted with its orders. Every thirteenth order has a broken payload.
+    """
+    folder = fresh_path(c.spark, "replication")
+    no_parents, nothing = F.array().cast(R.PARENTS), F.lit(None).cast("string")
+    row = lambda table, key, seq, deleted, parents, payload: (F.lit(table).alias("table_name"), F.col(key).cast("long").alias("row_id"), F.lit(seq).cast("long").alias("seq"), F.lit(deleted).alias("deleted"), parents.cast(R.PARENTS).alias("parents"), nothing.alias("name"), payload.alias("payload"))
+    customers, last = c.table("customer"), F.col("c_custkey") % 10
+    parent = F.array(F.struct(F.lit("collections").alias("table_name"), F.col("o_custkey").cast("long").alias("row_id")))
+    items = c.table("orders").select(*row("items", "o_orderkey", 1, False, parent, F.when(F.col("o_orderkey") % 13 == 0, "{bad").otherwise("{}")))
+    for page in (items, customers.filter(last != 3).select(*row("collections", "c_custkey", 2, False, no_parents, F.lit("{}"))), customers.filter(last == 7).select(*row("collections", "c_custkey", 3, True, no_parents, nothing)), items):
+        page.write.mode("append").parquet(f"{folder}/pages")
+    pages = c.spark.readStream.schema(R.CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
+    state = R.replicate(pages, f"{folder}/state", f"{folder}/checkpoint", customers.limit(0).select(F.lit("").alias("table_name"), F.col("c_custkey").alias("row_id")))
+    mine = F.col("table_name") == "items"
+    rows = state.read("rows").filter(mine).select("row_id", F.when(F.col("present"), "present").otherwise("gone").alias("state"))
+    return rows.unionByName(state.read("parked").filter(mine).select("row_id", F.lit("parked").alias("state"))).unionByName(state.journal().filter(mine).select("row_id", F.lit("journaled").alias("state")).distinct())
