@@ -1,4 +1,4 @@
-"""Search: an inverted index, ranks by BM25, vector neighbours, and their fusion."""
+"""Search: postings, vector neighbours, rank fusion, budgets and prompts; ranks by BM25 come from the stored index."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from lektra.functions.numbers import cosine
 from lektra.functions.text import index_terms
-from lektra.operators.settling import settled
-
-K1, B = 1.2, 0.75
-
 
 def postings(texts: DataFrame) -> DataFrame:
     """(id, term, tf, length): from rows (id, text)."""
@@ -18,36 +14,6 @@ def postings(texts: DataFrame) -> DataFrame:
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def ranked(texts: DataFrame, terms: list[str], *, every: bool = True) -> DataFrame:
-    """(id, rank): Okapi BM25, negative so that less is better; all terms or any of them.
-
-    Only postings of the asked terms are counted; lengths come from the texts, so no index is shuffled.
-    """
-    terms = list(dict.fromkeys(terms))
-    rows = texts.select("id", index_terms("text").alias("terms"))
-
-    def times(term: str):
-        return F.size(F.filter("terms", lambda t: t == term))
-
-    counted = settled(rows.select("id", F.size("terms").alias("length"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms))))  # texts are cut once
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    scored = counted.crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = sum((F.col(f"tf{i}") > 0).cast("int") for i in range(len(terms)))
-    return scored.filter(hits == len(terms) if every else hits > 0).select("id", (-score).alias("rank"))
-
-
-def searched(texts: DataFrame, terms: list[str], limit: int) -> tuple[DataFrame, str]:
-    """All terms; if nothing is found and there are several, any term. The strategy is told beside the rows."""
-    strict = ranked(texts, terms).orderBy("rank", "id").limit(limit)
-    if len(set(terms)) < 2 or not strict.isEmpty():
-        return strict, "strict"
-    return ranked(texts, terms, every=False).orderBy("rank", "id").limit(limit), "relaxed"
-
-
 def neighbours(vectors: DataFrame, query: DataFrame, limit: int, least: float = 0.0) -> DataFrame:
     """(id, score): the nearest by cosine of one query row (vector); vectors of other lengths or zero are left out."""
     scored = vectors.crossJoin(F.broadcast(query)).select("id", cosine(F.col("vector"), F.col("query")).alias("score"))  # one row

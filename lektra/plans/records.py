@@ -13,6 +13,7 @@ from lektra.operators import relational as R
 from lektra.operators import search as S
 from lektra.plans.catalog import query
 from lektra.plans.search import _ranked, _texts
+from lektra.sources import index
 from lektra.sources.corpus import Corpus
 
 _LINE = "CASE event_id % 6 WHEN 0 THEN 'login token=abc' || event_id || ' ok' WHEN 1 THEN 'Bearer ' || md5(CAST(event_id AS VARCHAR)) || ' sent' WHEN 2 THEN 'plain  line ' || event_id WHEN 3 THEN 'password: hunter2 next ' || event_id WHEN 4 THEN 'key ' || md5(CAST(event_id AS VARCHAR)) ELSE 'secret \"' || md5(CAST(event_id AS VARCHAR)) || '\", x ' || md5(event_type) END"
@@ -238,7 +239,7 @@ _CONTEXT = f"SELECT title, text, row_number() OVER (ORDER BY rank, h.id) AS n FR
 @query(f"SELECT substring(string_agg('--- ' || title || ' ---' || chr(10) || substring(text, 1, 1200) || chr(10) || chr(10), '' ORDER BY n), 1, 3000) AS context FROM ({_CONTEXT})", "items")
 def a14_ask_context(c: Corpus) -> DataFrame:
     """What a question gets to read: the five best items of a collection, 1200 characters of each, 3000 in all."""
-    hits = S.ranked(_texts(c), T.search_terms_core("the-that"))
+    hits = index.search(c.spark, c.text_index, T.search_terms_core("the-that"))
     return S.context(hits, c.items.filter("collection_id = 'src1'").select("id", "title"), _texts(c), items=5, most_chars=1200, budget=3000)
 
 

@@ -212,13 +212,13 @@ def _index(c: Corpus) -> str:
 @query(f"SELECT i.id, i.title, count(*) AS tf FROM ({_WORDS}) w JOIN items i ON i.id = w.id WHERE term = 'thing' AND i.collection_id = 'src1' GROUP BY 1, 2", "items")
 def j6_index_lookup(c: Corpus) -> DataFrame:
     """The postings of a term, read from their part of a stored index and joined to the items of a collection."""
-    hits = index.postings(c.spark, _index(c), ["thing"]).select("id", "tf")
+    hits = index.postings(c.spark, c.text_index, ["thing"]).select("id", "tf")
     return hits.join(c.items.filter("collection_id = 'src1'"), "id").select("id", "title", "tf")
 
 
 @query(f"SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(*) AS words FROM ({_WORDS})")
 def g22_index_stats(c: Corpus) -> DataFrame:
-    return index.stats(c.spark, _index(c))
+    return index.stats(c.spark, c.text_index)
 
 
 @query(f"WITH w AS ({_WORDS}) SELECT id, term, count(*) AS tf FROM w WHERE id <> 1 AND term IN ('thing', 'fresh') GROUP BY 1, 2 UNION ALL SELECT 1, 'fresh', 2 UNION ALL SELECT 1, 'thing', 1 UNION ALL SELECT -5, 'thing', 1")

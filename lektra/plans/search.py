@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lektra.functions.text import ACCENTS, ascii_fold, question_terms, search_terms_core, search_terms_ui, snippet
 from lektra.operators import search as S
 from lektra.plans.catalog import query
+from lektra.sources import index
 from lektra.sources.corpus import Corpus
 
 _TERMS = rf"SELECT doc_id AS id, regexp_extract_all(translate(lower(text), '{ACCENTS[0]}', '{ACCENTS[1]}'), '[\p{{L}}\p{{N}}]+') AS terms, source, text FROM documents"
@@ -40,18 +41,18 @@ def a3_fts_tokenise(c: Corpus) -> DataFrame:
 
 @query(f"SELECT id, round(rank, 6) AS rank FROM ({_ranked(['the', 'that'], True)})")
 def a4_fts_search_strict(c: Corpus) -> DataFrame:
-    return S.ranked(_texts(c), search_terms_core('the-"that" AND')).select("id", F.round("rank", 6).alias("rank"))
+    return index.search(c.spark, c.text_index, search_terms_core('the-"that" AND')).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"SELECT id, round(rank, 6) AS rank, 'relaxed' AS strategy FROM ({_ranked(['zzzz', 'schen'], False)}) ORDER BY rank, id LIMIT 50")
 def a5_fts_search_auto(c: Corpus) -> DataFrame:
-    rows, strategy = S.searched(_texts(c), search_terms_ui('zzzz "schen"'), 50)
+    rows, strategy = index.searched(c.spark, c.text_index, search_terms_ui('zzzz "schen"'), 50)
     return rows.select("id", F.round("rank", 6).alias("rank"), F.lit(strategy).alias("strategy"))
 
 
 @query(f"SELECT i.id, i.title FROM ({_ranked(['the'], True)} ORDER BY rank, id LIMIT 50) h JOIN items i ON i.id = h.id WHERE i.collection_id = 'src1'", "items")
 def a6_search_in_collection(c: Corpus) -> DataFrame:
-    hits, _ = S.searched(_texts(c), ["the"], 50)
+    hits, _ = index.searched(c.spark, c.text_index, ["the"], 50)
     return c.items.join(hits, "id").filter("collection_id = 'src1'").orderBy(ascii_fold("title"), "id").select("id", "title")
 
 
@@ -76,7 +77,7 @@ def _legs(c: Corpus) -> tuple[DataFrame, DataFrame]:
     one = vectors.filter("id = 3").select(F.col("vector").alias("query"))
     with_text = vectors.filter("id <> 3").join(c.documents.select(F.col("doc_id").alias("id")), "id", "left_semi")
     near = S.placed(S.neighbours(with_text, one, 24), F.desc("score"), "id")
-    return near, S.placed(S.ranked(_texts(c), ["thing"]).orderBy("rank", "id").limit(24), "rank", "id")
+    return near, S.placed(index.search(c.spark, c.text_index, ["thing"], 24), "rank", "id")
 
 
 @query(_VECTOR_LEG)
@@ -138,6 +139,6 @@ def a18_conversation_list(c: Corpus) -> DataFrame:
 @query(f"SELECT i.id, i.title FROM (SELECT id FROM ({_ranked(['thing'], True)}) ORDER BY rank, id LIMIT 20) h JOIN items i ON i.id = h.id", "items")
 def a7_search_global_by_index(c: Corpus) -> DataFrame:
     """The twenty best items by the index, in the order of their titles; only if there is none, titles and metadata are searched."""
-    hits, _ = S.searched(_texts(c), search_terms_ui("thing"), 20)
+    hits, _ = index.searched(c.spark, c.text_index, search_terms_ui("thing"), 20)
     by_title = c.items.filter(F.contains(ascii_fold("title"), F.lit("thing")) | F.contains(ascii_fold("metadata"), F.lit("thing"))).orderBy("title", "id").limit(20).select("id", "title")
     return by_title if hits.isEmpty() else c.items.join(hits.select("id"), "id").orderBy("title", "id").select("id", "title")

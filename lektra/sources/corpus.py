@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lektra.functions.text import one_line
+from lektra.operators.settling import fresh_path
+from lektra.sources import index
+
+#: Paths of stored indexes, by application and folder.
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 class Corpus:
@@ -34,6 +39,16 @@ class Corpus:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    @property
+    def text_index(self) -> str:
+        """The path of the stored index of all documents, which is written once for a session and a folder."""
+        key = self.spark.sparkContext.applicationId, self.folder
+        if key not in _INDEXES:
+            path = fresh_path(self.spark, "text-index")
+            index.write(self.documents.select(F.col("doc_id").alias("id"), "text"), path)
+            _INDEXES[key] = path
+        return _INDEXES[key]
+
     @property
     def collections(self) -> DataFrame:
         return self.documents.groupBy(F.col("source").alias("id")).agg(F.first("source").alias("name"), F.min("doc_id").alias("created_at"), F.max("doc_id").alias("updated_at"))

@@ -1,52 +1,208 @@
-"""A stored inverted index: postings in buckets of terms, sorted, so that a search reads the asked terms alone.
+"""A stored inverted index: blocks of postings with their maxima, in slices by a hash of the id, sorted by term.
 
-A text that is indexed anew gets a higher generation; postings of lesser generations of its id no longer count.
+A search reads the blocks of the asked terms alone, and scores them where they lie: in each slice the ranges between block
+borders are taken in descending order of what their maxima allow, until that can't reach the worst of the best ``limit``
+any more. The best of all slices are then ordered. The number of slices follows from the bytes of the texts, so a term that
+every text has is spread over all of them.
+
+Statistics are kept as rows that add up: documents and words, and for each term how many texts have it. A text that is
+indexed anew gets a higher generation, and rows that take its old share out of the statistics; postings of lesser generations of its id no longer count.
+
+Defined results: a null text has no terms but counts as a document; of rows with one id in a call the last by text counts; rows without an
+id are left out; asked terms that no text has are found in none; an empty index gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lektra.operators.search import postings as made
+from lektra.functions.text import index_terms
 
-BUCKETS = 32
+K1, B = 1.2, 0.75
+#: Bytes of texts in a slice, and postings in a block.
+SLICE_BYTES, BLOCK = 64 << 20, 128
+#: Of these the small row groups of the files consist, so that few others lie beside an asked term.
+GROUP_BYTES = 4 << 20
 
 
-def _bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _slice(n: int):
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
 
-def _append(texts: DataFrame, path: str, generation: int) -> None:
-    rows = made(texts).withColumn("generation", F.lit(generation)).withColumn("bucket", _bucket("term"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
-    texts.select("id", F.lit(generation).alias("generation")).write.mode("append").parquet(f"{path}/texts")
+def _counted(texts: DataFrame) -> DataFrame:
+    """(slice, id, term, tf, length), dealt by slice once."""
+    terms = texts.select("slice", "id", index_terms("text").alias("terms")).select("slice", "id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    return terms.groupBy("slice", "id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+
+def _append(texts: DataFrame, path: str, generation: int, slices: int) -> None:
+    last = Window.partitionBy("id").orderBy(F.desc_nulls_last("text"))
+    once = texts.filter("id is not null").withColumn("__n", F.row_number().over(last)).filter("__n = 1").select("id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = once.withColumn("slice", _slice(slices)).repartition(slices, "slice")
+    place = F.row_number().over(Window.partitionBy("slice", "term").orderBy("id")) - 1
+    blocks = _counted(dealt).withColumn("block", F.floor(place / BLOCK).cast("int")).groupBy("slice", "term", "block").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("p"))
+    of = lambda name: F.transform("p", lambda x: x[name])
+    rows = blocks.select("slice", "term", "block", of("id").alias("ids"), of("tf").cast("array<int>").alias("tfs"), of("length").cast("array<int>").alias("lengths"), F.array_max(of("tf")).cast("int").alias("most"), F.array_min(of("length")).cast("int").alias("least"))
+    made = rows.withColumn("generation", F.lit(generation)).sortWithinPartitions("slice", "term", "block")
+    made.write.mode("append").option("parquet.block.size", GROUP_BYTES).partitionBy("generation").parquet(f"{path}/blocks")
+    length = F.size(index_terms("text"))
+    once.select("id", length.alias("length"), F.lit(generation).alias("generation")).write.mode("append").parquet(f"{path}/texts")
+    made.select("term", F.size("ids").alias("n")).groupBy("term").agg(F.sum("n").alias("n")).sort("term").write.mode("append").parquet(f"{path}/terms")
 
 
 def write(texts: DataFrame, path: str) -> None:
     """Index all texts (id, text)."""
-    _append(texts, path, 0)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = max(-(-size // SLICE_BYTES), 8)
+    texts.sparkSession.createDataFrame([(slices,)], "slices int").coalesce(1).write.parquet(f"{path}/layout")
+    _append(texts, path, 0, slices)
+    _totals(texts.sparkSession.read.parquet(f"{path}/texts"), path, 1)
+
+
+def _totals(texts: DataFrame, path: str, sign: int) -> None:
+    texts.agg((sign * F.count("*")).alias("n"), (sign * F.coalesce(F.sum("length"), F.lit(0))).alias("words")).coalesce(1).write.mode("append").parquet(f"{path}/totals")
 
 
 def add(texts: DataFrame, path: str) -> None:
-    """Index some texts anew or for the first time."""
-    last = texts.sparkSession.read.parquet(f"{path}/texts").agg(F.max("generation")).first()[0]
-    _append(texts, path, (last or 0) + 1)
+    """Index some texts anew or for the first time: new blocks, and rows that take the old ones out of the statistics."""
+    spark = texts.sparkSession
+    slices = spark.read.parquet(f"{path}/layout").first().slices
+    old = spark.read.parquet(f"{path}/texts")
+    generation = (old.agg(F.max("generation")).first()[0] or 0) + 1
+    again = texts.filter("id is not null").select("id").distinct()
+    replaced = old.join(again, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("length", "generation"), "generation").alias("t")).select("id", "t.*")
+    replaced.select("id", F.lit(generation).alias("generation")).withColumn("slice", _slice(slices)).write.mode("append").parquet(f"{path}/replaced")
+    _totals(replaced, path, -1)
+    gone = postings_of(_blocks(spark, path)).join(replaced.select("id", "generation"), ["id", "generation"], "left_semi")
+    gone.groupBy("term").agg((-F.count("*")).alias("n")).write.mode("append").parquet(f"{path}/terms")
+    _append(texts, path, generation, slices)
+    _totals(spark.read.parquet(f"{path}/texts").filter(F.col("generation") == generation), path, 1)
+
+
+def _blocks(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
+    rows = spark.read.parquet(f"{path}/blocks")
+    return rows if terms is None else rows.filter(F.col("term").isin(*terms))
+
+
+def _replaced(spark: SparkSession, path: str) -> DataFrame:
+    """(id, generation, slice): the generation from which on postings of an id count."""
+    try:
+        return spark.read.parquet(f"{path}/replaced").groupBy("id", "slice").agg(F.max("generation").alias("generation"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "id long, slice int, generation int")
 
 
-def _newest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/texts").groupBy("id").agg(F.max("generation").alias("generation"))
+def postings_of(blocks: DataFrame) -> DataFrame:
+    """(id, term, tf, length, generation) of blocks."""
+    return blocks.select("term", "generation", F.inline(F.arrays_zip("ids", "tfs", "lengths"))).select(F.col("ids").alias("id"), "term", F.col("tfs").cast("long").alias("tf"), F.col("lengths").alias("length"), "generation")
 
 
 def postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """(id, term, tf, length) of the asked terms: their buckets are pruned to, their rows filtered in the scan."""
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket("term")).distinct().collect()]  # as many as terms
-    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
-    return rows.join(_newest(spark, path), ["id", "generation"], "left_semi").select("id", "term", "tf", "length")
+    """(id, term, tf, length) of the asked terms; the filter on terms reaches the scan of the sorted files."""
+    since = _replaced(spark, path).select("id", F.col("generation").alias("since"))
+    rows = postings_of(_blocks(spark, path, terms)).join(since, "id", "left")
+    return rows.filter(F.col("since").isNull() | (F.col("generation") >= F.col("since"))).select("id", "term", "tf", "length")
 
 
 def stats(spark: SparkSession, path: str) -> DataFrame:
-    """(documents, terms, words) of the index."""
-    rows = spark.read.parquet(f"{path}/postings").join(_newest(spark, path), ["id", "generation"], "left_semi")
-    counts = rows.groupBy("term").agg(F.sum("tf").alias("n")).agg(F.count("*").alias("terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
-    return _newest(spark, path).agg(F.count("*").alias("documents")).crossJoin(counts)  # one row each
+    """(documents, terms, words) of the index, from its statistics."""
+    terms = spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("n").alias("n")).filter("n > 0").agg(F.count("*").alias("terms"))
+    return spark.read.parquet(f"{path}/totals").agg(F.sum("n").alias("documents"), F.sum("words").alias("words")).join(terms).select("documents", "terms", "words")  # one row each
+
+
+def search(spark: SparkSession, path: str, terms: list[str], limit: int | None = None, *, every: bool = True) -> DataFrame:
+    """(id, rank): Okapi BM25, negative so that less is better, of texts with all terms or with any; the best ``limit``, or all."""
+    terms = list(dict.fromkeys(terms))
+    totals = spark.read.parquet(f"{path}/totals").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    df = {r.term: r.n for r in spark.read.parquet(f"{path}/terms").filter(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("n").alias("n")).collect()}  # as many as terms
+    empty = spark.createDataFrame([], "id long, rank double")
+    if not totals.n or not terms or (every and any(df.get(t, 0) <= 0 for t in terms)):
+        return empty
+    mean = totals.words / totals.n
+    idf = {t: max(float(np.log((totals.n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))), 1e-6) for t in terms}
+    as_block = _blocks(spark, path, terms).select("slice", "term", "generation", "ids", "tfs", "lengths", "most", "least")
+    none = F.lit(None)
+    as_replaced = _replaced(spark, path).select("slice", F.lit("").alias("term"), "generation", F.array("id").alias("ids"), none.cast("array<int>").alias("tfs"), none.cast("array<int>").alias("lengths"), none.cast("int").alias("most"), none.cast("int").alias("least"))
+
+    def weight(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            cuts = np.flatnonzero(np.append(True, np.diff(batch.column(0).to_numpy()) != 0)).tolist() if batch.num_rows else []
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                at = batch.column(0)[a].as_py()
+                if at != now and held:
+                    yield best(pa.Table.from_batches(held))
+                    held = []
+                now = at
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield best(pa.Table.from_batches(held))
+
+    def best(rows: pa.Table) -> pa.RecordBatch:
+        """The best of one slice."""
+        names = rows.column("term").to_pylist()
+        ids_of = lambda at: np.concatenate([rows.column("ids")[i].values.to_numpy() for i in at])
+        dead = [i for i, t in enumerate(names) if t == ""]
+        dead_ids = ids_of(dead) if dead else np.empty(0, np.int64)
+        order = np.argsort(dead_ids)
+        dead_ids, since = dead_ids[order], rows.column("generation").to_numpy()[dead][order]
+        lists = []  # of each term: ids, scores, and first id and bound of its blocks
+        for t in terms:
+            at = [i for i, name in enumerate(names) if name == t]
+            if not at:
+                continue
+            ids = ids_of(at)
+            tf, length = (np.concatenate([rows.column(c)[i].values.to_numpy() for i in at]).astype(float) for c in ("tfs", "lengths"))
+            of_block = np.repeat(np.arange(len(at)), [len(rows.column("ids")[i]) for i in at])
+            if len(dead_ids):
+                found = np.minimum(np.searchsorted(dead_ids, ids), len(dead_ids) - 1)
+                lives = (dead_ids[found] != ids) | (rows.column("generation").to_numpy()[at][of_block] >= since[found])
+                ids, tf, length, of_block = ids[lives], tf[lives], length[lives], of_block[lives]
+            if not len(ids):
+                continue
+            bound = idf[t] * weight(rows.column("most").to_numpy()[at].astype(float), rows.column("least").to_numpy()[at].astype(float))
+            order = np.argsort(ids, kind="stable")  # generations may be mixed
+            lists.append((ids[order], idf[t] * weight(tf, length)[order], bound[of_block][order]))
+        out_ids, out_scores = np.empty(0, np.int64), np.empty(0)
+        if lists and not (every and len(lists) < len(terms)):
+            borders = np.unique(np.concatenate([x[::BLOCK] for x, _, _ in lists]))
+            most = sum(np.maximum.reduceat(np.append(b, 0), np.minimum(np.searchsorted(x, borders), len(x))) * (np.diff(np.append(np.searchsorted(x, borders), len(x))) > 0) for x, _, b in lists)
+            ends = np.append(borders[1:], np.iinfo(np.int64).max)
+            for i in np.argsort(-most, kind="stable").tolist():
+                if limit is not None and len(out_ids) >= limit and most[i] < out_scores.min() * (1 - 1e-9):
+                    break
+                parts = [slice(int(np.searchsorted(x, borders[i])), int(np.searchsorted(x, ends[i], side="left" if i + 1 < len(borders) else "right"))) for x, _, _ in lists]
+                ids, at, n = np.unique(np.concatenate([x[p] for (x, _, _), p in zip(lists, parts)]), return_inverse=True, return_counts=True)
+                scores = np.bincount(at, np.concatenate([s[p] for (_, s, _), p in zip(lists, parts)]), len(ids))
+                kept = n == len(terms) if every else n > 0
+                out_ids, out_scores = np.append(out_ids, ids[kept]), np.append(out_scores, scores[kept])
+                if limit is not None and len(out_ids) > 4 * limit:
+                    top = np.lexsort((out_ids, -out_scores))[:limit]
+                    out_ids, out_scores = out_ids[top], out_scores[top]
+        if limit is not None:
+            top = np.lexsort((out_ids, -out_scores))[:limit]
+            out_ids, out_scores = out_ids[top], out_scores[top]
+        return pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(-out_scores)], names=["id", "rank"])
+
+    rows = as_block.unionByName(as_replaced).repartition("slice").sortWithinPartitions("slice", "term")
+    found = rows.mapInArrow(run, "id long, rank double")
+    return found if limit is None else found.orderBy("rank", "id").limit(limit)
+
+
+def searched(spark: SparkSession, path: str, terms: list[str], limit: int) -> tuple[DataFrame, str]:
+    """All terms; if nothing is found and there are several, any term. The strategy is told beside the rows."""
+    strict = search(spark, path, terms, limit)
+    if len(set(terms)) < 2 or not strict.isEmpty():
+        return strict, "strict"
+    return search(spark, path, terms, limit, every=False), "relaxed"
