@@ -186,8 +186,8 @@ class Numbers(dict):
 
 
 def blocks(docs: DataFrame, specs: Broadcast, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of about BLOCK_BYTES of texts: block long, ids, sizes (segments of each row, -1: without tokens), the
-    numbers of all segments in order (binary, 32-bit), and the distinct segments with their counts.
+    """Rows of about BLOCK_BYTES of texts: block long, ids, of each row the numbers of its segments in order (binary,
+    32-bit; null: without tokens), and the distinct segments with their counts.
 
     A block is named by task and place, so it has to be written before it is used.
     """
@@ -198,20 +198,15 @@ def blocks(docs: DataFrame, specs: Broadcast, *, id_col: str = "doc_id", text_co
 
         tools, first = aligner(*specs.value), TaskContext.get().partitionId() << 32
         for place, part in enumerate(text_slices(batches, 1, BLOCK_BYTES)):
-            numbers, order, sizes = Numbers(), array("i"), []
+            numbers, orders = Numbers(), []
             for text in part.column(1).to_pylist():
-                if not text or not tools.faithful(text):
-                    sizes.append(-1)
-                    continue
-                before = len(order)
-                order.extend(map(numbers.__getitem__, tools.segments(text)))
-                sizes.append(len(order) - before)
-            of = np.frombuffer(order, np.int32)
-            columns = [pa.array([first + place], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)), pa.array([sizes], pa.list_(pa.int32())), pa.array([of.tobytes()], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string())), pa.array([np.bincount(of, minlength=len(numbers)).tolist()], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "order", "segments", "counts"])
+                orders.append(array("i", map(numbers.__getitem__, tools.segments(text))).tobytes() if text and tools.faithful(text) else None)
+            n = np.bincount(np.frombuffer(b"".join(x for x in orders if x), np.int32), minlength=len(numbers))
+            columns = [pa.array([first + place], pa.int64()), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)), pa.array([orders], pa.list_(pa.binary())), pa.array([list(numbers)], pa.list_(pa.string())), pa.array([n.tolist()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "orders", "segments", "counts"])
 
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(run, f"block long, ids array<{kind}>, sizes array<int>, order binary, segments array<string>, counts array<long>")
+    return rows.mapInArrow(run, f"block long, ids array<{kind}>, orders array<binary>, segments array<string>, counts array<long>")
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -296,61 +291,62 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id"
     if few:
         all_counts = counts.orderBy("link").toArrow()
         known = spark.sparkContext.broadcast([all_counts.column(c).to_numpy() for c in ("link", "n", "best")])  # counted before
-    nothing = {"ids": f"array<{kind}>", "sizes": "array<int>", "order": "binary", "local": "int", "codes": "binary", "link": "long", "n": "long", "best": "boolean"}
-    as_rows = lambda df, kind_of, has: df.select("block", F.lit(kind_of).alias("kind"), *(F.col(c) if c in has else F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
-    rows = as_rows(held, 0, ("ids", "sizes", "order")).unionByName(as_rows(back, 1, ("local", "codes")))
+    # alignments, counts where they aren't broadcast, and documents of a block follow each other
+    as_rows = lambda df, at, id_of, data, key, n, best: df.select("block", F.lit(at).alias("kind"), id_of.cast(kind).alias("id"), data.cast("binary").alias("data"), key.cast("long").alias("key"), n.cast("long").alias("n"), best.cast("boolean").alias("best"))
+    none = F.lit(None)
+    rows = as_rows(back, 0, none, F.col("codes"), F.col("local"), none, none)
     if not few:
-        rows = rows.unionByName(as_rows(links_by_block(back, counts), 2, ("link", "n", "best")))
+        rows = rows.unionByName(as_rows(links_by_block(back, counts), 1, none, none, F.col("link"), F.col("n"), F.col("best")))
+    of_docs = held.select("block", F.inline(F.arrays_zip("ids", "orders")))
+    rows = rows.unionByName(as_rows(of_docs, 2, F.col("ids"), F.col("orders"), none, none, none))
 
-    def compose(head: pa.RecordBatch, tail: pa.Table) -> Iterator[pa.RecordBatch]:
-        """The rows of one block, some at a time: sums over the segments of each, and their groups in order."""
-        tools = aligner(*specs.value)
-        ids, sizes = head.column("ids").flatten(), np.array(head.column("sizes")[0].as_py(), np.int64)
-        order = np.frombuffer(head.column("order")[0].as_py(), np.int32)
+    def scored(parts: list[pa.RecordBatch]) -> tuple[list[np.ndarray], list[str]]:
+        """By the number of a segment in its block: its counts, and its groups as text."""
+        tail = pa.Table.from_batches(parts)
         kinds = tail.column("kind").to_numpy()
-        mine = tail.filter(pa.array(kinds == 1))
-        codes, cuts = flat(mine.column("codes").combine_chunks())
+        mine = tail.filter(pa.array(kinds == 0)).sort_by("key")  # numbers from 0 on
+        codes, cuts = flat(mine.column("data").combine_chunks())
         links, of_part = links_of(codes, cuts)
         if known is not None:
             keys, ns, bests = known.value
         else:
-            by_link = tail.filter(pa.array(kinds == 2)).select(["link", "n", "best"]).sort_by("link")
-            keys, ns, bests = (by_link.column(c).to_numpy() for c in ("link", "n", "best"))
+            by_link = tail.filter(pa.array(kinds == 1)).select(["key", "n", "best"]).sort_by("key")
+            keys, ns, bests = (by_link.column(c).to_numpy() for c in ("key", "n", "best"))
         at = np.searchsorted(keys, links)
         n, of_code = mine.num_rows, np.repeat(np.arange(mine.num_rows), np.diff(cuts))
         total = lambda of, w=None: np.bincount(of, w, n).astype(np.int64)
         n_links = total(of_part)
-        by_part = [total(of_code[codes > 0]), total(of_code[codes < 0]), n_links, n_links, total(of_part, bests[at]), np.zeros(n, np.int64)]
-        np.add.at(by_part[5], of_part, ns[at])  # whole numbers throughout
-        said = tools.said(codes, cuts)
-        place = np.empty(n, np.int64)
-        place[mine.column("local").to_numpy()] = np.arange(n)
-        of = place[order]
-        ends = np.cumsum(np.maximum(sizes, 0))
-        starts = ends - np.maximum(sizes, 0)
-        sums = [np.append(0, np.cumsum(x[of])) for x in by_part]
-        lengths = np.append(0, np.cumsum(np.array([len(x) + 1 for x in said], np.int64)[of]))[ends]
-        first = 0
-        while first < len(ids):
-            last = max(int(np.searchsorted(lengths, (lengths[first - 1] if first else 0) + OUTPUT_CHARS)), first + 1)
-            a, b = starts[first:last], ends[first:last]
-            texts = [told(";".join(map(said.__getitem__, of[i:j].tolist()))) if size >= 0 else None for i, j, size in zip(a.tolist(), b.tolist(), sizes[first:last].tolist())]
-            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), *(pa.array(x[b] - x[a], pa.int64()) for x in sums), pa.array(texts, pa.string())], names=[id_col, *COUNTS, "groups"])
-            first = last
+        found = [total(of_code[codes > 0]), total(of_code[codes < 0]), n_links, n_links, total(of_part, bests[at]), np.zeros(n, np.int64)]
+        np.add.at(found[5], of_part, ns[at])  # whole numbers throughout
+        return found, aligner(*specs.value).said(codes, cuts)
+
+    def compose(docs_of: pa.RecordBatch, by_part: list[np.ndarray], said: list[str]) -> Iterator[pa.RecordBatch]:
+        """Some documents of a block at a time: sums over the segments of each, and their groups in order."""
+        orders = [None if x is None else np.frombuffer(x, np.int32) for x in docs_of.column("data").to_pylist()]
+        begin, held_chars, sums, texts = 0, 0, [], []
+        for i, of in enumerate(orders):
+            sums.append([0] * len(COUNTS) if of is None else [int(x[of].sum()) for x in by_part])
+            text = None if of is None else ";".join(map(said.__getitem__, of.tolist()))
+            texts.append(text if text is None else told(text))
+            held_chars += len(texts[-1] or "")
+            if held_chars > OUTPUT_CHARS or i + 1 == len(orders):
+                yield pa.RecordBatch.from_arrays([docs_of.column("id").slice(begin, i + 1 - begin), *(pa.array(x, pa.int64()) for x in zip(*sums)), pa.array(texts, pa.string())], names=[id_col, *COUNTS, "groups"])
+                begin, held_chars, sums, texts = i + 1, 0, [], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, tail = None, []
+        block, parts, ready = None, [], None
         for batch in batches:
-            heads = np.flatnonzero(batch.column("kind").to_numpy() == 0).tolist()
-            for a, b in zip([0, *heads], [*heads, batch.num_rows]):
-                if a < b and batch.column("kind")[a].as_py() == 0:
-                    if head is not None:
-                        yield from compose(head, pa.Table.from_batches(tail))
-                    head, tail = batch.slice(a, 1), [batch.slice(a + 1, b - a - 1)]
-                elif a < b:
-                    tail.append(batch.slice(a, b - a))
-        if head is not None:
-            yield from compose(head, pa.Table.from_batches(tail))
+            names, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy() == 2
+            borders = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (kinds[1:] != kinds[:-1]))).tolist() if len(names) else []
+            for a, b in zip(borders, [*borders[1:], len(names)]):
+                if names[a] != block:
+                    block, parts, ready = names[a], [], None
+                if not kinds[a]:
+                    parts.append(batch.slice(a, b - a))
+                    continue
+                if ready is None:
+                    ready, parts = scored(parts) if parts else ([np.zeros(0, np.int64)] * len(COUNTS), []), []
+                yield from compose(batch.slice(a, b - a), *ready)
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string"
     return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
