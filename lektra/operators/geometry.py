@@ -41,17 +41,69 @@ def score(a: Column, b: Column) -> Column:
     return 0.6 * overlap(a, b) + 0.3 * iou(a, b) + 0.1 * F.greatest(1 - far / across, F.lit(0.0))
 
 
-def matched(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+#: Regions of a page from which on a grid finds what meets; on smaller pages each block looks at all.
+MANY_REGIONS = 256
+
+
+def _in_cells(rows: DataFrame, box_col: str, level: str, levels: list[int]) -> DataFrame:
+    """A row for each cell that a box touches, in the grid of its own size and in all coarser ones that occur: four at most in each."""
+    grids = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col(level))
+    at = rows.withColumn("grid", F.explode(grids)).withColumn("__size", F.pow(F.lit(2.0), F.col("grid")))
+    low = lambda side: F.floor(F.col(f"{box_col}.{side}") / F.col("__size"))
+    high = lambda side, extent: F.floor((F.col(f"{box_col}.{side}") + F.col(f"{box_col}.{extent}")) / F.col("__size"))
+    return at.withColumn("cell_x", F.explode(F.sequence(low("x"), high("x", "width")))).withColumn("cell_y", F.explode(F.sequence(low("y"), high("y", "height")))).drop("__size")
+
+
+def _level(box_col: str) -> Column:
+    """The power of two that a box fits into; boxes below a thousandth count as that."""
+    return F.ceil(F.log2(F.greatest(F.col(f"{box_col}.width"), F.col(f"{box_col}.height"), F.lit(2.0**-10)))).cast("int")
+
+
+def meeting(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """Pairs of a block (page, box, ...) and a region (r_page, r_box, ...) of its page whose boxes share an area; all other columns stay.
+
+    Boxes lie in grids as wide as themselves, and meet in the coarser grid of the two. A pair counts in the cell that holds the corner
+    of what both cover, so that it is found once.
+    """
+    a, b = blocks.withColumn("__a", _level("box")), regions.withColumn("__b", _level("r_box"))
+    levels = sorted({r[0] for r in a.select("__a").union(b.select("__b")).distinct().collect()})  # some tens at most
+    if not levels:
+        levels = [0]
+    left = _in_cells(a, "box", "__a", levels)
+    right = _in_cells(b, "r_box", "__b", levels).withColumnsRenamed({"grid": "r_grid", "cell_x": "r_cell_x", "cell_y": "r_cell_y"})
+    corner = lambda side: F.floor(F.greatest(F.col(f"box.{side}"), F.col(f"r_box.{side}")) / F.pow(F.lit(2.0), F.col("grid")))
+    same = (F.col("page") == F.col("r_page")) & (F.col("grid") == F.col("r_grid")) & (F.col("cell_x") == F.col("r_cell_x")) & (F.col("cell_y") == F.col("r_cell_y"))
+    once = (F.greatest("__a", "__b") == F.col("grid")) & (corner("x") == F.col("cell_x")) & (corner("y") == F.col("cell_y"))
+    pairs = left.join(right, same & once & _touch()).drop("grid", "cell_x", "cell_y", "r_grid", "r_cell_x", "r_cell_y", "__a", "__b")
+    return pairs
+
+
+def _touch() -> Column:
+    a, b = F.col("box"), F.col("r_box")
+    wide = (a["x"] < b["x"] + b["width"]) & (b["x"] < a["x"] + a["width"])
+    return wide & (a["y"] < b["y"] + b["height"]) & (b["y"] < a["y"] + a["height"])
+
+
+def matched(blocks: DataFrame, regions: DataFrame, *, many: int = MANY_REGIONS) -> DataFrame:
     """The best region of each block (page, block, group_id, category, box) on its page, or none.
 
-    Regions of its group count from a score of 0.15, else those of its category from 0.25, else any from 0.4.
+    Regions of its group count from a score of 0.15, else those of its category from 0.25, else any from 0.4. Nearness alone gives 0.1
+    at most, so only boxes that share an area are scored. Pages with more than ``many`` regions go through a grid, so that no page is
+    compared all with all; the others are joined by page. Boxes of one page and block are one block, with the best region of any of them.
     """
     other = regions.select(F.col("page").alias("r_page"), "region", F.col("group_id").alias("r_group"), F.col("category").alias("r_category"), F.col("box").alias("r_box"))
-    pairs = blocks.join(other, F.col("page") == F.col("r_page"), "left").withColumn("score", score(F.col("box"), F.col("r_box")))
+    large = other.groupBy("r_page").agg(F.count("*").alias("n")).filter(F.col("n") > many).select(F.col("r_page").alias("large"))
+    if large.isEmpty():
+        pairs = blocks.join(other, (F.col("page") == F.col("r_page")) & _touch())
+    else:
+        of = lambda df, key, how: df.join(large, F.col(key) == F.col("large"), how)
+        few = of(blocks, "page", "left_anti").join(of(other, "r_page", "left_anti"), (F.col("page") == F.col("r_page")) & _touch())
+        pairs = few.unionByName(meeting(of(blocks, "page", "left_semi"), of(other, "r_page", "left_semi")).select(few.columns))
+    scored = pairs.withColumn("score", score(F.col("box"), F.col("r_box")))
     tier = F.when((F.col("group_id") == F.col("r_group")) & (F.col("score") >= 0.15), 1).when((F.col("category") == F.col("r_category")) & (F.col("score") >= 0.25), 2).when(F.col("score") >= 0.4, 3)
-    best = Window.partitionBy("page", "block").orderBy(F.col("tier").asc_nulls_last(), F.desc("score"), "region")
-    first = pairs.withColumn("tier", tier).withColumn("n", F.row_number().over(best)).filter("n = 1")
-    return first.select("page", "block", F.when(F.col("tier").isNotNull(), F.col("region")).alias("region"), "tier")
+    best = scored.withColumn("tier", tier).filter("tier is not null").groupBy("page", "block").agg(F.min_by(F.struct("region", "tier"), F.struct("tier", -F.col("score"), "region")).alias("best"))
+    found = best.select(F.col("page").alias("__page"), F.col("block").alias("__block"), "best.region", "best.tier")
+    return blocks.select("page", "block").distinct().join(found, (F.col("page") == F.col("__page")) & (F.col("block") == F.col("__block")), "left").select("page", "block", "region", "tier")
 
 
 def page_kind(letters: Column, image_share: Column) -> Column:

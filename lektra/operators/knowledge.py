@@ -100,3 +100,24 @@ def reviewed(answers: DataFrame, candidates: DataFrame, protected: DataFrame) ->
 def replaced_in(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
     """All old rows of the scopes (item, or item and asset) that occur in ``new`` give way to it."""
     return old.join(new.select(*scope).distinct(), scope, "left_anti").select(*old.columns).unionByName(new)
+
+
+def unsuppressed(candidates: DataFrame, guards: DataFrame, *, width: int | None = None) -> DataFrame:
+    """The candidates that no guard of their group suppresses, by an equal value or by a span that overlaps.
+
+    Both have group, value, start and end (exclusive). Equal values are a semi join. Spans are dealt to bins as wide as a span is on
+    average, or ``width``, so that a span is in few bins, and meet there; of guards that are alike one is enough. A null group, value or bound suppresses nothing.
+    """
+    at = lambda df, side: df.withColumn(f"__{side}_bin", F.explode_outer(F.when(F.col(f"__{side}_end").isNotNull() & F.col(f"__{side}_start").isNotNull(), F.sequence(F.floor(F.col(f"__{side}_start") / width), F.floor(F.greatest(F.col(f"__{side}_end") - 1, F.col(f"__{side}_start")) / width)))))
+    keyed = candidates.withColumns({"__c_group": F.col("group"), "__c_value": F.col("value"), "__c_start": F.col("start").cast("long"), "__c_end": F.col("end").cast("long")})
+    others = guards.select(F.col("group").alias("__g_group"), F.col("value").alias("__g_value"), F.col("start").cast("long").alias("__g_start"), F.col("end").cast("long").alias("__g_end"))
+    if width is None:
+        mean = keyed.select((F.col("__c_end") - F.col("__c_start")).alias("n")).unionByName(others.select((F.col("__g_end") - F.col("__g_start")).alias("n"))).agg(F.avg("n")).first()[0]
+        width = max(int(mean or 1), 1)
+    by_value = keyed.join(others.select("__g_group", "__g_value").distinct(), (F.col("__c_group") == F.col("__g_group")) & (F.col("__c_value") == F.col("__g_value")), "left_anti")
+    spans = at(others.select("__g_group", "__g_start", "__g_end").distinct(), "g").filter("__g_bin is not null")
+    meet = (F.col("__c_group") == F.col("__g_group")) & (F.col("__c_bin") == F.col("__g_bin")) & (F.col("__c_start") < F.col("__g_end")) & (F.col("__g_start") < F.col("__c_end"))
+    places = at(by_value.select("__c_group", "__c_start", "__c_end").distinct(), "c").filter("__c_bin is not null")
+    hit = places.join(spans, meet, "left_semi").select(F.col("__c_group").alias("__h_group"), F.col("__c_start").alias("__h_start"), F.col("__c_end").alias("__h_end")).distinct()
+    left = by_value.join(hit, (F.col("__c_group") == F.col("__h_group")) & (F.col("__c_start") == F.col("__h_start")) & (F.col("__c_end") == F.col("__h_end")), "left_anti")
+    return left.select(*candidates.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lektra.functions.text import ascii_fold, base_name, file_kind, sensitive, topic_name
 from lektra.operators import relational as R
+from lektra.operators.knowledge import unsuppressed
 from lektra.plans.catalog import query
 from lektra.sources.corpus import Corpus
 
@@ -220,10 +221,8 @@ def j11_lookup_join(c: Corpus) -> DataFrame:
 
 @query("SELECT a.event_id FROM events a WHERE a.event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 1 AND b.user_id = a.user_id AND (b.event_type = a.event_type OR (a.event_id < b.event_id + 40 AND b.event_id < a.event_id + 40)))")
 def j13_theta_overlap(c: Corpus) -> DataFrame:
-    events = c.table("events").select("event_id", "user_id", "event_type")
-    guards = events.filter("event_id % 2 = 1").toDF("g_id", "g_user", "g_type")
-    overlap = (F.col("event_id") < F.col("g_id") + 40) & (F.col("g_id") < F.col("event_id") + 40)
-    return events.filter("event_id % 2 = 0").join(guards, (F.col("user_id") == F.col("g_user")) & ((F.col("event_type") == F.col("g_type")) | overlap), "left_anti").select("event_id")
+    spans = c.table("events").select("event_id", F.col("user_id").alias("group"), F.col("event_type").alias("value"), F.col("event_id").alias("start"), (F.col("event_id") + 40).alias("end"))
+    return unsuppressed(spans.filter("event_id % 2 = 0"), spans.filter("event_id % 2 = 1")).select("event_id")
 
 
 @query("SELECT c_custkey, coalesce(orders, '') AS orders FROM customer LEFT JOIN (SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1) ON o_custkey = c_custkey")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lektra.functions.text import ACCENTS, ascii_fold, question_terms, search_terms_core, search_terms_ui, snippet
 from lektra.operators import search as S
+from lektra.operators.nearest import nearest
 from lektra.plans.catalog import query
 from lektra.sources import index
 from lektra.sources.corpus import Corpus
@@ -142,3 +143,32 @@ def a7_search_global_by_index(c: Corpus) -> DataFrame:
     hits, _ = index.searched(c.spark, c.text_index, search_terms_ui("thing"), 20)
     by_title = c.items.filter(F.contains(ascii_fold("title"), F.lit("thing")) | F.contains(ascii_fold("metadata"), F.lit("thing"))).orderBy("title", "id").limit(20).select("id", "title")
     return by_title if hits.isEmpty() else c.items.join(hits.select("id"), "id").orderBy("title", "id").select("id", "title")
+
+
+_PAIRS = "SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0"
+
+
+def _vectors(c: Corpus) -> DataFrame:
+    return c.vectors.select(F.col("asset_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query(f"SELECT query, id, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM ({_PAIRS})) WHERE place <= 5")
+def a8_similar_assets_of_many(c: Corpus) -> DataFrame:
+    """The five most similar assets of every twentieth, against all."""
+    found = nearest(_vectors(c), _vectors(c).filter("id % 20 = 0"), 5)
+    return found.select("query", "id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"SELECT query, id, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM ({_PAIRS}) WHERE id IN (SELECT doc_id FROM documents)) WHERE place <= 24")
+def a9_vector_legs(c: Corpus) -> DataFrame:
+    """The vector legs of many questions: the 24 nearest assets that have a text."""
+    with_text = _vectors(c).join(c.documents.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return nearest(with_text, _vectors(c).filter("id % 20 = 0"), 24).select("query", "id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"SELECT query, round(max(score), 6) AS nearest, count(*) AS above FROM ({_PAIRS}) WHERE score >= 0.3 GROUP BY 1")
+def m7_cosines_above(c: Corpus) -> DataFrame:
+    """How many vectors are nearer than a floor to every twentieth, and how near the nearest of them is."""
+    vectors = _vectors(c)
+    found = nearest(vectors, vectors.filter("id % 20 = 0"), vectors.count(), least=0.3)
+    return found.groupBy("query").agg(F.round(F.max("score"), 6).alias("nearest"), F.count("*").alias("above"))
