@@ -4,9 +4,11 @@ Texts and items are compared as words (letters and digits of any script, lower-c
 reads a window: at each step it emits the word under it, and the word and the step together decide whether it moves
 on; two windows at a small edit distance thus emit sequences at a small Hamming distance. Each of many tables samples
 a few steps of a walk; a window of the size of an item that agrees with it in one table is a candidate, and the edit
-distance between the item and the text from there is then computed exactly. Sampled steps, walks and tables follow
-from the target recall for each window size, by the rate at which windows at the distance limit of that
-size agree, edits of the first words included; a target that no plan reaches is an error.
+distance between the item and the text from there is then computed exactly. What a walk emits depends on all before it, so
+edits near its beginning cost most; therefore half of the tables walk from the first word on, and half from the last one
+backwards. Sampled steps, walks and tables follow from the target recall for each window size, by the rate at which windows at the
+distance limit agree for the worst kind and place of edits: substitutions, insertions or deletions alone, over
+the whole window or in its first half (its second half is the same the other way round). A target that no plan reaches is an error.
 
 An item of fewer than LONG words is one window of its own size. A longer one is cut into blocks that cover all its words; if it
 stands in a text within its limit, wherever the edits lie, one of its blocks does so within the limit of the block. So blocks are searched like
@@ -105,8 +107,8 @@ def cuts_of(words: int) -> list[int]:
 class Walks:
     """The random functions of all walks, and the steps that each table samples, for one window size."""
 
-    def __init__(self, size: int, settings: Settings, tables: int):
-        rng = np.random.default_rng([settings.seed, size])
+    def __init__(self, size: int, settings: Settings, tables: int, back: bool = False):
+        rng = np.random.default_rng([settings.seed, size, back])
         self.size, self.steps = size, max(2 * size, 1)
         self.turns = rng.integers(0, 2**64, (settings.walks, self.steps), dtype=np.uint64) | np.uint64(1)
         self.tables = []
@@ -137,33 +139,43 @@ class Walks:
         return out.T
 
 
+def worst_copies(size: int, edits: int, trials: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each kind and place of edits: random items, and windows of texts that hold a copy, from its first word on and from its last one back."""
+    fresh = lambda n: rng.integers(2**63, 2**64, n, dtype=np.uint64).tolist()
+    for kind in ("substitution", "insertion", "deletion"):
+        for reach in {size, max((size + 1) // 2, min(edits, size))}:
+            items, ahead, behind = [], [], []
+            for _ in range(trials):
+                item = rng.integers(1, 2**63, size, dtype=np.uint64)
+                copy = item.tolist()
+                places = np.sort(rng.choice(reach, edits, replace=kind == "insertion"))[::-1].tolist()
+                for at in places:
+                    copy[at : at + (kind != "insertion")] = [] if kind == "deletion" else fresh(1)
+                own = np.flatnonzero(np.array(copy, np.uint64) < 2**63)
+                copy = copy[own[0] : own[-1] + 1] if len(own) else []  # a window starts, and ends, with a word of the item
+                items.append(item)
+                ahead.append(np.array([*copy, *fresh(size)], np.uint64)[:size])
+                behind.append(np.array([*copy[::-1], *fresh(size)], np.uint64)[:size])
+            yield np.stack(items), np.stack(ahead), np.stack(behind)
+
+
 @cache
-def plan_for(settings: Settings, size: int, trials: int = 600) -> tuple[Settings, int]:
-    """The settings and tables that reach the recall for random windows of ``size`` words at the distance limit."""
+def plan_for(settings: Settings, size: int, trials: int = 250) -> tuple[Settings, int]:
+    """The settings, and tables in each direction, that reach the recall for random windows of ``size`` words at the distance limit."""
     rng = np.random.default_rng([settings.seed, size])
-    items, copies = [], []
-    for _ in range(trials):
-        item = rng.integers(1, 2**63, size, dtype=np.uint64)
-        copy = item.tolist()
-        for _ in range(settings.edits(size)):
-            kind, at = rng.integers(3), int(rng.integers(0, max(len(copy), 1)))
-            if kind < 2 and at < len(copy):
-                del copy[at]
-            if kind > 0:
-                copy.insert(at, int(rng.integers(2**63, 2**64, dtype=np.uint64)))
-        while copy and copy[0] >= 2**63:  # a window starts with a word of the item
-            del copy[0]
-        items.append(item)
-        copies.append(np.array([*copy, *rng.integers(2**63, 2**64, size, dtype=np.uint64).tolist()], np.uint64)[:size])  # the text goes on
-    starts = np.arange(trials) * size
+    cells = list(worst_copies(size, settings.edits(size), trials, rng))
+    starts = np.arange(trials * len(cells)) * size
+    items, ahead, behind = (np.concatenate([c[k].ravel() for c in cells]) for k in range(3))
+    reversed_items = np.concatenate([c[0][:, ::-1].ravel() for c in cells])
     goal = min(settings.recall + MARGIN, (1 + settings.recall) / 2)
     for fewer, times in PLANS:
         plan = replace(settings, sampled=max(1, settings.sampled - fewer), walks=settings.walks * times)
-        walks = Walks(size, plan, MOST_TABLES)
-        same = walks.keys(np.concatenate(items), starts) == walks.keys(np.concatenate(copies), starts)
-        reached = np.flatnonzero(np.logical_or.accumulate(same, 1).mean(0) >= goal)
+        forth, back = Walks(size, plan, MOST_TABLES), Walks(size, plan, MOST_TABLES, back=True)
+        same = (forth.keys(items, starts) == forth.keys(ahead, starts)) | (back.keys(reversed_items, starts) == back.keys(behind, starts))
+        found = np.logical_or.accumulate(same, 1).reshape(len(cells), trials, -1).mean(1).min(0)  # of the worst cell, by tables
+        reached = np.flatnonzero(found >= goal)
         if len(reached):
-            return plan, max(4, int(reached[0]) + 1)
+            return plan, max(3, int(reached[0]) + 1)
     raise ValueError(f"no plan reaches a recall of {settings.recall} for windows of {size} words and {settings.edits(size)} edits")
 
 
@@ -287,13 +299,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     plans = {n: plan_for(settings, n) for n in sizes}
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walks: dict[int, Walks] = {}
+        walks: dict[int, tuple[Walks, Walks]] = {}
         for batch in batches:
             keys, pieces = [], []
             for codes in words_as(batch.column(1)):
                 n = len(codes)
-                walks[n] = walks.get(n) or Walks(n, *plans[n])
-                keys.append(np.unique(walks[n].keys(codes, np.zeros(1, np.int64))[0].view(np.int64)))
+                walks[n] = walks.get(n) or (Walks(n, *plans[n]), Walks(n, *plans[n], back=True))
+                keys.append(np.unique(np.concatenate([w.keys(c, np.zeros(1, np.int64))[0].view(np.int64) for w, c in zip(walks[n], (codes, codes[::-1].copy()))])))
                 width = settings.piece(n)
                 pieces.append(pieces_of(codes, width)[: (settings.edits(n) + 1) * width : width].view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.int64()))], names=["block", "codes", "keys", "pieces"])
@@ -306,46 +318,50 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known_pieces, known = shared.value
-        walks = {n: Walks(n, *plans[n]) for n in sizes}
+        walks = {(n, back): Walks(n, *plans[n], back=back) for n in sizes for back in (False, True)}
         gap = np.zeros(reach, np.uint64)
         for part in text_slices(batches, 3):
             found = [codes_of(x) for x in part.column(3).to_pylist()]
-            codes = np.concatenate([x for f in found for x in (f, gap)] or [gap])
-            begins = np.cumsum([0, *(len(f) + reach for f in found)])[:-1]
+            codes = np.concatenate([gap, *(x for f in found for x in (f, gap))])
+            begins = reach + np.cumsum([0, *(len(f) + reach for f in found)])[:-1]
             met = among(codes, vocabulary) & (codes != 0)
-            count = np.append(0, np.cumsum(met))
-            whole = {width: np.append(0, np.cumsum(among(pieces_of(codes, width), known_pieces))) for width in {settings.piece(n) for n in sizes}}
-            hits: dict[int, list[int]] = {}
-            first = np.flatnonzero(met)
-            for n in sizes:
-                off, width = settings.edits(n), settings.piece(n)
-                ends = np.minimum(first + n + off, len(codes))
-                near = whole[width][np.maximum(ends - width + 1, first)] > whole[width][first]
-                starts = first[near][count[ends[near]] - count[first[near]] >= n - off]
-                for begin in range(0, len(starts), 100_000):
-                    some = starts[begin : begin + 100_000]
-                    made = walks[n].keys(codes, some)
-                    at, table = np.nonzero(among(made, known))
-                    for start, key in zip(some[at].tolist(), made[at, table].view(np.int64).tolist()):
-                        hits.setdefault(start, []).append(key)
+            pieces = {width: among(pieces_of(codes, width), known_pieces) for width in {settings.piece(n) for n in sizes}}
+            hits: dict[tuple[int, bool], list[int]] = {}
+            for back in (False, True):
+                way = slice(None, None, -1 if back else 1)
+                said, count, first = codes[way].copy(), np.append(0, np.cumsum(met[way])), np.flatnonzero(met[way])
+                # a piece from p on ends at p + width - 1, where it begins the other way round
+                whole = {width: np.append(0, np.cumsum(np.append(known_at[: len(known_at) - width + 1][::-1], np.zeros(width - 1, bool)) if back else known_at)) for width, known_at in pieces.items()}
+                for n in sizes:
+                    off, width = settings.edits(n), settings.piece(n)
+                    ends = np.minimum(first + n + off, len(codes))
+                    near = whole[width][np.maximum(ends - width + 1, first)] > whole[width][first]
+                    starts = first[near][count[ends[near]] - count[first[near]] >= n - off]
+                    for begin in range(0, len(starts), 100_000):
+                        some = starts[begin : begin + 100_000]
+                        made = walks[n, back].keys(said, some)
+                        at, table = np.nonzero(among(made, known))
+                        for start, key in zip((len(codes) - 1 - some[at] if back else some[at]).tolist(), made[at, table].view(np.int64).tolist()):
+                            hits.setdefault((start, back), []).append(key)
             order = sorted(hits)
-            doc = np.searchsorted(begins, np.array(order, np.int64), side="right") - 1
+            places = np.array([p for p, _ in order], np.int64)
+            doc = np.searchsorted(begins, places, side="right") - 1
             took = pa.array(doc, pa.int64())
-            windows = [codes[s : s + reach] for s in order]
+            windows = [codes[p - reach + 1 : p + 1][::-1] if back else codes[p : p + reach] for p, back in order]  # a gap is as long
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(took), part.column(1).take(took), part.column(2).take(took), pa.array(np.array(order, np.int64) - begins[doc] if order else [], pa.int64()),
+                [part.column(0).take(took), part.column(1).take(took), part.column(2).take(took), pa.array(places - begins[doc] if order else [], pa.int64()), pa.array([back for _, back in order], pa.bool_()),
                  pa.array([w[w != 0].view(np.int64) for w in windows], pa.list_(pa.int64())), pa.array([sorted(set(hits[s])) for s in order], pa.list_(pa.int64()))],
-                names=["doc_id", "text_a", "text_b", "start", "window", "keys"],
+                names=["doc_id", "text_a", "text_b", "start", "back", "window", "keys"],
             )
 
     of = docs.schema[id_col].dataType.simpleString()
     text = ("doc_id", "text_a", "text_b")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("text_a"), F.xxhash64(f"`{text_col}`", F.lit(1)).alias("text_b"), F.col(f"`{text_col}`").alias("text"))
-    found = rows.mapInArrow(run, f"doc_id {of}, text_a long, text_b long, start long, window array<long>, keys array<long>")
-    # windows of the same words are compared once
-    starts = settled(found.withColumn("words", F.xxhash64("window")))
+    found = rows.mapInArrow(run, f"doc_id {of}, text_a long, text_b long, start long, back boolean, window array<long>, keys array<long>")
+    # windows of the same words are compared once; one that is read backwards starts at its last word
+    starts = settled(found.withColumn("words", F.xxhash64("window", "back")))
     met = starts.select("words", F.explode("keys").alias("key")).distinct().join(small(keys, 24), "key").select("words", "block").distinct()
-    windows = settled(starts.groupBy("words").agg(F.first("window").alias("window"), F.count("*").alias("places")))
+    windows = settled(starts.groupBy("words").agg(F.first("window").alias("window"), F.first("back").alias("back"), F.count("*").alias("places")))
     candidates = met.join(windows.drop("places"), "words").join(small(blocks, 16 + 8 * LONG), "block")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +369,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
             step = max(1, CELLS // (reach * LONG))
             for begin in range(0, batch.num_rows, step):
                 part = batch.slice(begin, step)
-                wanted = words_as(part.column("codes"))
+                wanted = [c[::-1] if back else c for c, back in zip(words_as(part.column("codes")), part.column("back").to_pylist())]
                 texts = [x[: len(w) + settings.edits(len(w))] for x, w in zip(words_as(part.column("window")), wanted)]
                 limits = np.array([settings.edits(len(w)) for w in wanted])
                 edits, words = edit_distances(wanted, texts, limits)
@@ -363,7 +379,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 
     sure = candidates.mapInArrow(verify, "words long, block long, n long, edits long")
     sure = settled(sure.join(windows.select("words", "places"), "words"))  # a row for each block that a window matches, of which there are few
-    met_places = heavy_join(starts.select(*text, "start", "words"), sure, "words", starts.count(), "places")
+    met_places = heavy_join(starts.select(*text, "start", "back", "words"), sure, "words", starts.count(), "places")
+    met_places = met_places.withColumn("start", F.when(F.col("back"), F.greatest(F.col("start") - F.col("n") + 1, F.lit(0))).otherwise(F.col("start")))
     placed = settled(met_places.join(small(uses.drop("codes"), 64), "block"))
     short = placed.filter(F.col("item_words") < LONG).select(*text, "item_id", "start", F.col("n").alias("words"), "edits", "item_words")
 
