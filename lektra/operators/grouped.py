@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def batches(changes: DataFrame, *, most_rows: int = 500, most_bytes: int = 8 << 20) -> DataFrame:
@@ -88,3 +89,44 @@ def reading_order(lines: DataFrame) -> DataFrame:
         return pd.DataFrame({"page": page["page"].iloc[0], "line": order, "place": range(len(order))})
 
     return lines.groupBy("page").applyInPandas(place, "page long, line int, place int")
+
+
+#: Fixed value: pixels by which regions of one column overlap across; narrower ones by their width.
+COLUMN_OVERLAP = 200
+
+
+def overlap_columns(regions: DataFrame, *, least: int = COLUMN_OVERLAP) -> DataFrame:
+    """(page, region, column, place): columns of regions (page, region, x, y, width) that overlap across, found greedily from the left.
+
+    A page's regions come through one task by their left edge in Arrow batches, of which the open page's column ranges alone are carried.
+    A region joins the column that it overlaps most, the first of equal ones, and widens it; else it opens a column. Regions without a
+    box (x null) are of column 0. ``place`` counts from 0 by column, top edge and region; a null top edge or width counts as 0.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ranges = None, []
+        for part in parts:
+            out = []
+            for page, left, width in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(4).to_pylist()):
+                if page != at:
+                    at, ranges = page, []
+                if left is None:
+                    out.append(0)
+                    continue
+                right = left + width
+                shared = [min(right, b) - max(left, a) for a, b in ranges]
+                fits = [(-n, i) for i, n in enumerate(shared) if n >= min(least, width) and n > 0]
+                column = min(fits)[1] if fits else len(ranges)
+                if fits:
+                    ranges[column] = (min(ranges[column][0], left), max(ranges[column][1], right))
+                else:
+                    ranges.append((left, right))
+                out.append(column)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], part.column(3), pa.array(out, pa.int32())], names=["page", "region", "y", "column"])
+
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    ordered = regions.select("page", "region", F.col("x").cast("long").alias("x"), whole("y"), whole("width")).repartition("page").sortWithinPartitions("page", "x", "region")
+    kinds = {f: regions.schema[f].dataType.simpleString() for f in ("page", "region")}
+    found = ordered.mapInArrow(run, f"page {kinds['page']}, region {kinds['region']}, y long, column int")
+    place = F.row_number().over(Window.partitionBy("page").orderBy("column", "y", "region")) - 1
+    return found.select("page", "region", "column", place.cast("long").alias("place"))

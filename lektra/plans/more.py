@@ -9,10 +9,13 @@ from lektra.functions import text as T
 from lektra.functions.udfs import decoded_vectors, fnv1a64, jsonish, packed_vectors
 from lektra.operators import geometry as G
 from lektra.operators import relational as R
-from lektra.operators.grouped import batches, reading_order
+from lektra.operators.grouped import batches, overlap_columns, reading_order
+from lektra.operators.settling import fresh_path
 from lektra.plans.catalog import query
 from lektra.plans.texts import frequencies
+from lektra.sources import files
 from lektra.sources.corpus import Corpus
+from lektra.streaming import jobs
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -254,3 +257,30 @@ def l10_detection_filter(c: Corpus) -> DataFrame:
 def l13_rotate_annotations(c: Corpus) -> DataFrame:
     """A quarter turn to the right in the unit square: (x, y) of a box of height 0.1 becomes (1 - y - 0.1, x)."""
     return c.table("lineitem").select("l_orderkey", "l_linenumber", F.round(F.greatest(F.least(1 - F.col("l_tax") - 0.1, F.lit(1.0)), F.lit(0.0)), 6).alias("x"), F.col("l_discount").alias("y"))
+
+
+@query("WITH e AS (SELECT user_id AS key, event_id AS seq, event_id % 3 <> 0 AS submitted, list(CASE WHEN event_id % 3 <> 0 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM events), s AS (SELECT *, CASE WHEN past IS NULL THEN 0 ELSE list_reduce(past, lambda s, x: least(greatest(s + x, 0), 2), 0) END AS state FROM e) SELECT key, seq, CASE WHEN submitted THEN CASE state WHEN 0 THEN 'enqueued' ELSE 'coalesced' END ELSE CASE state WHEN 0 THEN 'ignored' WHEN 1 THEN 'finished' ELSE 'rerun' END END AS action FROM s")
+def c_jobs_coalesced(c: Corpus) -> DataFrame:
+    """Requests and ends of jobs by user, in three runs of one stream, whose state goes on from run to run."""
+    folder = fresh_path(c.spark, "jobs")
+    events = c.table("events").select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("seq"), (F.col("event_id") % 3 != 0).alias("submitted"))
+    borders = [-1, *(round(x) for x in events.approxQuantile("seq", [0.33, 0.66], 0.01)), 1 << 62]
+    for low, high in zip(borders[:-1], borders[1:]):
+        events.filter((F.col("seq") > low) & (F.col("seq") <= high)).write.mode("append").parquet(f"{folder}/events")
+        stream = jobs.coalesced(c.spark.readStream.schema(events.schema).parquet(f"{folder}/events"))
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/actions").trigger(availableNow=True).start().awaitTermination()
+    return c.spark.read.parquet(f"{folder}/actions")
+
+
+@query()
+def l6_overlap_columns(c: Corpus) -> DataFrame:
+    """Columns of the line items of an order, as regions on a page; SQL can't go through them greedily, so a test does."""
+    rows = c.table("lineitem").withColumn("region", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    return overlap_columns(rows.select(F.col("l_orderkey").alias("page"), "region", (F.col("l_partkey") % 900).alias("x"), (F.col("l_suppkey") % 700).alias("y"), (F.col("l_quantity") * 8).cast("long").alias("width")))
+
+
+@query()
+def s15_file_digests(c: Corpus) -> DataFrame:
+    """The files of all tables by content; SQL can't list a folder, so a test hashes them again."""
+    rows = files.digested(c.spark, c.folder, fresh_path(c.spark, "digests"), "*.parquet")
+    return rows.select(F.substring_index("path", "/", -1).alias("name"), "length", "sha256")

@@ -1,7 +1,9 @@
 """Parts that SQL can't check: gates, streams, sequential operators and small functions."""
 
+import hashlib
 import json
 import os
+import random
 import tempfile
 
 import pandas as pd
@@ -10,21 +12,71 @@ import pytest
 from lektra.functions import udfs
 from lektra.functions.cloud import placed_words
 from lektra.functions.text import question_terms, search_terms_core, search_terms_ui
-from lektra.operators.grouped import batches, order_of
-from lektra.sources import gate
+from lektra.operators.grouped import batches, order_of, overlap_columns
+from lektra.plans import registry
+from lektra.sources import files, gate
 from lektra.streaming import capture
+from tests.conftest import SF
 
 
-def test_gate():
-    assert gate.readable(" select 1; ") == "select 1"
-    assert gate.readable("WITH a AS (SELECT ';') SELECT * FROM a")
-    for bad in ("select 1; select 2", "pragma x", "insert into a values (1)", "select * from app_settings", "with a as (select 1) delete from b", "select 1 -- x"):
+def test_gate(spark):
+    assert gate.readable(spark, " select 1; ") == "select 1"
+    for fine in ("WITH a AS (SELECT ';') SELECT * FROM a", "select `update`, 'drop table x; delete' from notes where `delete` = 1", "select 1 -- x; y", "SELECT value FROM sync_meta WHERE key = 'pending'", "(select a from b) union select 'app_settings'"):
+        assert gate.readable(spark, fine)
+    for bad in ("select 1; select 2", "pragma x", "insert into a values (1)", "select * from app_settings", "select key from `app_settings`", "with a as (select 1) insert into b select * from a", "select * from x where y in (select key from app_settings)", "with a as (select * from main.app_settings) select 1 from a", "drop table x", "show tables", "selec 1", ""):
         with pytest.raises(ValueError):
-            gate.readable(bad)
-    gate.writable("insert into notes values ('a;b'); delete from notes")
-    for bad in ("drop table notes", "update sync_oplog set a = 1", "insert into a values (1); vacuum"):
+            gate.readable(spark, bad)
+    assert len(gate.writable(spark, "insert into notes values ('a;b'); delete from notes; update notes set a = 'sync_oplog' where `drop` = 1;")) == 3
+    for bad in ("drop table notes", "update sync_oplog set a = 1", "insert into a values (1); vacuum", "DELETE FROM sync_oplog WHERE seq = 1", "insert into notes select value from app_settings", "alter table notes add column x int", "select 1", "merge into sync_meta using a on a.x = sync_meta.x when matched then delete"):
         with pytest.raises(ValueError):
-            gate.writable(bad)
+            gate.writable(spark, bad)
+
+
+def test_file_digests(spark):
+    folder, cache = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-") + "/cache"
+    os.mkdir(f"{folder}/below")
+    for name, content in (("a", b"one"), ("below/b", b"two"), ("empty", b""), ("c", b"three")):
+        with open(f"{folder}/{name}", "wb") as file:
+            file.write(content)
+    told = lambda: {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in files.digested(spark, folder, cache).collect()}
+    of = lambda content: (len(content), hashlib.sha256(content).hexdigest())
+    assert told() == {"a": of(b"one"), "b": of(b"two"), "c": of(b"three")}
+    assert told() and spark.read.parquet(cache).count() == 3  # nothing is read again
+    with open(f"{folder}/c", "wb") as file:
+        file.write(b"other")
+    os.utime(f"{folder}/c", (1_800_000_000,) * 2)
+    os.remove(f"{folder}/a")
+    assert told() == {"b": of(b"two"), "c": of(b"other")} and spark.read.parquet(cache).count() == 4
+    got = {r.name: r.sha256 for r in registry.queries()["s15_file_digests"](spark, SF).collect()}
+    for name, digest in got.items():
+        with open(f"{SF}/{name}", "rb") as file:
+            assert hashlib.sha256(file.read()).hexdigest() == digest
+    assert len(got) == 14
+    assert "content" not in files.listed(spark, folder)._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
+def test_overlapping_columns(spark):
+    rng = random.Random(2)
+    rows = [(p, i, rng.choice([None, rng.randrange(1500)]) if i % 9 == 0 else rng.randrange(1500), rng.choice([None, rng.randrange(800)]), rng.randrange(0, 500)) for p in range(30) for i in range(rng.randrange(1, 25))]
+    got = {(r.page, r.region): (r.column, r.place) for r in overlap_columns(spark.createDataFrame(rows, "page int, region int, x int, y int, width int").repartition(3)).collect()}
+    wanted = {}
+    for page in range(30):
+        mine, columns, of = [r[1:] for r in rows if r[0] == page], [], {}
+        for region, x, _, width in sorted((r for r in mine if r[1] is not None), key=lambda r: (r[1], r[0])):
+            best, most = None, 0
+            for i, (a, b) in enumerate(columns):
+                n = min(x + width, b) - max(x, a)
+                if n >= min(200, width) and n > most:
+                    best, most = i, n
+            if best is None:
+                best = len(columns)
+                columns.append((x, x + width))
+            columns[best] = min(columns[best][0], x), max(columns[best][1], x + width)
+            of[region] = best
+        order = sorted((of.get(r[0], 0), r[2] or 0, r[0]) for r in mine)
+        wanted |= {(page, region): (column, place) for place, (column, _, region) in enumerate(order)}
+    assert got == wanted
+    assert registry.queries()["l6_overlap_columns"](spark, SF).filter("column > 0").count()
 
 
 def test_search_terms():
