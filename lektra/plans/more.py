@@ -13,7 +13,7 @@ from lektra.operators.grouped import batches, overlap_columns, reading_order
 from lektra.operators.settling import fresh_path
 from lektra.plans.catalog import query
 from lektra.plans.texts import frequencies
-from lektra.sources import files
+from lektra.sources import exports, files
 from lektra.sources.corpus import Corpus
 from lektra.streaming import jobs
 
@@ -284,3 +284,16 @@ def s15_file_digests(c: Corpus) -> DataFrame:
     """The files of all tables by content; SQL can't list a folder, so a test hashes them again."""
     rows = files.digested(c.spark, c.folder, fresh_path(c.spark, "digests"), "*.parquet")
     return rows.select(F.substring_index("path", "/", -1).alias("name"), "length", "sha256")
+
+
+@query("SELECT collection_id, id, assets, row_number() OVER (PARTITION BY collection_id ORDER BY id) = 1 AS head, row_number() OVER (PARTITION BY collection_id ORDER BY id DESC) = 1 AS tail FROM (SELECT i.collection_id, i.id, count(a.id) AS assets FROM items i LEFT JOIN assets a ON a.item_id = i.id GROUP BY 1, 2)", "items", "assets")
+def a13_collection_documents(c: Corpus) -> DataFrame:
+    """The nested documents of all collections, as their pieces tell: each item with its assets, and which of them brings the head and the tail."""
+    path = fresh_path(c.spark, "documents")
+    assets = c.assets.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("id", "type", "path", "size"))).alias("assets"))  # four of an item
+    items = c.items.join(assets, F.col("id") == F.col("item_id"), "left").select("collection_id", "id", F.to_json(F.struct("id", "title", "metadata", F.coalesce("assets", F.array().cast(assets.schema["assets"].dataType)).alias("assets"))).alias("document"))
+    exports.nested(c.collections.select("id", "name"), items, path)
+    told = c.spark.read.text(path)
+    body = F.regexp_replace(F.regexp_replace("value", r'^\{"version":3,"collection":\{[^{}]*\},"items":\[', ""), r",$|\]\}$", "")
+    item = F.from_json(body, "id long, assets array<struct<id:long>>")
+    return told.select(F.col("collection").alias("collection_id"), item["id"].alias("id"), F.size(item["assets"]).cast("long").alias("assets"), F.startswith("value", F.lit('{"version":3,')).alias("head"), F.endswith("value", F.lit("]}]}")).alias("tail"))

@@ -14,7 +14,7 @@ from lektra.functions.cloud import placed_words
 from lektra.functions.text import question_terms, search_terms_core, search_terms_ui
 from lektra.operators.grouped import batches, order_of, overlap_columns
 from lektra.plans import registry
-from lektra.sources import files, gate
+from lektra.sources import exports, files, gate
 from lektra.streaming import capture
 from tests.conftest import SF
 
@@ -55,6 +55,19 @@ def test_file_digests(spark):
     assert "content" not in files.listed(spark, folder)._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
 
 
+def test_nested_documents(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/out"
+    items = [("a", i, json.dumps({"id": i, "t": "x, ]}"})) for i in range(300)] + [("b", 7, None), (None, 8, "{}"), ("c", None, "{}")]
+    exports.nested(spark.createDataFrame([("a", "A"), ("b", None), ("c", "C"), ("none", "")], "id string, name string"), spark.createDataFrame(items, "collection_id string, id long, document string").repartition(5), path, parts=6)
+    documents = {}
+    for folder in sorted(os.listdir(path)):
+        if folder.startswith("collection="):
+            pieces = sorted(x for x in os.listdir(f"{path}/{folder}") if x.startswith("part-"))
+            documents[folder[11:]] = json.loads("".join(open(f"{path}/{folder}/{x}").read() for x in pieces)), len(pieces)
+    assert documents["a"][0] == {"version": 3, "collection": {"id": "a", "name": "A"}, "items": [json.loads(d) for c, _, d in items if c == "a"]} and documents["a"][1] > 2
+    assert documents["b"][0]["items"] == [None] and documents["c"][0]["items"] == [] == documents["none"][0]["items"] and documents["b"][0]["collection"] == {"id": "b", "name": None}
+
+
 def test_overlapping_columns(spark):
     rng = random.Random(2)
     rows = [(p, i, rng.choice([None, rng.randrange(1500)]) if i % 9 == 0 else rng.randrange(1500), rng.choice([None, rng.randrange(800)]), rng.randrange(0, 500)) for p in range(30) for i in range(rng.randrange(1, 25))]
