@@ -96,3 +96,25 @@ def resampled(samples: str | Column, from_rate: int, to_rate: int) -> Column:
         return F.when(low + 1 < F.size(x), F.get(x, low) * (1 - part) + F.get(x, low + 1) * part).otherwise(F.get(x, low))
 
     return F.when(n > 0, F.filter(F.transform(F.sequence(F.lit(0), n - 1), at), lambda v: v.isNotNull())).otherwise(x)
+
+
+def ticks(most: Column, count: int = 4) -> Column:
+    """Values from 0 on to the first that reaches ``most``, in steps of 1, 2 or 5 times a power of ten, of about ``count``; only 0 for none or less."""
+    raw = most.cast("double") / count
+    magnitude = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    residual = raw / magnitude
+    step = F.when(residual <= 1, 1).when(residual <= 2, 2).when(residual <= 5, 5).otherwise(10) * magnitude
+    values = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(most / step).cast("long")), lambda i: F.round(i * step, 3))
+    return F.when(most > 0, values).otherwise(F.array(F.lit(0.0)))
+
+
+def relative_time(created: Column, now_ms: Column) -> Column:
+    """(value long, unit): how far a time in seconds or milliseconds is from now, in the largest unit that it fills, cut to whole ones."""
+    ms = F.when(created < 1_000_000_000_000, created * 1000).otherwise(created)
+    seconds = F.floor((ms - now_ms) / 1000 + 0.5)  # a half goes up, also below zero
+    units = (("second", 1, 60), ("minute", 60, 3600), ("hour", 3600, 86_400), ("day", 86_400, 2_592_000), ("month", 2_592_000, 31_536_000))
+    whole = lambda size: F.struct((F.signum(seconds.cast("double")) * F.floor(F.abs(seconds) / size)).cast("long").alias("value"))
+    chosen = F.struct(whole(31_536_000)["value"].alias("value"), F.lit("year").alias("unit"))
+    for unit, size, below in reversed(units):
+        chosen = F.when(F.abs(seconds) < below, F.struct(whole(size)["value"].alias("value"), F.lit(unit).alias("unit"))).otherwise(chosen)
+    return chosen

@@ -116,3 +116,11 @@ def document_profile(pages: DataFrame) -> DataFrame:
     counts = pages.groupBy("document").agg(F.count("*").alias("pages"), *(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
     dominant = F.coalesce(*(F.when(F.col(k) >= F.ceil(0.8 * F.col("pages")), k) for k in kinds))
     return counts.select("document", "pages", dominant.alias("dominant"), dominant.isNull().alias("mixed"))
+
+
+def bypassed(pages: DataFrame, regions: DataFrame) -> DataFrame:
+    """(page, bypass): whether the layout of a page (page, width, height) is passed over: it has fewer than two regions (page, width, height), or one covers more than three fifths of it."""
+    found = regions.groupBy(F.col("page").alias("of")).agg(F.count("*").alias("n"), F.max(F.greatest("width", F.lit(0)).cast("double") * F.greatest("height", F.lit(0))).alias("largest"))
+    area = F.col("width").cast("double") * F.col("height")
+    few = F.coalesce("n", F.lit(0)) < 2
+    return pages.join(found, F.col("page") == F.col("of"), "left").select("page", (few | ((area > 0) & (F.coalesce("largest", F.lit(0.0)) > 0.6 * area))).alias("bypass"))

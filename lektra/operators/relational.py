@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lektra.functions.text import ascii_fold
+from lektra.operators.settling import settled
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -86,8 +87,8 @@ def placed_in_groups(rows: DataFrame, group: str, row_id: str, *order: str) -> D
     keys = [f"__{i}" for i in range(len(order))]
     named = rows.select(F.col(group).alias("__group"), *(F.col(c).alias(k) for c, k in zip(order, keys)), F.col(row_id).alias("__id"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # kept, as another run of the sampling could draw other ranges
-    dealt = named.repartitionByRange(parts, "__group", *keys, "__id").withColumn("__part", F.spark_partition_id()).persist()
+    # settled, as another run of the sampling, after an executor is lost, could draw other ranges
+    dealt = settled(named.repartitionByRange(parts, "__group", *keys, "__id").withColumn("__part", F.spark_partition_id()))
     at = F.struct(*keys, "__id")
     ranges = dealt.groupBy("__group", "__part").agg(F.count("*").alias("n"), F.min(at)["__id"].alias("first"), F.max(at)["__id"].alias("last"))
     by_part = Window.partitionBy("__group").orderBy("__part")  # as many rows as ranges at most
@@ -119,3 +120,9 @@ def exchanged(messages: DataFrame, asked: DataFrame) -> DataFrame:
 def inserted(rows: DataFrame, new: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> tuple[DataFrame, DataFrame]:
     """(rows with the new ones whose parent is there, the new ones that are refused)."""
     return rows.unionByName(non_empty(new, parents, child_key, parent_key)), orphans(new, parents, child_key, parent_key)
+
+
+def latest_texts(texts: DataFrame, *of: str) -> DataFrame:
+    """(of, text): the newest text (id, text, created_at) of each combination of the columns ``of``; of equally new ones that with the least id."""
+    order = F.struct(F.coalesce(F.col("created_at"), F.lit(0)), -F.col("id"))
+    return texts.groupBy(*of).agg(F.max_by("text", order).alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lektra.functions import numbers as N
 from lektra.functions import text as T
 from lektra.functions.udfs import decoded_vectors, fnv1a64, jsonish, packed_vectors
 from lektra.operators import geometry as G
@@ -12,7 +13,7 @@ from lektra.operators import relational as R
 from lektra.operators.grouped import batches, overlap_columns, reading_order
 from lektra.operators.settling import fresh_path
 from lektra.plans.catalog import query
-from lektra.plans.texts import frequencies
+from lektra.plans.texts import _KEPT, _WORDS, frequencies
 from lektra.sources import exports, files
 from lektra.sources.corpus import Corpus
 from lektra.streaming import jobs
@@ -297,3 +298,32 @@ def a13_collection_documents(c: Corpus) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("value", r'^\{"version":3,"collection":\{[^{}]*\},"items":\[', ""), r",$|\]\}$", "")
     item = F.from_json(body, "id long, assets array<struct<id:long>>")
     return told.select(F.col("collection").alias("collection_id"), item["id"].alias("id"), F.size(item["assets"]).cast("long").alias("assets"), F.startswith("value", F.lit('{"version":3,')).alias("head"), F.endswith("value", F.lit("]}]}")).alias("tail"))
+
+
+@query(f"WITH w AS ({_WORDS}), v AS (SELECT doc_id, row_number() OVER (PARTITION BY source, doc_id // 6, doc_id % 2 ORDER BY doc_id % 97 DESC, doc_id) AS n FROM documents) SELECT source AS collection, word, count(*) AS count FROM w JOIN v USING (doc_id) WHERE n = 1 AND {_KEPT} GROUP BY 1, 2")
+def a15_corpus_frequencies(c: Corpus) -> DataFrame:
+    """Words of the newest extraction and the newest transcription of each asset, by collection; here six documents are versions of one asset."""
+    rows = c.documents.select("source", F.floor(F.col("doc_id") / 6).alias("asset"), (F.col("doc_id") % 2).alias("kind"), F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 97).alias("created_at"))
+    latest = R.latest_texts(rows, "source", "asset", "kind")
+    return latest.select(F.col("source").alias("collection"), F.explode(T.words("text")).alias("word")).groupBy("collection", "word").agg(F.count("*").alias("count"))
+
+
+@query("SELECT o_orderkey, array_to_string(CASE WHEN m <= 0 THEN [0.0::DOUBLE] ELSE list_transform(range(0, CAST(ceil(m / step) AS BIGINT) + 1), lambda i: round(i * step, 3)) END, ' ') AS ticks FROM (SELECT *, CASE WHEN r <= 1 THEN 1 WHEN r <= 2 THEN 2 WHEN r <= 5 THEN 5 ELSE 10 END * g AS step FROM (SELECT *, raw / g AS r FROM (SELECT *, 10.0::DOUBLE ** floor(log10(raw)) AS g FROM (SELECT o_orderkey, m, CASE WHEN m > 0 THEN m / 4 ELSE 1 END AS raw FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE o_totalprice / 1000 END::DOUBLE AS m FROM orders)))))")
+def a20_chart_ticks(c: Corpus) -> DataFrame:
+    most = F.when(F.col("o_orderkey") % 50 == 0, 0).otherwise(F.col("o_totalprice") / 1000).cast("double")
+    return c.table("orders").select("o_orderkey", F.array_join(N.ticks(most).cast("array<string>"), " ").alias("ticks"))
+
+
+@query("SELECT event_id, CASE unit WHEN 'second' THEN trunc(s) WHEN 'minute' THEN trunc(s / 60) WHEN 'hour' THEN trunc(s / 3600) WHEN 'day' THEN trunc(s / 86400) WHEN 'month' THEN trunc(s / 2592000) ELSE trunc(s / 31536000) END::BIGINT AS value, unit FROM (SELECT *, CASE WHEN abs(s) < 60 THEN 'second' WHEN abs(s) < 3600 THEN 'minute' WHEN abs(s) < 86400 THEN 'hour' WHEN abs(s) < 2592000 THEN 'day' WHEN abs(s) < 31536000 THEN 'month' ELSE 'year' END AS unit FROM (SELECT event_id, floor((CASE WHEN event_id % 2 = 0 THEN 1700000000000 - (event_id % 5000) * (event_id % 5000) * 20000 ELSE (1700000000 + (event_id % 20000) * (event_id % 20000)) * 1000 END - 1700000000000) / 1000.0 + 0.5)::DOUBLE AS s FROM events))")
+def m13_time_from_now(c: Corpus) -> DataFrame:
+    """Times before now in milliseconds, and after now in seconds."""
+    e = F.col("event_id").cast("long")
+    created = F.when(e % 2 == 0, 1_700_000_000_000 - (e % 5000) * (e % 5000) * 20_000).otherwise(1_700_000_000 + (e % 20_000) * (e % 20_000))
+    return c.table("events").select("event_id", N.relative_time(created, F.lit(1_700_000_000_000)).alias("r")).select("event_id", "r.value", "r.unit")
+
+
+@query("SELECT o_orderkey AS page, coalesce(n, 0) < 2 OR (area > 0 AND coalesce(largest, 0) > 0.6 * area) AS bypass FROM (SELECT o_orderkey, (o_orderkey % 4) * 40 * 30.0::DOUBLE AS area FROM orders) LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_quantity * l_linenumber * 8) AS largest FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def l12_layout_bypass(c: Corpus) -> DataFrame:
+    """Orders as pages, their line items as regions."""
+    pages = c.table("orders").select(F.col("o_orderkey").alias("page"), (F.col("o_orderkey") % 4 * 40).alias("width"), F.lit(30).alias("height"))
+    return G.bypassed(pages, c.table("lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("width"), (F.col("l_linenumber") * 8).alias("height")))
