@@ -114,8 +114,8 @@ class Walks:
         self.tables = []
         for table in range(tables):
             sampled = min(settings.sampled, self.size)
-            # sampled from the first steps on: what a walk emits late depends on all before it
-            self.tables.append((table % settings.walks, np.sort(rng.choice(max(self.size * 3 // 2, 1), sampled, replace=False)), rng.integers(0, 2**64, dtype=np.uint64)))
+            # from the first steps, which read a third of the window: what a walk emits late depends on all before it, and the other tables come from its other end
+            self.tables.append((table % settings.walks, np.sort(rng.choice(max(self.size * 2 // 3, sampled), sampled, replace=False)), rng.integers(0, 2**64, dtype=np.uint64)))
 
         at_step: dict[int, list[tuple[int, int]]] = {}
         for table, (walk, steps, _) in enumerate(self.tables):
