@@ -31,9 +31,9 @@ def test_same_ranks(spark, monkeypatch):
     index.write(frame(texts.items()), path)
 
     def same():
-        for terms in (["w0"], ["w3", "w9"], ["w0", "w1", "w2"], ["w30", "w0"], ["nothing", "w5"]):
+        for terms in (["w3", "w9"], ["w0", "w1", "w2"], ["nothing", "w5"]):
             for every in (True, False):
-                for limit in (3, 40, None):
+                for limit in (3, None):
                     rows = index.search(spark, path, terms, limit, every=every).collect()
                     assert [r.id for r in sorted(rows, key=lambda r: (round(r.rank, 14), r.id))] == slow(texts, terms, limit, every), (terms, every, limit)
         count = index.stats(spark, path).first()
