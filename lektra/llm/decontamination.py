@@ -331,7 +331,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
                 way = slice(None, None, -1 if back else 1)
                 said, count, first = codes[way].copy(), np.append(0, np.cumsum(met[way])), np.flatnonzero(met[way])
                 # a piece from p on ends at p + width - 1, where it begins the other way round
-                whole = {width: np.append(0, np.cumsum(np.append(known_at[: len(known_at) - width + 1][::-1], np.zeros(width - 1, bool)) if back else known_at)) for width, known_at in pieces.items()}
+                flags = {width: np.append(known_at[: len(known_at) - width + 1][::-1], np.zeros(width - 1, bool)) if back else known_at for width, known_at in pieces.items()}
+                whole = {width: np.append(0, np.cumsum(here)) for width, here in flags.items()}
+                some = np.append(0, np.cumsum(np.logical_or.reduce([*flags.values(), np.zeros(len(codes), bool)])))
+                first = first[some[np.minimum(first + reach, len(codes))] > some[first]]  # a piece of any width before the largest window ends
                 for n in sizes:
                     off, width = settings.edits(n), settings.piece(n)
                     ends = np.minimum(first + n + off, len(codes))
