@@ -41,19 +41,19 @@ def columns_of(lines: list[tuple], reach: float) -> list[list[tuple]]:
     """Lines (x, y, line) in columns from the left, each from the top; a column's place is the upper median of its lines' left edges.
 
     A line joins the nearest column within reach. Columns nearer than four fifths of it are one. Columns of fewer than four
-    lines, or of a twelfth of all, are noise and go to the nearest other one, if there is any.
+    lines, or of a twelfth of all, are noise and go to the nearest other one, if there is any. Lines come by their left edge, so the
+    newest column is always the nearest, and the lines of each stay in order.
     """
-    place = lambda column: sorted(x for x, _, _ in column)[len(column) // 2]
+    place = lambda column: column[len(column) // 2][0]
     found: list[list[tuple]] = []
     for line in sorted(lines):
-        near = min(((abs(line[0] - place(c)), i) for i, c in enumerate(found)), default=(np.inf, -1))
-        if near[0] <= reach:
-            found[near[1]].append(line)
+        if found and line[0] - place(found[-1]) <= reach:
+            found[-1].append(line)
         else:
             found.append([line])
     joined: list[list[tuple]] = []
-    for column in sorted(found, key=place):
-        if joined and abs(place(column) - place(joined[-1])) <= 0.8 * reach:
+    for column in found:
+        if joined and place(column) - place(joined[-1]) <= 0.8 * reach:
             joined[-1] += column
         else:
             joined.append(column)
@@ -65,30 +65,61 @@ def columns_of(lines: list[tuple], reach: float) -> list[list[tuple]]:
             if len(column) < least:
                 at = place(column)
                 large[min(range(len(large)), key=lambda i: abs(places[i] - at))].extend(column)
-        joined = large
-    return [sorted(c, key=lambda line: (line[1], line[0], line[2])) for c in sorted(joined, key=place)]
+        joined = sorted((sorted(c) for c in large), key=place)
+    return [sorted(c, key=lambda line: (line[1], line[0], line[2])) for c in joined]
 
 
 def order_of(page: pd.DataFrame) -> list[int]:
     """The reading order of a page's lines: wide lines near the top, then columns from the left, each downwards."""
-    left, top = page["x"].min(), page["y"].min()
-    wide, high = (page["x"] + page["width"]).max() - left, (page["y"] + page["height"]).max() - top
-    header = (page["y"] - top <= 0.22 * high) & (page["width"] >= 0.58 * wide)
-    rest = page[~header]
-    reach = max(2.5 * float(np.sort(page["height"])[len(page) // 2]), 0.04 * wide)
-    columns = columns_of([*zip(rest["x"], rest["y"], rest["line"])], reach) if len(rest) else []
-    first = page[header].sort_values(["y", "x", "line"])["line"].tolist()
-    return first + [line for column in columns for _, _, line in column]
+    return order_of_lines(list(zip(*(page[c].tolist() for c in ("x", "y", "line", "width", "height")))))
+
+
+def order_of_lines(lines: list[tuple]) -> list[int]:
+    """The reading order of a page's lines (x, y, line, width, height)."""
+    left, top = min(x for x, *_ in lines), min(y for _, y, *_ in lines)
+    wide, high = max(x + width for x, _, _, width, _ in lines) - left, max(y + height for _, y, _, _, height in lines) - top
+    first, rest = [], []
+    for x, y, line, width, _ in lines:
+        if y - top <= 0.22 * high and width >= 0.58 * wide:
+            first.append((y, x, line))
+        else:
+            rest.append((x, y, line))
+    reach = max(2.5 * sorted(height for *_, height in lines)[len(lines) // 2], 0.04 * wide)
+    return [line for _, _, line in sorted(first)] + [line for column in columns_of(rest, reach) for _, _, line in column]
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
-    """(page, line, place): lines are (page, line, x, y, width, height); a page is one group."""
+    """(page, line, place): lines are (page, line, x, y, width, height); a missing number counts as 0.
 
-    def place(page: pd.DataFrame) -> pd.DataFrame:
-        order = order_of(page)
-        return pd.DataFrame({"page": page["page"].iloc[0], "line": order, "place": range(len(order))})
+    A task goes through its pages in Arrow batches, of which the lines of the open page alone are carried.
+    """
 
-    return lines.groupBy("page").applyInPandas(place, "page long, line int, place int")
+    def ordered(page: int | None, held: list[tuple]) -> tuple[list, list, list]:
+        order = order_of_lines(held)
+        return [page] * len(order), order, list(range(len(order)))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for part in parts:
+            out: tuple[list, list, list] = [], [], []
+            rows = list(zip(*(c.to_pylist() for c in part.columns[1:])))
+            for page, line in zip(part.column(0).to_pylist(), rows):
+                if page != at and held:
+                    for all_, own in zip(out, ordered(at, held)):
+                        all_ += own
+                    held = []
+                at = page
+                held.append(line)
+            yield batch_of(out)
+        if held:
+            yield batch_of(ordered(at, held))
+
+    def batch_of(out: tuple[list, list, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int32()))], names=["page", "line", "place"])
+
+    number = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)).alias(c)
+    needed = lines.select(F.col("page").cast("long").alias("page"), number("x", "double"), number("y", "double"), number("line", "int"), number("width", "double"), number("height", "double"))
+    return needed.repartition("page").sortWithinPartitions("page").mapInArrow(run, "page long, line int, place int")
 
 
 #: Fixed value: pixels by which regions of one column overlap across; narrower ones by their width.

@@ -151,3 +151,20 @@ def test_columns_of_a_page():
     columns = columns_of(right + close + left + noise, 25.0)
     assert [[line for _, _, line in c] for c in columns] == [[0, 1, 60, 2, 3, 4, 5, 6, 7, 50], [20, 21, 22, 23, 61, 24, 25, 26, 27]]
     assert columns_of([(5, 1, 0), (900, 0, 1)], 10.0) == [[(5, 1, 0)], [(900, 0, 1)]]
+
+
+def test_a_page_of_many_lines(spark):
+    """Two columns of 20,000 lines each, in time in proportion to them, between small pages whose lines are spread over batches."""
+    from time import monotonic
+
+    from lektra.operators.grouped import columns_of, reading_order
+
+    lines = [(x + i % 7, i, 2 * i + (x > 0)) for i in range(20_000) for x in (0, 500)]
+    began = monotonic()
+    columns = columns_of(lines, 25.0)
+    assert monotonic() - began < 5
+    assert [[line for _, _, line in c] for c in columns] == [[*range(0, 40_000, 2)], [*range(1, 40_000, 2)]]
+    rows = spark.range(30_000).selectExpr("id DIV 6 AS page", "cast(5 - id % 6 AS int) AS line", "if(id % 2 = 0, 500.0D, if(id % 3 = 0, null, 0.0D)) AS x", "10.0D * (5 - id % 6) AS y", "400.0D AS width", "20.0D AS height")
+    got = {(r.page, r.line): r.place for r in reading_order(rows).collect()}
+    assert len(got) == 30_000
+    assert all(got[p, line] == place for p in range(5000) for place, line in enumerate((0, 2, 4, 1, 3, 5)))
