@@ -59,3 +59,25 @@ def test_only_asked_terms_are_read(spark):
     empty = fresh_path(spark, "index")
     index.write(spark.createDataFrame([], "id long, text string"), empty)
     assert index.search(spark, empty, ["a"]).count() == 0
+
+
+def test_blocks_of_a_slice():
+    """All blocks of a slice come from one pass, without a sort of its words by Spark."""
+    import pyarrow as pa
+
+    rows = pa.table({"slice": pa.array([3] * 5, pa.int32()), "id": pa.array([-2, 4, 4, 7, 9], pa.int64()), "terms": pa.array([["b", "a", "b"], ["a"], ["gone"], [], ["é", "a"]], pa.list_(pa.string()))})
+    got = [tuple(r.values()) for r in index._blocks_of(rows, 2).to_pylist()]
+    assert got == [
+        (3, None, 0, [-2, 4], [0, 0], [3, 1], 2, 0, 0), (3, None, 1, [7, 9], [0, 0], [0, 2], 2, 0, 0),
+        (3, "a", 0, [-2, 4], [1, 1], [3, 1], 2, 1, 1), (3, "a", 1, [9], [1], [2], 1, 1, 2), (3, "b", 0, [-2], [2], [3], 1, 2, 3), (3, "é", 0, [9], [1], [2], 1, 1, 2),
+    ]
+    none = index._blocks_of(rows.slice(3, 1), 2)
+    assert [tuple(r.values()) for r in none.to_pylist()] == [(3, None, 0, [7], [0], [0], 1, 0, 0)]
+
+
+def test_vector_leg_needs_no_index(spark, monkeypatch):
+    from lektra.plans import registry
+    from tests.conftest import SF
+
+    monkeypatch.setattr(index, "search", lambda *_: 1 / 0)
+    assert registry.queries()["a9_vector_leg"](spark, SF).count() > 0
