@@ -5,19 +5,30 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: Characters of a chunk, which ends after a line break in its second half if there is one.
 CHUNK = 28_000
+#: Texts of a batch that are Python objects at a time.
+TEXTS = 128
 
 
-@F.pandas_udf(StringType())
-def unicode_nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def by_pieces(texts: pa.Array, of: Callable, kind: pa.DataType | None = None) -> pa.Array:
+    """A function of each text, null for null; all but a piece of the batch stays in Arrow, so a worker holds little more than its batch and what is made of it."""
+    kind = kind or pa.string()
+    made = [pa.array([None if t is None else of(t) for t in texts.slice(i, TEXTS).to_pylist()], kind) for i in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
+@F.arrow_udf(StringType())
+def unicode_nfc(texts: pa.Array) -> pa.Array:
+    return by_pieces(texts, lambda t: unicodedata.normalize("NFC", t))
 
 
 def chunks_of(text: str, most: int = CHUNK) -> list[dict]:
@@ -50,9 +61,9 @@ def repair(text: str) -> str:
     return text
 
 
-@F.pandas_udf(StringType())
-def repaired(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else repair(t))
+@F.arrow_udf(StringType())
+def repaired(texts: pa.Array) -> pa.Array:
+    return by_pieces(texts, repair)
 
 
 @F.pandas_udf(BinaryType())
@@ -95,9 +106,9 @@ def mend(text: str) -> str:
     return re.sub(r"\}(\s*)\{", r"},\1{", text)
 
 
-@F.pandas_udf(StringType())
-def jsonish(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else mend(t))
+@F.arrow_udf(StringType())
+def jsonish(texts: pa.Array) -> pa.Array:
+    return by_pieces(texts, mend)
 
 
 def laid_out(text: str | None) -> str | None:
@@ -109,6 +120,6 @@ def laid_out(text: str | None) -> str | None:
     return json.dumps(value, indent=2, ensure_ascii=False) if isinstance(value, (dict, list)) else None
 
 
-@F.pandas_udf(StringType())
-def pretty_json(texts: pd.Series) -> pd.Series:
-    return texts.map(laid_out)
+@F.arrow_udf(StringType())
+def pretty_json(texts: pa.Array) -> pa.Array:
+    return by_pieces(texts, laid_out)

@@ -73,3 +73,20 @@ def test_whole_pages(spark):
         read += 1
         assert got[page] == wanted, page
     assert got.keys() == pages.keys() and read > 0.8 * len(pages)
+
+
+def test_few_texts_are_objects_at_a_time():
+    """Texts of a batch become Python objects a piece at a time, and come back in order; null stays null."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lektra.functions.udfs import by_pieces, repaired
+
+    texts = pa.array([None if i % 100 == 3 else f"{i} canciÃ³n " * 400 for i in range(4000)])
+    tracemalloc.start()
+    got = repaired.func(texts)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20 < texts.nbytes
+    tracemalloc.stop()
+    assert got.null_count == 40 and got[3].as_py() is None and all(got[i].as_py() == f"{i} canción " * 400 for i in (0, 127, 128, 3999))
+    assert by_pieces(texts.slice(0, 0), str).to_pylist() == []
