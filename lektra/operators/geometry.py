@@ -36,8 +36,9 @@ def iou(a: Column, b: Column) -> Column:
 
 def score(a: Column, b: Column) -> Column:
     """0.6 overlap, 0.3 intersection over union, 0.1 nearness of centres."""
-    far = F.hypot(a["x"] + a["width"] / 2 - b["x"] - b["width"] / 2, a["y"] + a["height"] / 2 - b["y"] - b["height"] / 2)
-    across = F.greatest(F.hypot(a["width"], a["height"]), F.hypot(b["width"], b["height"]), F.lit(1.0))
+    long = lambda x, y: F.sqrt(x * x + y * y)
+    far = long(a["x"] + a["width"] / 2 - b["x"] - b["width"] / 2, a["y"] + a["height"] / 2 - b["y"] - b["height"] / 2)
+    across = F.greatest(long(a["width"], a["height"]), long(b["width"], b["height"]), F.lit(1.0))
     return 0.6 * overlap(a, b) + 0.3 * iou(a, b) + 0.1 * F.greatest(1 - far / across, F.lit(0.0))
 
 
@@ -101,7 +102,9 @@ def matched(blocks: DataFrame, regions: DataFrame, *, many: int = MANY_REGIONS)
         pairs = few.unionByName(meeting(of(blocks, "page", "left_semi"), of(other, "r_page", "left_semi")).select(few.columns))
     scored = pairs.withColumn("score", score(F.col("box"), F.col("r_box")))
     tier = F.when((F.col("group_id") == F.col("r_group")) & (F.col("score") >= 0.15), 1).when((F.col("category") == F.col("r_category")) & (F.col("score") >= 0.25), 2).when(F.col("score") >= 0.4, 3)
-    best = scored.withColumn("tier", tier).filter("tier is not null").groupBy("page", "block").agg(F.min_by(F.struct("region", "tier"), F.struct("tier", -F.col("score"), "region")).alias("best"))
+    # a filter on the tier would be pushed into the join, where each use of the score computes it again; rows without an order don't count instead
+    order = F.when(F.col("tier").isNotNull(), F.struct("tier", -F.col("score"), "region"))
+    best = scored.withColumn("tier", tier).groupBy("page", "block").agg(F.min_by(F.struct("region", "tier"), order).alias("best"))
     found = best.select(F.col("page").alias("__page"), F.col("block").alias("__block"), "best.region", "best.tier")
     return blocks.select("page", "block").distinct().join(found, (F.col("page") == F.col("__page")) & (F.col("block") == F.col("__block")), "left").select("page", "block", "region", "tier")
 

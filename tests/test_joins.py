@@ -102,3 +102,11 @@ def test_scores_are_made_in_pieces(monkeypatch):
     # row i of the copies has the id 19,999 - i, so the three least ids of a vector lie in the last three of them
     ids = found.column("id").to_numpy().reshape(-1, 3)
     assert (ids == (999 - np.arange(5000) % 1000)[:, None] + [0, 1000, 2000]).all()
+
+
+def test_a_pair_is_scored_once(spark):
+    frame = lambda name: spark.range(50).selectExpr("id DIV 5 AS page", f"id AS {name}", "id AS group_id", "id AS category", "named_struct('x', 1.0D * id, 'y', 0.0D, 'width', 9.0D, 'height', 1.0D) AS box")
+    found = geometry.matched(frame("block"), frame("region"))
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().upper().split("\n") if "JOIN" in line]
+    assert joins and not any("SQRT" in line or "HYPOT" in line for line in joins)
+    assert {r.block: r.region for r in found.collect()} == {i: i for i in range(50)}
