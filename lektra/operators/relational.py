@@ -11,6 +11,20 @@ from lektra.functions.text import ascii_fold
 from lektra.operators.settling import settled
 
 
+#: Rows of both sides that a task of a dealt join sorts, some tens of MB.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(*counts: int) -> int:
+    """Tasks of a join of tables with so many rows."""
+    return max(-(-sum(counts) // TASK_ROWS), 1)
+
+
+def dealt(rows: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Rows dealt by a key to so many tasks, which Spark doesn't coalesce: keys are compressed so well that their bytes say little of a sort's memory."""
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first in an order. One shuffle; the order must tell rows apart."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
@@ -20,9 +34,9 @@ def non_empty(parents: DataFrame, children: DataFrame, parent_key: str, child_ke
     return parents.join(children.select(F.col(child_key).alias("__k")), F.col(parent_key) == F.col("__k"), "left_semi")
 
 
-def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, tasks: int = 1) -> DataFrame:
     """Children whose parent is missing; a null key has none."""
-    return children.join(parents.select(F.col(parent_key).alias("__k")), F.col(child_key) == F.col("__k"), "left_anti")
+    return deleted(children, parents.select(parent_key), child_key, tasks)
 
 
 def counted_children(parents: DataFrame, key: str, **children: tuple[DataFrame, str]) -> DataFrame:
@@ -52,8 +66,13 @@ def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
-def deleted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return rows.join(keys.select(F.col(keys.columns[0]).alias("__k")), F.col(key) == F.col("__k"), "left_anti")
+def deleted(rows: DataFrame, keys: DataFrame, key: str, tasks: int = 1) -> DataFrame:
+    """Rows without those of the keys (one column), by so many tasks if more than one is asked for."""
+    gone = keys.select(F.col(keys.columns[0]).alias("__k"))
+    if tasks == 1:
+        return rows.join(gone, F.col(key) == F.col("__k"), "left_anti")
+    keyed = dealt(rows.filter(F.col(key).isNotNull()), key, tasks).join(dealt(gone, "__k", tasks), F.col(key) == F.col("__k"), "left_anti")
+    return keyed.unionByName(rows.filter(F.col(key).isNull()))  # which would all go to one task
 
 
 def cascaded(tables: dict[str, DataFrame], edges: list[tuple[str, str, str, str]], root: str, gone: DataFrame) -> dict[str, DataFrame]:

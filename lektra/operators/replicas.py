@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lektra.operators.relational import deleted
+from lektra.operators.relational import dealt, deleted
 from lektra.operators.settling import settled
 
 #: Fixed values: (parent, child, key of the child) of the edges along which a delete goes on.
@@ -27,42 +27,42 @@ SESSION_KEYS = ("last_pull_seq", "device_id", "account_id", "account_email", "se
 ROW = ["table_name", "row_id"]
 
 
-def _without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    return deleted(rows, ids, key)
+def _without(rows: DataFrame, key: str, ids: DataFrame, tasks: int = 1) -> DataFrame:
+    return deleted(rows, ids, key, tasks)
 
 
-def _without_results(results: DataFrame, target: str, ids: DataFrame) -> DataFrame:
+def _without_results(results: DataFrame, target: str, ids: DataFrame, tasks: int = 1) -> DataFrame:
     """Results of a model whose target, of this or of unknown type, is gone."""
     typed = results.withColumn("__of", F.when(F.col("target_type").isin(target, "unknown"), F.col("target_id")))
-    return deleted(typed, ids, "__of").drop("__of")
+    return deleted(typed, ids, "__of", tasks).drop("__of")
 
 
-def without_assets(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """All tables without the assets ``ids`` (one column) and without what hangs on them."""
+def without_assets(tables: dict[str, DataFrame], ids: DataFrame, tasks: int = 1) -> dict[str, DataFrame]:
+    """All tables without the assets ``ids`` (one column) and without what hangs on them; joins go by so many tasks."""
     made = dict(tables)
     for child, key in OF_ASSET:
         if child in made:
-            made[child] = _without(made[child], key, ids)
+            made[child] = _without(made[child], key, ids, tasks)
     if "llm_results" in made:
-        made["llm_results"] = _without_results(made["llm_results"], "asset", ids)
-    made["assets"] = _without(made["assets"], "id", ids)
+        made["llm_results"] = _without_results(made["llm_results"], "asset", ids, tasks)
+    made["assets"] = _without(made["assets"], "id", ids, tasks)
     return made
 
 
-def without_collections(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """All tables without collections, their items, the assets of these, and what hangs on any of them."""
-    of = lambda rows, key, parents: rows.join(parents.select(F.col(parents.columns[0]).alias("__k")), F.col(key) == F.col("__k"), "left_semi").select("id")
+def without_collections(tables: dict[str, DataFrame], ids: DataFrame, tasks: int = 1) -> dict[str, DataFrame]:
+    """All tables without collections, their items, the assets of these, and what hangs on any of them; joins go by so many tasks."""
+    of = lambda rows, key, parents: dealt(rows, key, tasks).join(dealt(parents.select(F.col(parents.columns[0]).alias("__k")), "__k", tasks), F.col(key) == F.col("__k"), "left_semi").select("id")
     items = of(tables["items"], "collection_id", ids)
     gone = {"items": items, "assets": of(tables["assets"], "item_id", items)}
     made = dict(tables)
     for parent, children in OF_COLLECTION.items():
         for child, key in children:
             if child in made:
-                made[child] = _without(made[child], key, gone[parent])
+                made[child] = _without(made[child], key, gone[parent], tasks)
     if "llm_results" in made:
         for target, dead in (("asset", gone["assets"]), ("item", items), ("collection", ids)):
-            made["llm_results"] = _without_results(made["llm_results"], target, dead)
-    return made | {"assets": _without(tables["assets"], "id", gone["assets"]), "items": _without(tables["items"], "id", items), "collections": _without(tables["collections"], "id", ids)}
+            made["llm_results"] = _without_results(made["llm_results"], target, dead, tasks)
+    return made | {"assets": _without(tables["assets"], "id", gone["assets"], tasks), "items": _without(tables["items"], "id", items, tasks), "collections": _without(tables["collections"], "id", ids)}
 
 
 def cascaded(tables: dict[str, DataFrame], root: str, ids: DataFrame, edges=CASCADES) -> dict[str, DataFrame]:

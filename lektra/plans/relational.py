@@ -201,7 +201,7 @@ def j9_anti_audits(c: Corpus) -> DataFrame:
         ("order without line", c.table("orders"), c.table("lineitem"), "o_orderkey", "l_orderkey", "o_orderkey"), ("part without line", c.table("part"), c.table("lineitem"), "p_partkey", "l_partkey", "p_partkey"),
         ("event without customer", c.table("events"), c.table("customer"), "user_id", "c_custkey", "event_id"),
     )
-    found = [R.orphans(child, parent, key, parent_key).select(F.lit(name).alias("audit"), F.col(show).alias("id")) for name, child, parent, key, parent_key, show in audits]
+    found = [R.orphans(child.select(*{key, show}), parent, key, parent_key, R.tasks_for(child.count(), parent.count())).select(F.lit(name).alias("audit"), F.col(show).alias("id")) for name, child, parent, key, parent_key, show in audits]
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lektra.operators import replicas as R
-from lektra.operators.relational import inserted
+from lektra.operators.relational import dealt, inserted, tasks_for
 from lektra.operators.settling import fresh_path
 from lektra.plans.catalog import query
 from lektra.sources import exports, index
@@ -99,10 +99,15 @@ def c20_logout(c: Corpus) -> DataFrame:
     return out
 
 
+def _tasks(c: Corpus) -> int:
+    return tasks_for(c.table("lineitem").count(), c.table("orders").count())
+
+
 def _model(c: Corpus) -> dict[str, DataFrame]:
     """The tables that hang on collections, from customers (collections), orders (items) and lines (assets)."""
     items = c.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("collection_id"))
-    assets = c.table("lineitem").select((F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("item_id")).distinct()
+    assets = c.table("lineitem").select((F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("item_id"))
+    assets = dealt(assets, "item_id", _tasks(c)).distinct()  # dealt first, so that no task gathers the ids of all that it scans
     of_asset = assets.select("id", F.col("id").alias("asset_id"), "item_id")
     of_item = items.select("id", F.col("id").alias("item_id"), F.lit(None).cast("long").alias("asset_id"))
     results = assets.select("id", F.col("id").alias("target_id"), F.when(F.col("id") % 3 == 0, "asset").when(F.col("id") % 3 == 1, "unknown").otherwise("other").alias("target_type"))
@@ -139,7 +144,7 @@ _ASSETS_ALL = f"SELECT count(*) FROM {_A}"
 }))
 def d5_cascade_delete_collections(c: Corpus) -> DataFrame:
     """Rows left in every table after collections are deleted with all that hangs on them."""
-    return _counted(R.without_collections(_model(c), c.table("customer").filter("c_custkey % 4 = 0").select("c_custkey")))
+    return _counted(R.without_collections(_model(c), c.table("customer").filter("c_custkey % 4 = 0").select("c_custkey"), _tasks(c)))
 
 
 _ODD = f"SELECT count(*) FROM {_A} WHERE item_id % 5 <> 0"
@@ -152,7 +157,7 @@ _ODD = f"SELECT count(*) FROM {_A} WHERE item_id % 5 <> 0"
 }))
 def d7_cascade_delete_assets(c: Corpus) -> DataFrame:
     tables = _model(c)
-    return _counted(R.without_assets(tables, tables["assets"].filter("item_id % 5 = 0").select("id")))
+    return _counted(R.without_assets(tables, tables["assets"].filter("item_id % 5 = 0").select("id"), _tasks(c)))
 
 
 @query(_rows({
