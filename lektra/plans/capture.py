@@ -100,6 +100,10 @@ def c18_sync_status(c: Corpus) -> DataFrame:
 
 
 
+#: Bytes of a replicated row in memory, about.
+ROW_BYTES = 100
+
+
 @query("SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 13 = 0 THEN 'journaled' WHEN o_custkey % 10 = 3 THEN 'parked' WHEN o_custkey % 10 = 7 THEN 'gone' ELSE 'present' END AS state FROM orders")
 def c13_replicated_stream(c: Corpus) -> DataFrame:
     """Orders as items of customers as collections, page by page: children first, then most of the parents, then deletes, and the children again.
@@ -112,10 +116,13 @@ def c13_replicated_stream(c: Corpus) -> DataFrame:
     customers, last = c.table("customer"), F.col("c_custkey") % 10
     parent = F.array(F.struct(F.lit("collections").alias("table_name"), F.col("o_custkey").cast("long").alias("row_id")))
     items = c.table("orders").select(*row("items", "o_orderkey", 1, False, parent, F.when(F.col("o_orderkey") % 13 == 0, "{bad").otherwise("{}")))
+    nothing_dirty = customers.limit(0).select(F.lit("").alias("table_name"), F.col("c_custkey").alias("row_id"))
+    expected = (customers.count() + items.count()) * ROW_BYTES
+    # one run of the stream for each page, so that a page is one micro-batch, however many files it has
     for page in (items, customers.filter(last != 3).select(*row("collections", "c_custkey", 2, False, no_parents, F.lit("{}"))), customers.filter(last == 7).select(*row("collections", "c_custkey", 3, True, no_parents, nothing)), items):
         page.write.mode("append").parquet(f"{folder}/pages")
-    pages = c.spark.readStream.schema(R.CHANGE).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
-    state = R.replicate(pages, f"{folder}/state", f"{folder}/checkpoint", customers.limit(0).select(F.lit("").alias("table_name"), F.col("c_custkey").alias("row_id")))
+        pages = c.spark.readStream.schema(R.CHANGE).parquet(f"{folder}/pages")
+        state = R.replicate(pages, f"{folder}/state", f"{folder}/checkpoint", nothing_dirty, expected_bytes=expected)
     mine = F.col("table_name") == "items"
     rows = state.read("rows").filter(mine).select("row_id", F.when(F.col("present"), "present").otherwise("gone").alias("state"))
     return rows.unionByName(state.read("parked").filter(mine).select("row_id", F.lit("parked").alias("state"))).unionByName(state.journal().filter(mine).select("row_id", F.lit("journaled").alias("state")).distinct())
