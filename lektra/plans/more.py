@@ -265,10 +265,11 @@ def c_jobs_coalesced(c: Corpus) -> DataFrame:
     """Requests and ends of jobs by user, in three runs of one stream, whose state goes on from run to run."""
     folder = fresh_path(c.spark, "jobs")
     events = c.table("events").select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("seq"), (F.col("event_id") % 3 != 0).alias("submitted"))
+    buckets = jobs.buckets_for(events.count())
     borders = [-1, *(round(x) for x in events.approxQuantile("seq", [0.33, 0.66], 0.01)), 1 << 62]
     for low, high in zip(borders[:-1], borders[1:]):
         events.filter((F.col("seq") > low) & (F.col("seq") <= high)).write.mode("append").parquet(f"{folder}/events")
-        stream = jobs.coalesced(c.spark.readStream.schema(events.schema).parquet(f"{folder}/events"))
+        stream = jobs.coalesced(c.spark.readStream.schema(events.schema).parquet(f"{folder}/events"), buckets)
         stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/actions").trigger(availableNow=True).start().awaitTermination()
     return c.spark.read.parquet(f"{folder}/actions")
 
