@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lektra.operators import replicas as R
 from lektra.operators.relational import dealt, inserted, tasks_for
-from lektra.operators.settling import fresh_path
+from lektra.operators.settling import fresh_path, settled
 from lektra.plans.catalog import query
 from lektra.sources import exports, index
 from lektra.sources.corpus import Corpus
@@ -107,7 +107,7 @@ def _model(c: Corpus) -> dict[str, DataFrame]:
     """The tables that hang on collections, from customers (collections), orders (items) and lines (assets)."""
     items = c.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("collection_id"))
     assets = c.table("lineitem").select((F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("item_id"))
-    assets = dealt(assets, "item_id", _tasks(c)).distinct()  # dealt first, so that no task gathers the ids of all that it scans
+    assets = settled(dealt(assets, "item_id", _tasks(c)).distinct())  # dealt first, so that no task gathers the ids of all that it scans; made once for all tables
     of_asset = assets.select("id", F.col("id").alias("asset_id"), "item_id")
     of_item = items.select("id", F.col("id").alias("item_id"), F.lit(None).cast("long").alias("asset_id"))
     results = assets.select("id", F.col("id").alias("target_id"), F.when(F.col("id") % 3 == 0, "asset").when(F.col("id") % 3 == 1, "unknown").otherwise("other").alias("target_type"))
