@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lektra.llm.common import text_slices
+from lektra.llm.common import give_back, text_slices
 
 #: Distinct chunks, and their characters, that a Python worker remembers before it starts afresh.
 MEMORY = (250_000, 8_000_000)
@@ -343,6 +343,7 @@ def piece_table(spec: bytes, by_bands: bool = False) -> PieceTable:
     if key not in _TABLES:
         _TABLES.clear()
         _TABLES[key] = PieceTable(spec, by_bands)
+        give_back()  # what parsing the file took
     return _TABLES[key]
 
 

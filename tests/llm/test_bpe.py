@@ -1,4 +1,7 @@
 import hashlib
+import os
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -61,3 +64,18 @@ def test_nulls_ties_and_clashing_columns(spark):
     got = bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), PATH).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == [(False, 1, 2), (False, 1, 2), (False, 3, 0), (False, 4, 200_000), (True, 0, 0)]
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_what_parsing_took_is_given_back():
+    """In a process of its own: private memory that a table adds."""
+    code = f"""
+import re
+from lektra.llm import bpe
+private = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+spec, before = bpe.read_spec({PATH!r}), private()
+bpe.piece_table(spec)
+print(private() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    told = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=60)
+    assert float(told.stdout.strip()) < 30, told.stderr
