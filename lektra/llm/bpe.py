@@ -45,6 +45,19 @@ _BLANK = regex.compile(r"[\t\n\x0b\f\r \x85\xa0  -     　]+")
 _SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*").fullmatch
 
 
+class Numbers(dict[str, int]):
+    """The number of each chunk, by first look-up; ``new`` has the chunks that aren't learnt yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class PieceTable:
     """Encodes texts by their white-space chunks, each of which is encoded once and then looked up.
 
@@ -118,8 +131,9 @@ class PieceTable:
         return found
 
     def forget(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.flat, self.starts, self.counts, self.chars = array("I"), array("q"), array("q"), 0
+        self.rows, self.chars = Numbers(), 0
+        #: The ids of all chunks, and by the number of a chunk where they start and how many they are.
+        self.flat, self.starts, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def laid_out(self, symbol: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each symbol the next and the last one of its piece, or -1, and the rank of the pair that begins with it."""
@@ -236,15 +250,24 @@ class PieceTable:
                     enter(later)
         return symbol
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Learn the chunks, of which some are laid out together, so that the layout stays small."""
+    def _learn(self) -> None:
+        """Learn the new chunks, of which some are laid out together, so that the layout stays small."""
+        chunks, self.rows.new = self.rows.new, []
+        room = np.zeros(len(self.rows) - len(self.starts), np.int64)
+        self.starts, self.counts = np.append(self.starts, room), np.append(self.counts, room)
+        self.chars += sum(map(len, chunks))
+        if marks := [c for c in chunks if c[0] == " "]:  # special tokens
+            self._keep(marks, np.array([self.special[c[1:]] for c in marks]), np.ones(len(marks), np.int64))
+            chunks = [c for c in chunks if c[0] != " "]
+        if not chunks:
+            return
         sizes = np.cumsum([len(c) for c in chunks]) // (BAND_LEARN_CHARS if self.by_bands else LEARN_CHARS)
         cuts = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(chunks)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             self._learn_together(chunks[a:b])
 
     def _learn_together(self, chunks: list[str]) -> None:
-        simple = [c for c in chunks if _SIMPLE(c)]
+        simple = [c for c in chunks if c.isascii() and c.isprintable() or _SIMPLE(c)]
         if simple:
             self._learn_cut(simple, *self._cut_simple(simple))
         if len(simple) < len(chunks):
@@ -284,41 +307,41 @@ class PieceTable:
         self._keep(chunks, symbol[left], np.bincount(np.repeat(owner, sizes)[left], minlength=len(chunks)))
 
     def _keep(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        first, begin = len(self.starts), len(self.flat)
-        self.rows.update(zip(keys, range(first, first + len(keys))))
-        self.starts.frombytes((begin + np.cumsum(counts) - counts).astype(np.int64).tobytes())
-        self.counts.frombytes(counts.astype(np.int64).tobytes())
-        self.flat.frombytes(ids.astype(np.uint32).tobytes())
-        self.chars += sum(map(len, keys))
+        numbers = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+        self.starts[numbers] = len(self.flat) + np.cumsum(counts) - counts
+        self.counts[numbers] = counts
+        self.flat = np.append(self.flat, ids.astype(np.uint32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of unsigned 32-bit integers."""
         most_chunks, most_chars = BAND_MEMORY if self.by_bands else MEMORY
         if len(self.rows) > most_chunks or self.chars > most_chars:
             self.forget()
-        chunks: list[str] = []
-        ends = [0]
+        number, rows, ends = self.rows.__getitem__, array("i"), [0]  # the chunks of one text at a time are Python objects
         for text in texts:
             if self.special_cut is not None and "<" in text and self.special_cut.search(text):
                 for part in self.special_cut.split(text):
                     if part in self.special:
-                        if (key := f" {part}") not in self.rows:  # no chunk holds a blank
-                            self._keep([key], np.array([self.special[part]]), np.array([1]))
-                        chunks.append(key)
+                        rows.append(number(f" {part}"))  # no chunk holds a blank
                     else:
-                        chunks.extend(cut_at_blanks(part))
+                        rows.extend(map(number, cut_at_blanks(part)))
             else:
-                chunks.extend(cut_at_blanks(text))
-            ends.append(len(chunks))
-        if new := [*set(chunks).difference(self.rows)]:
-            self._learn(new)
-        rows = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
-        counts = np.array(self.counts, np.int64)[rows]
-        last = np.append(0, np.cumsum(counts))
-        shift = np.array(self.starts, np.int64)[rows] - last[:-1]
-        ids = np.array(self.flat, np.uint32)[np.repeat(shift, counts) + np.arange(last[-1])]
-        cuts = last[np.array(ends)]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                rows.extend(map(number, cut_at_blanks(text)))
+            ends.append(len(rows))
+        if self.rows.new:
+            try:
+                self._learn()
+            except BaseException:
+                self.forget()  # numbered, but not learnt
+                raise
+        numbers = np.array(rows, np.int32)
+        return [self.ids_of(numbers[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of chunks, by their numbers."""
+        counts = self.counts[numbers]
+        last = np.cumsum(counts)
+        return self.flat[np.repeat(self.starts[numbers] - last + counts, counts) + np.arange(last[-1] if len(last) else 0)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens with blanks between them: what a file without a decoder says."""

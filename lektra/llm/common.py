@@ -41,13 +41,18 @@ def give_back() -> None:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices whose texts in a column have about ``most`` bytes together; a longer text stands alone."""
+    """Slices whose texts in a column have about ``most`` bytes together; a longer text stands alone.
+
+    What was freed over a batch is given back before the next one is asked for.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         block = np.cumsum(sizes, dtype=np.int64) // most
         starts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()] if batch.num_rows else []
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(a, b - a)
+        del batch, sizes, block
+        give_back()
 
 
 def per_text(docs: DataFrame, function: Callable[[list[str]], list[pa.Array]], schema: str, names: list[str], *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import os
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -79,3 +80,22 @@ print(private() - before)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     told = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=60)
     assert float(told.stdout.strip()) < 30, told.stderr
+
+
+def test_chunks_of_a_slice_are_not_held_together(pieces):
+    """Beyond the ids: chunks are numbered as they are met, so those of one text are Python objects at a time."""
+    texts = [" ".join(f"w{(i * j) % 997}" for i in range(500)) for j in range(800)]
+    pieces.encode(texts)
+    tracemalloc.start()
+    found = pieces.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most - sum(x.nbytes for x in found) < 10e6
+
+
+def test_a_table_that_failed_to_learn_starts_afresh(library, pieces, monkeypatch):
+    monkeypatch.setattr(pieces, "merge", lambda symbol, piece: 1 // 0)
+    with pytest.raises(ZeroDivisionError):
+        pieces.encode(["neverbefore seenwords"])
+    monkeypatch.undo()
+    same(library, pieces, ["neverbefore seenwords", "", "the <|endoftext|> cat"])
