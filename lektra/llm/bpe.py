@@ -20,6 +20,7 @@ import json
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ MEMORY = (250_000, 8_000_000)
 #: Characters of new chunks that are laid out together, as the index takes more room than the bands.
 LEARN_CHARS = 300_000
 #: The same where ranks are merged by bands.
-BAND_MEMORY, BAND_LEARN_CHARS = (400_000, 14_000_000), 2_000_000
+BAND_MEMORY, BAND_LEARN_CHARS = (600_000, 20_000_000), 2_000_000
 
 #: str.split() also cuts at these, which Unicode doesn't count as white space.
 _NOT_BLANK = regex.compile(r"[\x1c-\x1f]")
@@ -43,13 +44,15 @@ _BLANK = regex.compile(r"[\t\n\x0b\f\r \x85\xa0  -     　]+")
 
 #: Chunks of ASCII and Latin letters, which the tests compare with the library one character at a time.
 _SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*").fullmatch
+#: By character: 0 for letters of such chunks, 1 for their other characters, 2 for all others, whose last entry stands for what lies beyond.
+_KINDS = np.array([2 if not _SIMPLE(c) else 0 if c.isalpha() else 1 for c in map(chr, range(0x180))] + [2], np.uint8)
 
 
 class Numbers(dict[str, int]):
-    """The number of each chunk, by first look-up; ``new`` has the chunks that aren't learnt yet."""
+    """The number of each chunk or piece, by first look-up; ``new`` has those that aren't learnt yet."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, known: dict[str, int] | None = None):
+        super().__init__(known or {})
         self.new: list[str] = []
 
     def __missing__(self, chunk: str) -> int:
@@ -134,6 +137,8 @@ class PieceTable:
         self.rows, self.chars = Numbers(), 0
         #: The ids of all chunks, and by the number of a chunk where they start and how many they are.
         self.flat, self.starts, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        #: The same of pieces, where ranks are merged by bands; their ids stand in ``flat`` too. The blank between chunks is the first and has none.
+        self.pieces, self.piece_starts, self.piece_counts = Numbers({" ": 0}), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def laid_out(self, symbol: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each symbol the next and the last one of its piece, or -1, and the rank of the pair that begins with it."""
@@ -253,27 +258,58 @@ class PieceTable:
     def _learn(self) -> None:
         """Learn the new chunks, of which some are laid out together, so that the layout stays small."""
         chunks, self.rows.new = self.rows.new, []
-        room = np.zeros(len(self.rows) - len(self.starts), np.int64)
+        numbers = np.arange(len(self.starts), len(self.rows))  # in the order in which they were met
+        room = np.zeros(len(chunks), np.int64)
         self.starts, self.counts = np.append(self.starts, room), np.append(self.counts, room)
         self.chars += sum(map(len, chunks))
         if marks := [c for c in chunks if c[0] == " "]:  # special tokens
-            self._keep(marks, np.array([self.special[c[1:]] for c in marks]), np.ones(len(marks), np.int64))
-            chunks = [c for c in chunks if c[0] != " "]
+            special = np.array([c[0] == " " for c in chunks])
+            self._keep(numbers[special], np.array([self.special[c[1:]] for c in marks], np.uint32), np.ones(len(marks), np.int64))
+            chunks, numbers = [c for c in chunks if c[0] != " "], numbers[~special]
         if not chunks:
             return
         sizes = np.cumsum([len(c) for c in chunks]) // (BAND_LEARN_CHARS if self.by_bands else LEARN_CHARS)
         cuts = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(chunks)]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            self._learn_together(chunks[a:b])
+            self._learn_together(chunks[a:b], numbers[a:b])
 
-    def _learn_together(self, chunks: list[str]) -> None:
-        simple = [c for c in chunks if c.isascii() and c.isprintable() or _SIMPLE(c)]
-        if simple:
-            self._learn_cut(simple, *self._cut_simple(simple))
-        if len(simple) < len(chunks):
-            known = set(simple)
-            others = [c for c in chunks if c not in known]
-            self._learn_cut(others, *self._cut_by_library(others))
+    def _learn_together(self, chunks: list[str], numbers: np.ndarray) -> None:
+        if self.by_bands:
+            self._learn_by_pieces(chunks, numbers)
+            return
+        simple = np.array([c.isascii() and c.isprintable() or _SIMPLE(c) is not None for c in chunks])
+        for kind, cut in ((simple, self._cut_simple), (~simple, self._cut_by_library)):
+            if some := list(compress(chunks, kind.tolist())):
+                self._learn_cut(numbers[kind], *cut(some))
+
+    def _learn_by_pieces(self, chunks: list[str], numbers: np.ndarray) -> None:
+        """The pieces of simple chunks are remembered too: many chunks differ by case and punctuation alone, and letters alone are one piece."""
+        codes = np.frombuffer(" ".join(chunks).encode("utf-32-le"), np.uint32)
+        kinds = _KINDS[np.minimum(codes, len(_KINDS) - 1)]
+        blanks = np.flatnonzero(codes == 32)
+        kinds[blanks] = 0
+        kinds = np.maximum.reduceat(kinds, np.append(0, blanks + 1))
+        words, mixed, others = (list(compress(chunks, (kinds == kind).tolist())) for kind in range(3))
+        number = self.pieces.__getitem__
+        of_words = np.fromiter(map(number, " ".join(words).lower().split(" ") if words else ()), np.int64, len(words))
+        found = self.piece.findall(" ".join(mixed).lower()) if mixed else []
+        of_mixed = np.fromiter(map(number, found), np.int64, len(found))
+        if new := self.pieces.new:
+            self.pieces.new = []
+            raw = np.frombuffer("".join(new).encode(), np.uint8)
+            letters = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+            ends = letters[np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))]
+            ids, counts = self._merged(self.byte_marks[raw], np.diff(ends, prepend=0))
+            self.piece_starts = np.append(self.piece_starts, len(self.flat) + np.cumsum(counts) - counts)
+            self.piece_counts = np.append(self.piece_counts, counts)
+            self.flat = np.append(self.flat, ids)
+        letters_alone = numbers[kinds == 0]
+        self.starts[letters_alone], self.counts[letters_alone] = self.piece_starts[of_words], self.piece_counts[of_words]
+        if mixed:
+            counts = np.bincount(np.cumsum(of_mixed == 0), self.piece_counts[of_mixed], len(mixed)).astype(np.int64)
+            self._keep(numbers[kinds == 1], gathered(self.flat, self.piece_starts[of_mixed], self.piece_counts[of_mixed]), counts)
+        if others:
+            self._learn_cut(numbers[kinds == 2], *self._cut_by_library(others))
 
     def _cut_simple(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Without combining marks NFC changes nothing, and what is a letter or a number is beyond doubt."""
@@ -296,21 +332,25 @@ class PieceTable:
         marks = np.frombuffer("".join([p for p, _ in cut]).encode("utf-16-le"), np.uint16)
         return marks, np.array([len(p) for p, _ in cut], np.int64), owner
 
-    def _learn_cut(self, chunks: list[str], marks: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> None:
+    def _learn_cut(self, numbers: np.ndarray, marks: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> None:
         """``marks``: byte-level characters of all pieces; ``sizes`` and ``owner``: of each piece."""
-        symbol = self.inner[marks]
+        ids, counts = self._merged(marks, sizes)
+        self._keep(numbers, ids, np.bincount(owner, counts, len(numbers)).astype(np.int64))
+
+    def _merged(self, marks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has."""
+        symbol, piece = self.inner[marks], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         ends = np.cumsum(sizes) - 1
         symbol[ends] = self.final[marks[ends]]
         if len(symbol):
-            symbol = (self.merge_by_bands if self.by_bands else self.merge)(symbol, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
+            symbol = (self.merge_by_bands if self.by_bands else self.merge)(symbol, piece)
         left = symbol >= 0
-        self._keep(chunks, symbol[left], np.bincount(np.repeat(owner, sizes)[left], minlength=len(chunks)))
+        return symbol[left].astype(np.uint32), np.bincount(piece[left], minlength=len(sizes))
 
-    def _keep(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        numbers = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         self.starts[numbers] = len(self.flat) + np.cumsum(counts) - counts
         self.counts[numbers] = counts
-        self.flat = np.append(self.flat, ids.astype(np.uint32))
+        self.flat = np.append(self.flat, ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of unsigned 32-bit integers."""
@@ -339,15 +379,19 @@ class PieceTable:
 
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of chunks, by their numbers."""
-        counts = self.counts[numbers]
-        last = np.cumsum(counts)
-        return self.flat[np.repeat(self.starts[numbers] - last + counts, counts) + np.arange(last[-1] if len(last) else 0)]
+        return gathered(self.flat, self.starts[numbers], self.counts[numbers])
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens with blanks between them: what a file without a decoder says."""
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many entries from each start on, one after another."""
+    last = np.cumsum(counts)
+    return flat[np.repeat(starts - last + counts, counts) + np.arange(last[-1] if len(last) else 0)]
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[np.append(True, values[1:] != values[:-1])] if len(values) else values

@@ -106,3 +106,22 @@ def test_plain_chunks_need_no_pattern(library, monkeypatch):
     bands = bpe.PieceTable(bpe.read_spec(PATH), by_bands=True)
     monkeypatch.setattr(bpe, "_SIMPLE", lambda chunk: 1 // 0)
     same(library, bands, ["Plain words, don't they (2024)?"])
+
+
+def test_pieces_are_merged_once(library, monkeypatch):
+    """Chunks that differ by case and punctuation share pieces, which token files merge once."""
+    bands, sizes = bpe.PieceTable(bpe.read_spec(PATH), by_bands=True), []
+    whole = bands.merge_by_bands
+    monkeypatch.setattr(bands, "merge_by_bands", lambda symbol, piece: sizes.append(len(symbol)) or whole(symbol, piece))
+    same(library, bands, ["gnarlwort"])
+    same(library, bands, ["Gnarlwort gnarlwort, (GNARLWORT)! gnarlwort's", "gnarlwort gnarlwort2gnarlwort"])
+    assert sizes[0] == 9 and sum(sizes[1:]) < 12
+
+
+def test_bands_on_odd_texts(library, monkeypatch):
+    bands = bpe.PieceTable(bpe.read_spec(PATH), by_bands=True)
+    same(library, bands, [f"a{chr(c)}b {chr(c)} x{chr(c)}" for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000])
+    same(library, bands, ["", " ", "a<|endoftext|>b Ab, AB", "'S'Re don't I'LL we'd", "é e\u0301 É, \u00c3\u00a9", "日本 x日本, ﬁ"])
+    monkeypatch.setattr(bpe, "BAND_MEMORY", (3, 9))  # forgets before each call
+    for text in ("one, two three", "Two! one <|endoftext|> ½", "three"):
+        same(library, bands, [text])
