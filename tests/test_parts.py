@@ -55,6 +55,29 @@ def test_file_digests(spark):
     assert "content" not in files.listed(spark, folder)._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
 
 
+def test_large_files_are_hashed_in_rounds(spark, monkeypatch):
+    """No task hashes more of a file than a round; Spark's own source reads nothing large."""
+    monkeypatch.setattr(files, "ROUND_BYTES", 50_000)
+    monkeypatch.setattr(files, "PIECE_BYTES", 1000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "60000")
+    draw = random.Random(5)
+    noise = draw.randbytes(300_000)
+    contents = {"a": noise, "b b.parquet": noise + b"\n", "c": b"\n\n" * 40_000, "d": b"\xef\xbb\xbf" + noise, "e": b"\xef\xbb\xbf" + noise[:70_000] + b"\r\n", "f": bytes(70_000), "g": noise[:50_000], "h.gz": noise[:55_000], "i": noise[:50_001]}
+    folder, cache = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-") + "/cache"
+    for name, content in contents.items():
+        with open(f"{folder}/{name}", "wb") as file:
+            file.write(content)
+    try:
+        told = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in files.digested(spark, folder, cache).collect()}
+        again = files.digested(spark, folder, cache).count(), spark.read.parquet(cache).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert told == {name: (len(content), hashlib.sha256(content).hexdigest()) for name, content in contents.items()}
+    assert again == (9, 9)
+
+
 def test_nested_documents(spark):
     path = tempfile.mkdtemp(prefix="spark-") + "/out"
     items = [("a", i, json.dumps({"id": i, "t": "x, ]}"})) for i in range(300)] + [("b", 7, None), (None, 8, "{}"), ("c", None, "{}")]
